@@ -1,6 +1,4 @@
 """All queries of the library and their SQL twins, by name."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quadrat.plans import community_queries, diversity_queries, interval_queries, naming_queries, reads_queries, stats_queries  # noqa: F401  (they register themselves)
+from quadrat.plans.analogue import ORACLES, QUERIES  # noqa: F401
