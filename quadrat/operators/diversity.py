@@ -92,7 +92,7 @@ def bray_curtis(features: DataFrame, on_counts: bool = False) -> DataFrame:
         totals = features.groupBy("sample").agg(F.sum("reads").alias("t"))
         grid = sample_pairs(features).join(totals.select(F.col("sample").alias("i"), F.col("t").alias("ti")), "i").join(totals.select(F.col("sample").alias("j"), F.col("t").alias("tj")), "j")
         return grid.join(near, ["i", "j"], "left").select("i", "j", F.coalesce(1 - F.try_divide(2 * F.coalesce("shared", F.lit(0.0)), F.col("ti") + F.col("tj")), F.lit(0.0)).alias("d"))
-    near = _pairs(features.withColumn("p", F.col("reads") / F.sum("reads").over(own)), F.col("p"), F.least("a", "b"))
+    near = _pairs(features.withColumn("p", F.try_divide("reads", F.sum("reads").over(own))), F.col("p"), F.least("a", "b"))
     empty = features.groupBy("sample").agg((F.sum("reads") == 0).alias("e"))
     grid = sample_pairs(features).join(empty.select(F.col("sample").alias("i"), F.col("e").alias("ei")), "i").join(empty.select(F.col("sample").alias("j"), F.col("e").alias("ej")), "j")
     return grid.join(near, ["i", "j"], "left").select("i", "j", F.when(F.col("ei") & F.col("ej"), 0.0).otherwise(1 - F.coalesce("shared", F.lit(0.0))).alias("d"))

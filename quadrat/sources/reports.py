@@ -35,7 +35,7 @@ def parse_report(text: str) -> Iterator[tuple]:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """The tree of every report under path; sample is the file's name up to its first dot."""
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^/]*)?$", 1).alias("sample"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^/]*)?$", 1).alias("sample"), "value")
 
     def run(batches):
         for batch in batches:

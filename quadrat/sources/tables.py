@@ -115,10 +115,13 @@ def lineage_columns(header: str | object) -> dict:
     text = F.element_at(F.split(F.col(header) if isinstance(header, str) else header, r"\|"), -1)
     parts = F.transform(F.split(text, ";"), F.trim)
     prefixed = F.exists(parts, lambda x: x.rlike("^[dkpcofgs]__"))
+    def marked(letter: str):
+        own = F.filter(parts, lambda x: x.startswith(f"{letter}__"))
+        return F.regexp_replace(F.get(own, F.lit(0)), "^[a-z]__", "")
+
     out = {}
     for i, (letter, rank) in enumerate(zip("kpcofgs", ["kingdom", "phylum", "class", "order", "family", "genus", "species"], strict=True)):
-        marked = F.regexp_replace(F.get(F.filter(parts, lambda x, p=f"{letter}__": x.startswith(p)), F.lit(0)), "^[a-z]__", "")
-        out[rank] = missing_to_null(F.when(prefixed, marked).otherwise(F.get(parts, F.lit(i))))
+        out[rank] = missing_to_null(F.when(prefixed, marked(letter)).otherwise(F.get(parts, F.lit(i))))
     return out
 
 
