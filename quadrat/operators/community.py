@@ -164,11 +164,21 @@ def looks_like_ppm(features: DataFrame, off: float = 1e4) -> DataFrame:
     return totals.agg(F.coalesce(F.bool_and(F.abs(F.col("t") - 1e6) <= off), F.lit(False)).alias("ppm"))
 
 
+def numbered(rows: DataFrame, value: str, tie: str, name: str = "number") -> DataFrame:
+    """Adds each row's place from the largest value, ties by another column.
+
+    Only the different values are summed in one order; rows of equal value are numbered in their own partition.
+    """
+    below = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(value).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(below), F.lit(0))).drop("__n")
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(value).orderBy(tie))
+    return rows.join(before, value).withColumn(name, place).drop("__before")
+
+
 def positional_ids(features: DataFrame, prefix: str = "SV", digits: int = 3) -> DataFrame:
-    """(feature_id, name, total): names numbered from the most abundant feature. Totals are one row for each feature, sorted globally."""
-    totals = features.groupBy("feature_id").agg(F.sum("reads").alias("total"))
-    number = F.row_number().over(Window.orderBy(F.desc("total"), "feature_id"))
-    return totals.select("feature_id", "total", F.format_string(f"{prefix}%0{digits}d", number).alias("name"))
+    """(feature_id, name, total): names numbered from the most abundant feature."""
+    totals = numbered(features.groupBy("feature_id").agg(F.sum("reads").alias("total")), "total", "feature_id")
+    return totals.select("feature_id", "total", F.format_string(f"{prefix}%0{digits}d", "number").alias("name"))
 
 
 def rollup_ranks(named: DataFrame, ranks: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.operators.community import numbered
+
 # Genera that extraction kits and reagents are known to carry.
 REAGENT_GENERA = [
     "Sphingomonas", "Alteriyabuuchia", "Ralstonia", "Methylobacterium", "Cutibacterium", "Propionibacterium", "Bradyrhizobium", "Acinetobacter", "Pseudomonas", "Burkholderia", "Delftia", "Herbaspirillum", "Novosphingobium",
@@ -56,9 +58,8 @@ def abundant_in_a_group(shares: DataFrame, groups: DataFrame, least: float = 0.1
 def subset(features: DataFrame, samples: DataFrame, prefix: str = "SV") -> DataFrame:
     """(sample, feature_id, reads, name): the features that the samples have, named afresh by their abundance there."""
     own = features.where("reads > 0").join(samples.select("sample").distinct(), "sample", "left_semi")
-    totals = own.groupBy("feature_id").agg(F.sum("reads").alias("total"))
-    number = F.row_number().over(Window.orderBy(F.desc("total"), "feature_id"))
-    return own.join(totals.select("feature_id", F.concat(F.lit(prefix), F.lpad(number.cast("string"), 6, "0")).alias("name")), "feature_id").select("sample", "feature_id", "reads", "name")
+    totals = numbered(own.groupBy("feature_id").agg(F.sum("reads").alias("total")), "total", "feature_id")
+    return own.join(totals.select("feature_id", F.format_string(f"{prefix}%06d", "number").alias("name")), "feature_id").select("sample", "feature_id", "reads", "name")
 
 
 def usable_variables(metadata: DataFrame, columns: list[str]) -> DataFrame:

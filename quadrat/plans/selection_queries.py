@@ -20,7 +20,7 @@ def reagent_reads(s, d):
     return selection.reagent_reads(community.with_taxonomy(features(s, d), taxonomy(s, d)), ["Brand#11", "Brand#22"])
 
 
-@query("kept_unless_all_fail", "SELECT doc_id FROM (SELECT doc_id, n_chars BETWEEN 900 AND 950 AS ok, bool_or(n_chars BETWEEN 900 AND 950) OVER (PARTITION BY source) AS some FROM documents) x WHERE ok OR NOT some")
+@query("kept_unless_all_fail", "SELECT doc_id FROM (SELECT doc_id, n_chars BETWEEN 900 AND 950 AS ok, bool_or(n_chars BETWEEN 900 AND 950) OVER (PARTITION BY source) AS anywhere FROM documents) x WHERE ok OR NOT anywhere")
 def kept_unless_all_fail(s, d):
     return selection.kept_unless_all_fail(table(s, d, "documents"), F.col("n_chars").between(900, 950), ["source"]).select("doc_id")
 
@@ -130,7 +130,7 @@ def otu_counts(s, d):
     return table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("feature_id"), mode().alias("sample")).agg(F.count("*").alias("reads"))
 
 
-@query("ternary_shares", BASE + ", v AS (SELECT taxon, sample, pct FROM g WHERE sample IN ('CHINA', 'FRANCE', 'KENYA')), w AS (SELECT taxon, sum(pct) AS total FROM v GROUP BY 1) SELECT taxon, sample, round(pct / total, 6) AS share FROM v JOIN w USING (taxon)")
+@query("ternary_shares", BASE + ", v AS (SELECT taxon, sample, pct FROM g WHERE sample IN ('NATION_0', 'NATION_1', 'NATION_2')), w AS (SELECT taxon, sum(pct) AS total FROM v GROUP BY 1) SELECT taxon, sample, round(pct / total, 6) AS share FROM v JOIN w USING (taxon)")
 def ternary_shares(s, d):
-    v = site_counts(s, d).where(F.col("sample").isin("CHINA", "FRANCE", "KENYA"))
+    v = site_counts(s, d).where(F.col("sample").isin("NATION_0", "NATION_1", "NATION_2"))
     return community.with_share(v, "taxon", "pct", "share").select("taxon", "sample", F.round(F.col("share") / 100, 6).alias("share"))
