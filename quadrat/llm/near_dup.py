@@ -12,7 +12,11 @@ verified exactly on the whole texts.
 No step emits all pairs of a group: documents with equal word sequences become
 one representative; each band bucket first links its members to its smallest
 member; only members of different classes are then compared with each other,
-if a 192-bit sketch of the signatures allows the similarity (see ``SKETCH_DISTANCE``).
+if a 192-bit sketch of the signatures allows the similarity (see
+``SKETCH_DISTANCE``). Buckets of up to ``FEW`` members do that by a join. Larger
+ones are dealt in blocks of bounded size, every two of which meet in one task,
+which compares the likeliest pairs first, skips those that links have brought
+together by then, and gives the links alone: fewer than it has documents.
 
 Results in odd cases: a text without words (null, empty, blank) is a class of
 its own; rows that repeat a doc_id count as copies of one document, whatever
@@ -36,6 +40,8 @@ BANDS, ROWS = 36, 6  # a pair at similarity 0.8 shares a band with probability 1
 SKETCH_BITS = 192
 #: At similarity 0.8 two sketches differ in 0.1 of their bits, with deviation 4.2 bits; 19 + 4.5 deviations.
 SKETCH_DISTANCE = 38
+FEW = 16
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
 _STEP, _GOLD = U(0xC2B2AE3D27D4EB4F), U(0x9E3779B97F4A7C15)
 
 
@@ -116,6 +122,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(check, "a long, b long")
 
 
+def _links(rows: pa.Table, cross: bool, least: float, chunk: int = 4096) -> pa.Table:
+    """Links (a, b) between classes of one group of documents: enough to join every two that similar pairs connect.
+
+    Columns: doc_id, weight, s1, s2, s3, class_id, side, text. With cross, only pairs of different sides are compared.
+    """
+    ids, weight, side = (rows.column(c).to_numpy() for c in ("doc_id", "weight", "side"))
+    sketch = np.stack([rows.column(c).to_numpy() for c in ("s1", "s2", "s3")])
+    found = []
+    for i in range(len(ids)):
+        apart = np.bitwise_count(sketch[:, i : i + 1] ^ sketch[:, i + 1 :]).sum(axis=0)
+        ok = (apart <= SKETCH_DISTANCE) & (np.minimum(weight[i], weight[i + 1 :]) >= np.ceil(least * np.maximum(weight[i], weight[i + 1 :])) - 1)
+        if cross:
+            ok &= side[i] != side[i + 1 :]
+        at = np.flatnonzero(ok)
+        found.append(np.stack([apart[at].astype(np.int64), np.full(len(at), i), at + i + 1]))
+    pairs = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+    pairs = pairs[1:, np.argsort(pairs[0], kind="stable")]
+    _, first, class_of = np.unique(rows.column("class_id").to_numpy(), return_index=True, return_inverse=True)
+    parent = first[class_of]
+    begins, hashes = [0], []
+    for part in pieces(rows.select(["text"]).combine_chunks().to_batches()[0]) if len(ids) else ():
+        _, hashed, count = units(*Words(part.column("text")).shingles())
+        hashes.append(hashed)
+        begins += (begins[-1] + np.cumsum(count)).tolist()
+    hashes, begins = np.concatenate(hashes) if hashes else np.empty(0, U), np.array(begins)
+    out = []
+    for lo in range(0, pairs.shape[1], chunk):
+        own = pairs[:, lo : lo + chunk]
+        own = own[:, parent[own[0]] != parent[own[1]]]
+        if not own.shape[1]:
+            continue
+        both = own.T.reshape(-1)
+        size = (begins[1:] - begins[:-1])[both]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[both], size)
+        key = (np.repeat(np.arange(len(both)) // 2, size).astype(U) << U(52)) | hashes[at]
+        key.sort()
+        shared = np.bincount((key[1:][key[1:] == key[:-1]] >> U(52)).astype(np.int64), minlength=own.shape[1])
+        total = size.reshape(-1, 2).sum(axis=1)
+        for a, b in own[:, shared / np.maximum(total - shared, 1) >= least].T:
+            if parent[a] != parent[b]:
+                out.append((ids[a], ids[b]))
+                parent = np.where(parent == parent[b], parent[a], parent)
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+
+def _block_links(named: DataFrame, large: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links between classes within the buckets of large (h, n, w: members and their shingles)."""
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("w") / BLOCK_SHINGLES)).cast("int")
+    own = named.join(large.select("h", blocks.alias("blocks")), "h").withColumn("k", F.pmod(F.xxhash64("doc_id", "h"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("k", "o")).withColumn("j", F.greatest("k", "o")).withColumn("side", (F.col("k") == F.col("i")).cast("int"))
+    rows = dealt.select("h", "i", "j", "doc_id", "weight", "s1", "s2", "s3", "class_id", "side").join(texts, "doc_id")
+
+    def link(key, group):
+        return _links(group, key[1].as_py() != key[2].as_py(), least)
+
+    return rows.groupBy("h", "i", "j").applyInArrow(link, "a long, b long")
+
+
 def components(edges: DataFrame, name: str = "classes") -> tuple[DataFrame, list[str]]:
     """Smallest member of each vertex's connected component: (id, class_id), for the vertices of the edges (a, b).
 
@@ -145,7 +210,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, row
     sig, _ = settled(signatures(docs, bands, rows), "signatures")
     sig = sig.where("doc_id IS NOT NULL")
     worded = sig.where("weight > 0")
-    whole, _ = settled(worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "weight", "bands", "s1", "s2", "s3")).alias("m")).select("k1", "k2", "m.*"), "texts")
+    whole, path_whole = settled(worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "weight", "bands", "s1", "s2", "s3")).alias("m")).select("k1", "k2", "m.*"), "texts")
     copies = worded.select("doc_id", "k1", "k2").join(whole.select(F.col("doc_id").alias("rep"), "k1", "k2"), ["k1", "k2"]).select(F.col("doc_id").alias("id"), "rep")
 
     rows_of = whole.select("doc_id", "weight", "s1", "s2", "s3", F.explode("bands").alias("h"))
@@ -166,15 +231,15 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, row
     # Within a bucket, members of classes that the stars left apart. Most buckets have one class by now.
     named = members.join(first.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left").select("h", "doc_id", "weight", "s1", "s2", "s3", F.coalesce("class_id", "doc_id").alias("class_id"))
     named, path_named = settled(named, "named")
-    mixed = named.groupBy("h").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("h")
-    left = named.join(mixed, "h", "left_semi")
+    sizes = named.groupBy("h").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where("lo < hi")
+    left = named.join(sizes.where(F.col("n") <= FEW).select("h"), "h", "left_semi")
     right = left.select("h", F.col("doc_id").alias("b"), F.col("weight").alias("hw"), F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("s3").alias("h3"), F.col("class_id").alias("other"))
     across = left.join(right, "h").where((F.col("class_id") < F.col("other")) & alike).select(F.col("doc_id").alias("a"), "b").distinct()
-    more, path_more = settled(_verified(across, texts, least), "links")
+    more, path_more = settled(_verified(across, texts, least).unionByName(_block_links(named, sizes.where(F.col("n") > FEW), texts, least)), "links")
 
     classes, paths_all = components(links.union(more).union(copies.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
     out = sig.select("doc_id").distinct().join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    for path in (path_members, path_texts, path_named, path_links, path_more, *paths, *paths_all[:-1]):
+    for path in (path_whole, path_members, path_texts, path_named, path_links, path_more, *paths, *paths_all[:-1]):
         drop_path(docs.sparkSession, path)
     return out
 
