@@ -55,15 +55,11 @@ def with_levels(df: DataFrame) -> DataFrame:
     return df.select("*", domain.alias("domain"), suffix.alias("suffix"))
 
 
-def _strength(groups: DataFrame, share: float) -> float:
-    """Strength of the beta prior of a level's groups (n, bad), by the moments of the beta-binomial, pages as weights."""
-    s = groups.agg(
-        F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("n")).cast("double").alias("nn"), F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - share, 2)).alias("spread")
-    ).first()
-    spare = share * (1 - share)
-    free = s["k"] - 1.0
-    room = s["n"] - s["nn"] / s["n"] - free
-    rho = (s["spread"] / spare - free) / room if spare > 0 and room > 0 else 0.0
+def _strength(groups: DataFrame) -> float:
+    """Strength of the beta priors of a level's groups (n, bad, prior), by the moments of the beta-binomial around each group's prior mean."""
+    spare = F.col("prior") * (1 - F.col("prior"))
+    s = groups.where("n > 0").agg(F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), 2)).alias("spread"), F.sum(spare).alias("free"), F.sum(spare * (F.col("n") - 1)).alias("room")).first()
+    rho = (s["spread"] - s["free"]) / s["room"] if s["room"] else 0.0
     rho = min(max(rho, 1e-3), 0.999)
     return (1 - rho) / rho
 
@@ -78,13 +74,12 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame
         counts[level] = counts[below].groupBy(level, *(["suffix"] if level == "domain" else [])).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = counts["suffix"].agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     share = total["bad"] / total["n"] if total["n"] else 0.0
-    prior, out = F.lit(float(share)), None
+    out = None
     for level in LEVELS:
-        strength = F.lit(_strength(counts[level].where("n > 0"), share) if total["n"] else 1.0)
         above = {"suffix": None, "domain": "suffix", "host": "domain"}[level]
-        own = counts[level] if above is None else counts[level].join(out.select(above, F.col("mean").alias("prior")), above)
-        mean = (F.col("bad") + strength * (prior if above is None else F.col("prior"))) / (F.col("n") + strength)
-        out = own.select("*", mean.alias("mean"), (F.col("n") + strength).alias("weight"))
+        own = counts[level].withColumn("prior", F.lit(float(share))) if above is None else counts[level].join(out.select(above, F.col("mean").alias("prior")), above)
+        strength = F.lit(_strength(own))
+        out = own.select("*", ((F.col("bad") + strength * F.col("prior")) / (F.col("n") + strength)).alias("mean"), (F.col("n") + strength).alias("weight"))
     return out.select("host", F.col("mean").alias("bad_share"), (F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))).alias("bound"))
 
 
@@ -111,13 +106,13 @@ def page_outcomes(labels: DataFrame) -> DataFrame:
 
 
 def _level_sql(level: str, above: str | None) -> str:
-    """SQL of one level: its strength, and its groups' posterior means."""
-    prior, join = ("(SELECT share FROM total)", "") if above is None else ("up.mean", f"JOIN {above}_post up ON g.{above} = up.{above}")
+    """SQL of one level: its groups with their prior means, its strength, and its groups' posterior means."""
+    prior, join = ("share", "CROSS JOIN total") if above is None else ("up.mean", f"JOIN {above}_post up ON g.{above} = up.{above}")
     return f"""
-{level}_sums AS (SELECT sum(n)::DOUBLE AS n, count(*) - 1.0 AS free, sum(n * n)::DOUBLE AS nn, sum(n * (bad / n::DOUBLE - share) ** 2) AS spread, any_value(share) AS share
-  FROM {level}_groups, total WHERE {level}_groups.n > 0),
-{level}_rho AS (SELECT least(greatest(CASE WHEN share * (1 - share) > 0 AND n - nn / n - free > 0 THEN (spread / (share * (1 - share)) - free) / (n - nn / n - free) ELSE 0 END, 1e-3), 0.999) AS rho FROM {level}_sums),
-{level}_post AS (SELECT g.*, (g.bad + (1 - rho) / rho * {prior}) / (g.n + (1 - rho) / rho) AS mean, g.n + (1 - rho) / rho AS weight FROM {level}_rho, {level}_groups g {join})"""
+{level}_prior AS (SELECT g.*, {prior} AS prior FROM {level}_groups g {join}),
+{level}_sums AS (SELECT sum(n * (bad / n::DOUBLE - prior) ** 2) AS spread, sum(prior * (1 - prior)) AS free, sum(prior * (1 - prior) * (n - 1)) AS room FROM {level}_prior WHERE n > 0),
+{level}_rho AS (SELECT least(greatest(coalesce((spread - free) / nullif(room, 0), 0), 1e-3), 0.999) AS rho FROM {level}_sums),
+{level}_post AS (SELECT g.*, (g.bad + (1 - rho) / rho * prior) / (g.n + (1 - rho) / rho) AS mean, g.n + (1 - rho) / rho AS weight FROM {level}_prior g CROSS JOIN {level}_rho)"""
 
 
 def _rule_sql(what: str) -> str:
@@ -135,7 +130,7 @@ cut AS (SELECT *, (len(p) >= 3 AND length(p[-1]) = 2 AND p[-2] IN ({", ".join(f"
 host_groups AS (SELECT host, n, bad, array_to_string(p[greatest(1, len(p) - 1 - c):], '.') AS domain, array_to_string(p[greatest(1, len(p) - c):], '.') AS suffix FROM cut),
 domain_groups AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM host_groups GROUP BY domain, suffix),
 suffix_groups AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domain_groups GROUP BY suffix),
-total AS (SELECT sum(bad) / sum(n)::DOUBLE AS share FROM suffix_groups),
+total AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0)::DOUBLE, 0) AS share FROM suffix_groups),
 {_level_sql("suffix", None)},{_level_sql("domain", "suffix")},{_level_sql("host", "domain")}
 SELECT page_id, seen.host, path, {_rule_sql("name").replace("host =", "seen.host =").replace("(host,", "(seen.host,")} AS rule,
   coalesce({_rule_sql("action").replace("host =", "seen.host =").replace("(host,", "(seen.host,")}, CASE WHEN mean - {Z} * sqrt(mean * (1 - mean) / (weight + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
