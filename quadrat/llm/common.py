@@ -30,10 +30,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def settled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The frame written to the shared folder and read again: a cut of the lineage that outlives any executor."""
-    path = fresh_path(df.sparkSession, name)
+    """The frame written to the shared folder and read again: a cut of the lineage that outlives any executor.
+
+    The shuffle files behind it aren't needed any more. Spark deletes them when the driver collects its garbage, which a
+    driver with little to do may not do for long; so it is asked to.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    out = spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return out, path
 
 
 def text_of(c: str | Column = "text") -> Column:

@@ -213,10 +213,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, row
     whole, path_whole = settled(worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "weight", "bands", "s1", "s2", "s3")).alias("m")).select("k1", "k2", "m.*"), "texts")
     copies = worded.select("doc_id", "k1", "k2").join(whole.select(F.col("doc_id").alias("rep"), "k1", "k2"), ["k1", "k2"]).select(F.col("doc_id").alias("id"), "rep")
 
-    rows_of = whole.select("doc_id", "weight", "s1", "s2", "s3", F.explode("bands").alias("h"))
-    heads = rows_of.groupBy("h").agg(F.min(F.struct("doc_id", "weight", "s1", "s2", "s3")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = heads.select("h", F.col("m.doc_id").alias("head"), F.col("m.weight").alias("hw"), F.col("m.s1").alias("h1"), F.col("m.s2").alias("h2"), F.col("m.s3").alias("h3"))
-    members, path_members = settled(rows_of.join(heads, "h"), "buckets")
+    # Only ids go through the shuffles by band; what is known of a document follows for those that share a bucket.
+    facts = whole.select("doc_id", "weight", "s1", "s2", "s3")
+    rows_of = whole.select("doc_id", F.explode("bands").alias("h"))
+    heads = rows_of.groupBy("h").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    of_head = facts.toDF("head", "hw", "h1", "h2", "h3")
+    members, path_members = settled(rows_of.join(heads, "h").join(facts, "doc_id").join(of_head, "head"), "buckets")
     apart = F.bit_count(F.expr("s1 ^ h1")) + F.bit_count(F.expr("s2 ^ h2")) + F.bit_count(F.expr("s3 ^ h3"))
     alike = (apart <= SKETCH_DISTANCE) & (F.least("weight", "hw") >= F.ceil(F.lit(least) * F.greatest("weight", "hw")) - 1)
     star = members.where((F.col("doc_id") != F.col("head")) & alike).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()

@@ -7,6 +7,7 @@ all of them, a text without words has none.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,7 +148,16 @@ def similarity(left: pa.Array, right: pa.Array, size: int = WORDS) -> np.ndarray
     return shared / np.maximum(totals[0] + totals[1] - shared, 1)
 
 
-def pieces(batch: pa.RecordBatch, columns: tuple[str, ...] = ("text",), most_bytes: int = 2 << 20, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def _release() -> None:
+    """Give freed memory back to the system: an executor keeps its Python workers, and theirs is bounded together with the JVM's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def pieces(batch: pa.RecordBatch, columns: tuple[str, ...] = ("text",), most_bytes: int = 1 << 20, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most so many bytes of text (a longer text is a slice of its own) and rows."""
     size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     end = np.cumsum(size)
@@ -157,3 +167,4 @@ def pieces(batch: pa.RecordBatch, columns: tuple[str, ...] = ("text",), most_byt
         to = max(at + 1, min(at + most_rows, int(np.searchsorted(end, done + most_bytes, side="right"))))
         yield batch.slice(at, to - at)
         at = to
+    _release()

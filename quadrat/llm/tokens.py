@@ -5,7 +5,7 @@ or line break that stands between other characters, and between a letter or
 digit and a comma or full stop. So texts are cut there, each different word of
 a batch is looked up or encoded once, and the ids are put together again: the
 same ids as from encoding the whole text. Texts with other white space (two in
-a row, or at an end) are encoded whole.
+a row, or at an end) or with the character NUL are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
-#: Not to be cut at all; and not to be cut before commas and full stops, or holding the mark used for that.
-_UNSAFE = f"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$|^$"
-_ODD_MARKS = r"[^\p{L}\p{N}][,.][ \n]|^[,.]|\x00"
+#: Not to be cut at all (or holding the mark that cuts are made with); and not to be cut before commas and full stops.
+_UNSAFE = f"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$|^$|\\x00"
+_ODD_MARKS = r"[^\p{L}\p{N}][,.][ \n]|^[,.]"
 
 
 def default_path() -> str:
@@ -31,7 +31,7 @@ def default_path() -> str:
 class Encoder:
     """Ids of texts without special tokens. Keeps the ids of at most ``most`` words; beyond that it starts afresh."""
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -37,8 +37,8 @@ from quadrat.llm.common import drop_path, settled
 from quadrat.llm.shingles import pieces
 
 SIZES, BITS = (4, 5, 6), 20
-POSITIVES, NEGATIVES = 6000, 14000
-DEVIATIONS, MOST_FEATURES = 6.0, 20_000
+POSITIVES, NEGATIVES = 4000, 8000
+DEVIATIONS, MOST_FEATURES = 6.0, 8000
 THRESHOLD = 0.7
 
 _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -91,15 +91,15 @@ class Model:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each feature, by class, summed over the partition."""
-    total = np.zeros((2, 1 << BITS), np.int64)
+    total = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
-        for part in pieces(batch):
+        for part in pieces(batch, most_bytes=1 << 18):
             key = ngrams(part.column("text"))
             toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)[key >> BITS]
             for c in (0, 1):
-                total[c] += np.bincount(key[toxic == c] & (1 << BITS) - 1, minlength=1 << BITS)
+                total[c] += np.bincount(key[toxic == c] & (1 << BITS) - 1, minlength=1 << BITS).astype(np.int32)
     feature = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(total[0][feature]), pa.array(total[1][feature])], ["feature", "negative", "positive"])
+    yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(total[0][feature].astype(np.int64)), pa.array(total[1][feature].astype(np.int64))], ["feature", "negative", "positive"])
 
 
 def _sparse(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
