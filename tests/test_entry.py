@@ -1,6 +1,7 @@
 """The library's queries against their SQL twins on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quadrat.plans import catalogue
@@ -18,7 +19,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "~"
     return f"{float(v):.6g}" if isinstance(v, float) else str(v)
 
