@@ -1,15 +1,16 @@
 """Documents that hold benchmark items, by SimHash windows and exact verification (operator 8).
 
 An item of w words has w - 4 five-word shingles; a passage counts as a leak of
-it if the weighted Jaccard similarity of some window of the document, as many
-words long as the item (or one more or fewer), is 0.8 or more. Such a passage
-keeps an unchanged run of ``clean_run(w)`` words of the item. So each class of
-items gets windows of its own length and stride, sized by the items, such that
-one of them lies within the run wherever it begins. Windows of the
+it if the weighted Jaccard similarity of some window of the document, of any
+length, is 0.8 or more. Such a passage keeps an unchanged run of ``clean_run``
+words of the item. So each class of items gets windows of its own length and
+stride, sized by the items, such that one of them lies within the run wherever
+it begins. Windows of the
 document and of the items are fingerprinted with a 64-bit SimHash of their
 shingles. Multi-index blocks (radius + 1 blocks of the 64 bits, one of which
 must be equal) find every pair of fingerprints within the radius; each
-proposes an item and a place, and exact weighted-shingle similarity decides.
+proposes an item and a place, and exact weighted-shingle similarity of all
+windows around that place decides.
 
 The items are read in blocks of bounded size, each held against all documents
 in one scan; so a benchmark of any size is handled and no more than one block is
@@ -28,6 +29,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +43,18 @@ RADIUS = 3
 BLOCK_WORDS = 1_000_000  # words of benchmark items held against the documents at once; under 100 MB in each task
 
 
-def clean_run(words: int, least: float = 0.8) -> int:
+def clean_run(words: int, least: float = 0.8, repeat: int = 0) -> int:
     """Words in a row that any passage at that similarity to an item of so many words leaves unchanged.
 
-    Of s shingles at most l = s (1 - least) / (1 + least) are lost on the item's side. An edit loses five of them, or p
-    if only p words from an end. So at most l // 5 inner edits split the words, and edits near the ends take at most l.
+    Of the item's s shingles l are lost, and the passage has e others: (s - l) / (s + e) >= least. Between two unchanged
+    runs stand at least four others, or 4 - repeat if a run of that many words stands in the item at two places. So j cuts
+    leave l <= s (1 - least) - least j (4 - repeat), and one of j + 1 runs has its share of the s - l shingles that are kept.
     """
-    if words <= WORDS:
-        return words
-    lost = int((words - WORDS + 1) * (1 - least) / (1 + least) + 1e-9)
-    return max(WORDS, min((words - lost - edits) // (edits + 1) for edits in range(lost // WORDS + 1)))
+    if words <= WORDS or repeat >= WORDS - 1:
+        return min(words, WORDS)
+    s, cut = words - WORDS + 1, least * (WORDS - 1 - repeat)
+    spare = s * (1 - least) + 1e-9
+    return WORDS - 1 + min(-((int(spare - j * cut) - s) // (j + 1)) for j in range(int(spare / cut) + 1))
 
 
 def simhash(windows: np.ndarray) -> np.ndarray:
@@ -102,10 +106,11 @@ class ItemIndex:
             size = min(WORDS, len(own))
             self.shingles.append(Counter(_rolling(own, size).tolist()) if size else Counter())
             if size:
-                run = clean_run(len(own), least)
-                floor = run if run < 2 * WORDS else 6 * 2 ** int(math.log2(run / 6))
-                window = max(size, floor * 5 // 8) if run >= 2 * WORDS else size
-                classes.setdefault((size, window, min(floor, run) - window + 1), []).append(i)
+                repeat = sum(len(np.unique(r)) < len(r) for r in (_rolling(own, n) for n in range(1, WORDS)))
+                run = clean_run(len(own), least, repeat)
+                floor = 6 * 2 ** int(math.log2(run / 6)) if run >= 12 else 8 if run >= 8 else min(run, WORDS)
+                window = max(size, floor * 5 // 8)
+                classes.setdefault((size, window, floor - window + 1), []).append(i)
         self.classes = []
         for (size, window, stride), members in classes.items():
             prints, item, place = [], [], []
@@ -155,39 +160,46 @@ class ItemIndex:
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
         rolled = {size: _rolling(words.hash, size) for size, *_ in self.classes}
-        tried = set()
         for size, window, stride, index in self.classes:
+            seeds: dict[tuple[int, int], list[int]] = {}
             room = np.diff(words.first) - window
             count = np.where(room >= 0, room // stride + 1, 0)
             at = np.repeat(words.first[:-1], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * stride
             for lo in range(0, len(at), 1 << 18):
                 own = at[lo : lo + (1 << 18)]
                 prints = simhash(rolled[size][own[:, None] + np.arange(window - size + 1)])
-                for w, i, p in zip(*(x.tolist() for x in self.proposals(prints, index)), strict=True):
-                    self._verify(words, int(text[own[w]]), i, int(own[w]) - p, size, rolled[size], best, tried)
+                which, item, _ = self.proposals(prints, index)
+                for t, i, x in zip(text[own[which]].tolist(), item.tolist(), own[which].tolist(), strict=True):
+                    seeds.setdefault((t, i), []).append(x)
+            for (t, i), at in seeds.items():
+                self._verify(words, t, i, sorted(set(at)), window, size, rolled[size], best)
         return [(t, i, begin - int(words.first[t]), n, s) for (t, i), (s, begin, n) in sorted(best.items())]
 
-    def _verify(self, words, t, i, start, size, rolled, best, tried):
-        """Windows near that place, held against the item's shingles exactly."""
-        if (t, i, start) in tried:
-            return
-        tried.add((t, i, start))
+    def _verify(self, words, t, i, seeds, window, size, rolled, best):
+        """All windows that hold a seed, held against the item's shingles exactly: the best begins and ends with one of them."""
         want = self.shingles[i]
         total = want.total()
-        long = int(self.first[i + 1] - self.first[i])
-        begin, end = int(words.first[t]), int(words.first[t + 1])
-        slack = 0 if long <= WORDS else 1 + int(total * (1 - self.least) / (1 + self.least))
-        for n in sorted({long, long - 1, long + 1}, key=lambda n: abs(n - long)) if slack else [long]:
-            for s in sorted(range(start - slack, start + slack + 1), key=lambda s: abs(s - start)):
-                if s < begin or s + n > end or n < size:
+        need, most = math.ceil(total * self.least - 1e-9), int(total / self.least + 1e-9)
+        done, last = int(words.first[t]), int(words.first[t + 1]) - size + 1
+        for x in seeds:
+            if best.get((t, i), (0.0,))[0] == 1.0:
+                return
+            begin = max(done, x + window - size + 1 - most)
+            done = x + 1
+            span = rolled[begin : min(x + most, last)].tolist()
+            hits = list(accumulate((h in want for h in span), initial=0))
+            for k in range(x - begin + 1):
+                if hits[k + 1] == hits[k] or hits[min(k + most, len(span))] - hits[k] < need:
                     continue
-                own = Counter(rolled[s : s + n - size + 1].tolist())
-                shared = (own & want).total()
-                score = shared / (own.total() + total - shared)
-                if score >= self.least and score > best.get((t, i), (0.0,))[0]:
-                    best[t, i] = (score, s, n)
-                    if score == 1.0:
-                        return
+                left, shared = dict(want), 0
+                for m, h in enumerate(span[k : k + most], 1):
+                    if not left.get(h):
+                        continue
+                    left[h] -= 1
+                    shared += 1
+                    score = shared / (m + total - shared)
+                    if score >= self.least and score > best.get((t, i), (0.0,))[0]:
+                        best[t, i] = (score, begin + k, m + size - 1)
 
 
 def _blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[int, str]]]:

@@ -63,6 +63,47 @@ def test_edited_passages(words, size):
         assert bool(index.leaks(Words(pa.array([" ".join(text)])))) == holds(text, item)
 
 
+def best_of_any_length(words, item):
+    want = shingles(item)
+    size = min(5, len(item))
+    best = 0.0
+    for a in range(len(words) - size + 1):
+        own, shared = Counter(), 0
+        for k in range(a, min(len(words) - size + 1, a + 2 * len(item))):
+            gram = tuple(words[k : k + size])
+            own[gram] += 1
+            shared += own[gram] <= want[gram]
+            best = max(best, shared / (own.total() + want.total() - shared))
+    return best
+
+
+@pytest.mark.parametrize(("size", "cut"), [(59, 2), (59, 7), (30, 2), (30, 4), (30, 5), (15, 2)])
+def test_shortened_passages(words, size, cut):
+    item = words(size, size)
+    index = ItemIndex([(7, " ".join(item))])
+    for own in (item[:-cut], item[cut:]):
+        for text in (own, words(23, 1) + own + words(20, 2)):
+            found = index.leaks(Words(pa.array([" ".join(text)])))
+            assert [x[3] for x in found] == [size - cut] and found[0][4] == pytest.approx((size - cut - 4) / (size - 4))
+
+
+@pytest.mark.parametrize("size", [3, 6, 11, 15, 22, 30, 40, 59])
+def test_windows_of_any_length(words, size):
+    rng = random.Random(100 + size)
+    for trial in range(16):
+        item = words(size, size + trial)
+        if trial % 4 == 0:  # words that recur
+            item = [rng.choice(item[: max(2, size // 2)]) for _ in item]
+        own = list(item)
+        for _ in range(rng.randrange(4)):
+            k, d = rng.randrange(len(own)), rng.randrange(1, 5)
+            own = rng.choice([own[:k] + own[k + 1 :], own[:-1], own[1:], own[d:], own[:k] + ["new"] + own[k:], own[:k] + own[max(0, k - d) :], own[k:] + own[:k]]) or ["x"]
+        text = words(rng.randrange(20), trial) + own + words(rng.randrange(20), trial + 1)
+        want = best_of_any_length(text, item)
+        found = ItemIndex([(7, " ".join(item))]).leaks(Words(pa.array([" ".join(text)])))
+        assert [round(x[4], 9) for x in found] == ([round(want, 9)] if want >= 0.8 else []), (trial, item, text)
+
+
 def test_tables(spark, documents, words):
     item = " ".join(words(30, 1))
     docs = documents(["clean text only", f"before {item} after", None, "", item.upper(), " ".join(words(3000, 8)) + " " + item, f"twice {item} {item}"])
