@@ -29,6 +29,11 @@ def dereplicated(s, d):
     return reads.dereplicate(_sequences(s, d).select(F.substring("seq", 1, 6).alias("seq"))).select(F.md5("seq").alias("seq"), "size")
 
 
+@query("dereplicated_whole")
+def dereplicated_whole(s, d):
+    return reads.dereplicate(_sequences(s, d).select("seq")).select(F.md5("seq").alias("seq"), "size")
+
+
 @query("kmer_counts", _SEQ + "SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(seq) - 2), lambda p: substr(seq, p, 4))) AS kmer FROM x WHERE length(seq) >= 4) y WHERE length(kmer) = 4 GROUP BY 1")
 def kmer_counts(s, d):
     return _sequences(s, d).select(F.explode(sq.kmers("seq", 4)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))

@@ -120,6 +120,11 @@ def open_frames(s, d):
     return _sequences(s, d).select("doc_id", sequences.open_frames(F.substring("seq", 1, 60), ["TAA", "TAG", "TGA"], 30).alias("frames"))
 
 
+@query("open_frames_whole")
+def open_frames_whole(s, d):
+    return _sequences(s, d).select("doc_id", sequences.open_frames("seq", ["TAA", "TAG", "TGA"]).alias("frames"))
+
+
 @query("accumulation")
 def accumulation(s, d):
     return selection.accumulation(features(s, d).join(metadata(s, d), "sample").select(F.col("site").alias("sample"), "feature_id", "reads"), 20)
