@@ -132,9 +132,33 @@ def negative_controls(counts: DataFrame, controls: DataFrame, top: int = 12) ->
 
 def upper_median(values: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """The value at position n // 2 (from 0) in ascending order: the upper middle of an even number."""
-    own = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    at = values.withColumn("__n", F.count(F.lit(1)).over(own)).withColumn("__r", F.row_number().over(own.orderBy(value)))
-    return at.where(F.col("__r") == F.floor(F.col("__n") / 2) + 1).select(*([by] if by else []), F.col(value).alias("median"))
+    keys = [by] if by else []
+    middle = F.floor(F.col("__all") / 2) + 1
+    at = running_counts(values, value, keys).where((F.col("__run") >= middle) & (F.col("__run") - F.col("__n") < middle))
+    return at.select(*keys, F.col(value).alias("median"))
+
+
+def running_counts(rows: DataFrame, value: str, by: list[str], parts: int = 64) -> DataFrame:
+    """(by..., value, __n, __part, __run, __all): rows of each different value, rows up to it, and all rows.
+
+    Values are dealt into parts by their quantiles, the same wherever they are computed; only a total for each part is
+    summed in one order.
+    """
+    each = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    cuts = each.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    each = each.withColumn("__part", F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(cuts)))), lambda x: x < F.col(value))) if cuts else F.lit(0))
+    run = F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy(value))
+    keys = Window.partitionBy(*by)
+    totals = each.groupBy(*by, "__part").agg(F.sum("__n").alias("__all"))
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__all").over(keys.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__all").over(keys))
+    return joined(each.withColumn("__run", run), totals, [*by, "__part"]).withColumn("__run", F.col("__run") + F.col("__before")).drop("__before")
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join by keys in which null equals null."""
+    other = right.select(*(F.col(c).alias(f"__key_{c}" if c in keys else c) for c in right.columns))
+    on = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    return left.join(other, on).drop(*(f"__key_{k}" for k in keys))
 
 
 def mock_comparison(shares: DataFrame, expected: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import kernels
+from quadrat.operators.community import joined, running_counts
 
 
 def _tail(kernel):
@@ -104,12 +105,15 @@ def wilcoxon(values: DataFrame, by: list[str]) -> DataFrame:
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
     """Adds q: p n / rank, at most that of any larger p. Null p stay null and don't count."""
-    own = Window.partitionBy(*(by or [F.lit(0)]))
+    by = by or []
     known = tests.where(F.col(p).isNotNull())
-    raw = F.col(p) * F.count("*").over(own) / F.max("__r").over(Window.partitionBy(*(by or [F.lit(0)]), p))
-    out = known.withColumn("__r", F.row_number().over(own.orderBy(p))).withColumn("__q", raw)
-    out = out.withColumn("q", F.least(F.lit(1.0), F.min("__q").over(own.orderBy(F.desc(p)))))
-    return out.drop("__r", "__q").unionByName(tests.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    raw = running_counts(known, p, by).withColumn("__q", F.col(p) * F.col("__all") / F.col("__run"))
+    least = raw.groupBy(*by, "__part").agg(F.min("__q").alias("__least"))
+    later = least.withColumn("__least", F.min("__least").over(Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.min("__q").over(Window.partitionBy(*by, "__part").orderBy(F.desc(p)))
+    q = joined(raw.withColumn("__own", own), later, [*by, "__part"]).select(*by, p, F.least(F.lit(1.0), "__own", "__least").alias("__q"))
+    out = joined(known, q, [*by, p]).withColumn("q", F.col("__q")).drop("__q")
+    return out.unionByName(tests.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
 def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:

@@ -64,6 +64,11 @@ def benjamini_hochberg(s, d):
     return st.benjamini_hochberg(x).select("id", F.round("q", 9).alias("q"))
 
 
+@query("benjamini_hochberg_whole")
+def benjamini_hochberg_whole(s, d):
+    return st.benjamini_hochberg(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 997 + 1) / 1000).alias("p")))
+
+
 @query("spearman", """WITH x AS (SELECT 'M' || l_linenumber AS grp, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS y FROM lineitem), r AS (SELECT grp, rank() OVER (PARTITION BY grp ORDER BY x) + (count(*) OVER (PARTITION BY grp, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY grp ORDER BY y) + (count(*) OVER (PARTITION BY grp, y) - 1) / 2.0 AS ry FROM x)
 SELECT grp, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY 1""")
 def spearman(s, d):

@@ -5,6 +5,10 @@ import re
 from collections import Counter
 from hashlib import md5
 
+import pytest
+from pyspark.sql import functions as F
+
+from quadrat.operators import community, stats
 from quadrat.plans import catalogue
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -42,3 +46,38 @@ def test_frames_of_whole_sequences(spark, tmp_path):
 
     got = {r["doc_id"]: r["frames"] for r in catalogue.QUERIES["open_frames_whole"](spark, path).collect()}
     assert got == {i: frames(x) for i, x in enumerate(seqs)} and len(set(got.values())) > 2
+
+
+def adjusted(ps):
+    order, out, low = sorted(range(len(ps)), key=lambda i: ps[i]), [0.0] * len(ps), 1.0
+    for r in range(len(ps), 0, -1):
+        i = order[r - 1]
+        low = min(low, ps[i] * len(ps) / r)
+        out[i] = low
+    return out
+
+
+def test_adjustment_of_all_orders(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    want = adjusted([(k % 997 + 1) / 1000 for k in range(2000)])
+    got = {r["id"]: r["q"] for r in catalogue.QUERIES["benjamini_hochberg_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2000 and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_adjustment_in_groups_with_nulls(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice(["a", "b", None]), rng.choice([None, 0.0, 1.0, round(rng.random() ** 3, 2)])) for i in range(400)]
+    got = {r["i"]: r["q"] for r in stats.benjamini_hochberg(spark.createDataFrame(data, "i long, g string, p double"), by=["g"]).collect()}
+    assert len(got) == 400 and all((got[i] is None) == (p is None) for i, _, p in data)
+    for g in ("a", "b", None):
+        own = [(i, p) for i, x, p in data if x == g and p is not None]
+        assert [got[i] for i, _ in own] == pytest.approx(adjusted([p for _, p in own]))
+
+
+def test_no_window_takes_all_rows(spark):
+    """Windows without a key see one row for each part of the values."""
+    tests = spark.range(50_000).select("id", ((F.col("id") * 7919 % 50_000) / 50_000).alias("p"))
+    assert community.upper_median(tests, "p").first()["median"] == 0.5
+    assert stats.benjamini_hochberg(tests).count() == 50_000
+    cuts = community.running_counts(tests, "p", []).groupBy("__part").count().collect()
+    assert len(cuts) > 32 and max(r["count"] for r in cuts) < 2000
