@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quadrat.operators.intervals import union_length
 
@@ -109,17 +115,42 @@ def gc_windows(sequences: DataFrame, size: int) -> DataFrame:
     return w.select("name", (F.col("k") * size).alias("start"), gc_percent("part").alias("gc"), gc_skew("part").alias("skew"))
 
 
-def tetramer_profile(sequences: DataFrame) -> DataFrame:
-    """(name, kmer, z): over- and under-use of each tetramer against what its trimers and dimers predict."""
-    from quadrat.functions.sequences import kmers
+_BASES = np.full(256, 4, np.int64)
+for _i, _pair in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
+    _BASES[list(_pair)] = _i
+_SHORT = {k: np.array(["".join(x) for x in itertools.product("ACGT", repeat=k)]) for k in (2, 3, 4)}
+
+
+def _short_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, kmer, n) of each batch: k-mers of two to four bases, those with other letters left out."""
+    for batch in batches:
+        sums: dict = {}
+        for name, seq in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if not seq.is_valid:
+                continue
+            base = _BASES[np.frombuffer(seq.as_buffer(), np.uint8)]
+            own = sums.setdefault(name, {k: np.zeros(4**k, np.int64) for k in _SHORT})
+            for k, total in own.items():
+                n = len(base) - k + 1
+                if n > 0:
+                    parts = [base[j : n + j] for j in range(k)]
+                    code = sum(x << 2 * (k - 1 - j) for j, x in enumerate(parts))
+                    known = np.max(parts, axis=0) < 4
+                    total += np.bincount(code[known], minlength=4**k)
+        rows = [(name, kmer, n) for name, own in sums.items() for k, total in own.items() for kmer, n in zip(_SHORT[k][total > 0].tolist(), total[total > 0].tolist(), strict=True)]
+        names, kmers, counts = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(0).type), pa.array(kmers, pa.string()), pa.array(counts, pa.int64())], ["name", "kmer", "n"])
 
-    def counts(k: int) -> DataFrame:
-        long = sequences.select("name", F.explode(kmers(F.upper("seq"), k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
-        return long.groupBy("name", "kmer").agg(F.count("*").cast("double").alias(f"n{k}"))
 
-    four = counts(4).withColumn("left", F.substring("kmer", 1, 3)).withColumn("right", F.substring("kmer", 2, 3)).withColumn("mid", F.substring("kmer", 2, 2))
-    three, two = counts(3), counts(2)
-    j = four.join(three.select("name", F.col("kmer").alias("left"), F.col("n3").alias("a")), ["name", "left"]).join(three.select("name", F.col("kmer").alias("right"), F.col("n3").alias("b")), ["name", "right"]).join(two.select("name", F.col("kmer").alias("mid"), F.col("n2").alias("m")), ["name", "mid"])
+def tetramer_profile(sequences: DataFrame) -> DataFrame:
+    """(name, kmer, z): over- and under-use of each tetramer against what its trimers and dimers predict."""
+    own = sequences.where("name IS NOT NULL").select("name", "seq")
+    schema = StructType([own.schema["name"], StructField("kmer", StringType()), StructField("n", LongType())])
+    counts = own.mapInArrow(_short_kmers, schema).groupBy("name", "kmer").agg(F.sum("n").cast("double").alias("n"))
+    # at most 336 entries for each name
+    per = counts.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "n"))).alias("c"))
+    four = per.select("name", "c", F.explode("c").alias("kmer", "n4")).where(F.length("kmer") == 4)
+    j = four.select("name", "kmer", "n4", *(F.col("c")[F.substring("kmer", at, n)].alias(x) for x, at, n in (("a", 1, 3), ("b", 2, 3), ("m", 2, 2))))
     expected = F.col("a") * F.col("b") / F.col("m")
     variance = expected * (F.col("m") - F.col("a")) * (F.col("m") - F.col("b")) / (F.col("m") * F.col("m"))
     return j.select("name", "kmer", F.coalesce(F.try_divide(F.col("n4") - expected, F.sqrt(F.greatest(variance, F.lit(0.0)))), F.lit(0.0)).alias("z"))

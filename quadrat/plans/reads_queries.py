@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quadrat.functions import sequences as sq
 from quadrat.operators import genomes, reads
 from quadrat.plans.analogue import mode, query, table
+from quadrat.session import ship
 
 #: Texts as sequences: everything but a, c, g and t goes.
 _SEQ = "WITH x AS (SELECT doc_id, lang, upper(regexp_replace(lower(text), '[^acgt]', '', 'g')) AS seq, text FROM documents) "
@@ -148,7 +149,8 @@ def panel_values(s, d):
 
 @query("tetramer_profile")
 def tetramer_profile(s, d):
-    return genomes.tetramer_profile(_sequences(s, d).groupBy(F.col("lang").alias("name")).agg(F.max("seq").alias("seq")))
+    ship(s)
+    return genomes.tetramer_profile(_sequences(s, d).select(F.col("lang").alias("name"), "seq"))
 
 
 @query("primer_matches")

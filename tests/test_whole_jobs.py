@@ -8,7 +8,7 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from quadrat.operators import community, stats
+from quadrat.operators import community, genomes, stats
 from quadrat.plans import catalogue
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -81,3 +81,24 @@ def test_no_window_takes_all_rows(spark):
     assert stats.benjamini_hochberg(tests).count() == 50_000
     cuts = community.running_counts(tests, "p", []).groupBy("__part").count().collect()
     assert len(cuts) > 32 and max(r["count"] for r in cuts) < 2000
+
+
+def test_tetramers_of_all_documents(spark, tmp_path):
+    rng = random.Random(4)
+    langs = [rng.choice(["en", "fr"]) for _ in range(30)]
+    seqs, path = documents(spark, tmp_path, [bases(rng.randrange(60), rng) for _ in langs], langs)
+    count = {(g, k): Counter(x[i : i + k] for x, y in zip(seqs, langs, strict=True) if y == g for i in range(len(x) - k + 1)) for g in set(langs) for k in (2, 3, 4)}
+    want = {}
+    for g in set(langs):
+        for kmer, n in count[g, 4].items():
+            a, b, m = count[g, 3][kmer[:3]], count[g, 3][kmer[1:]], count[g, 2][kmer[1:3]]
+            variance = a * b / m * (m - a) * (m - b) / m**2
+            want[g, kmer] = (n - a * b / m) / variance**0.5 if variance > 0 else 0.0
+    got = {(r["name"], r["kmer"]): r["z"] for r in catalogue.QUERIES["tetramer_profile"](spark, path).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_tetramers_leave_other_letters_out(spark):
+    rows = [("x", "ACGNTTTT"), ("x", "acgtacgt"), ("y", None), (None, "ACGT")]
+    got = {(r["name"], r["kmer"]) for r in genomes.tetramer_profile(spark.createDataFrame(rows, "name string, seq string")).collect()}
+    assert got == {("x", k) for k in ("TTTT", "ACGT", "CGTA", "GTAC", "TACG")}
