@@ -71,6 +71,12 @@ def shared_lineages(s, d):
     return selection.shared_lineage(p, ["seq"], ["phylum", "genus"])
 
 
+@query("shared_lineages_whole")
+def shared_lineages_whole(s, d):
+    p = table(s, d, "part").select(F.col("p_name").alias("seq"), F.col("p_type").alias("phylum"), F.col("p_brand").alias("genus"))
+    return selection.shared_lineage(p, ["seq"], ["phylum", "genus"])
+
+
 @query("clipped_lengths", "SELECT lang, round(100.0 * sum(CASE WHEN n_chars >= 4998 THEN 1 ELSE 0 END) / count(*), 6) AS near_pct, max(n_chars) AS longest, 100.0 * sum(CASE WHEN n_chars >= 4998 THEN 1 ELSE 0 END) / count(*) > 2 OR max(n_chars) >= 4999 AS clipped FROM documents GROUP BY 1")
 def clipped_lengths(s, d):
     x = table(s, d, "documents").select("lang", F.col("n_chars").alias("length"), F.lit(1.0).alias("reads"))
@@ -127,7 +133,7 @@ def open_frames_whole(s, d):
 
 @query("accumulation")
 def accumulation(s, d):
-    return selection.accumulation(features(s, d).join(metadata(s, d), "sample").select(F.col("site").alias("sample"), "feature_id", "reads"), 20)
+    return selection.accumulation(features(s, d).join(metadata(s, d), "sample").select(F.col("site").alias("sample"), "feature_id", "reads"))
 
 
 @query("otu_counts", "SELECT l_partkey AS feature_id, 'M' || l_linenumber AS sample, count(*) AS reads FROM lineitem GROUP BY 1, 2")

@@ -30,6 +30,11 @@ def kruskal_p(s, d):
     return k.select("taxon", F.round(st.chi2_p(F.col("h"), F.col("df")), 6).alias("p"))
 
 
+@query("kruskal_p_whole")
+def kruskal_p_whole(s, d):
+    return st.kruskal(_values(s, d), ["taxon"]).where("k >= 2").select("taxon", "k", st.chi2_p(F.col("h"), F.col("df")).alias("p"))
+
+
 @query("anova", _VALUES + """, g1 AS (SELECT taxon, grp, count(*) AS m, sum(value) AS s, sum(value * value) AS q FROM v GROUP BY 1, 2), g2 AS (SELECT taxon, sum(m) AS n, count(*) AS k, sum(s) AS s, sum(q) AS q, sum(s * s / m) AS b FROM g1 GROUP BY 1)
 SELECT taxon, round(((b - s * s / n) / nullif(k - 1, 0)) / nullif(greatest(q - b, 0) / nullif(n - k, 0), 0), 4) AS f, (k - 1)::BIGINT AS df1, (n - k)::BIGINT AS df2 FROM g2""")
 def anova(s, d):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat.operators import community, genomes, stats
-from quadrat.plans import catalogue
+from quadrat.plans import catalogue, stats_queries
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
@@ -102,3 +102,28 @@ def test_tetramers_leave_other_letters_out(spark):
     rows = [("x", "ACGNTTTT"), ("x", "acgtacgt"), ("y", None), (None, "ACGT")]
     got = {(r["name"], r["kmer"]) for r in genomes.tetramer_profile(spark.createDataFrame(rows, "name string, seq string")).collect()}
     assert got == {("x", k) for k in ("TTTT", "ACGT", "CGTA", "GTAC", "TACG")}
+
+
+def test_tails_at_any_degrees_of_freedom(spark):
+    known = [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (9.487729, 4, 0.05), (6.634897, 1, 0.01), (0.0, 2, 1.0)]
+    got = spark.createDataFrame(known, "h double, df long, p double").select("p", stats.chi2_p(F.col("h"), F.col("df")).alias("got")).collect()
+    assert all(r["got"] == pytest.approx(r["p"], abs=1e-6) for r in got)
+
+
+def test_lineages_of_all_parts(spark, tmp_path):
+    data = [("a", "t1", "b1", 1), ("a", "t1", "b2", 30), ("b", "t1", "b1", 40), ("b", "t1", "b1", 50), ("c", "t1", "b1", 2), ("c", "t2", "b1", 9)]
+    spark.createDataFrame(data, "p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["shared_lineages_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("a", 2, "t1", None), ("b", 2, "t1", "b1"), ("c", 2, None, None)}
+
+
+def test_queries_over_whole_jobs(spark, monkeypatch):
+    from quadrat.operators import selection
+
+    sf = "/root/testdata/sf0.001"
+    k = stats.kruskal(stats_queries._values(spark, sf), ["taxon"]).where("k >= 2").count()
+    assert catalogue.QUERIES["kruskal_p_whole"](spark, sf).where("p IS NOT NULL").count() == k
+    asked = []
+    monkeypatch.setattr(selection, "accumulation", lambda features, orders=100, seed=1: asked.append(orders))
+    catalogue.QUERIES["accumulation"](spark, sf)
+    assert asked == [100]
