@@ -4,22 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: list[list[str]] = []
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary one; on a cluster each executor would write to its own disk, so
+    that is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.quadrat.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quadrat-")
         spark.conf.set("spark.quadrat.scratch", root)
     return root.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/quadrat/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/quadrat/{name}-{uuid.uuid4().hex}"
+    for paths in _open:
+        paths.append(path)
+    return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -29,18 +43,41 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Drops on leaving whatever ``fresh_path`` names inside. Take a path out of the list to keep it."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open[:] = [own for own in _open if own is not paths]
+        for path in paths:
+            drop_path(spark, path)
+
+
 def settled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The frame written to the shared folder and read again: a cut of the lineage that outlives any executor.
 
-    The shuffle files behind it aren't needed any more. Spark deletes them when the driver collects its garbage, which a
-    driver with little to do may not do for long; so it is asked to.
+    The shuffle files behind it aren't needed any more, so Spark is told to delete them when the write is done.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return out, path
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like that, which none of the columns has in any spelling."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(c: str | Column = "text") -> Column:

@@ -9,19 +9,22 @@ documents agree in a coordinate with the probability of their weighted Jaccard
 similarity. Signatures are cut in bands; equal bands propose links, which are
 verified exactly on the whole texts.
 
-No step emits all pairs of a group: documents with equal word sequences become
-one representative; each band bucket first links its members to its smallest
-member; only members of different classes are then compared with each other,
-if a 192-bit sketch of the signatures allows the similarity (see
-``SKETCH_DISTANCE``). Buckets of up to ``FEW`` members do that by a join. Larger
-ones are dealt in blocks of bounded size, every two of which meet in one task,
-which compares the likeliest pairs first, skips those that links have brought
-together by then, and gives the links alone: fewer than it has documents.
+No step emits all pairs of a group. Equal word sequences are one vertex. Every
+member of a band bucket is compared with the bucket's smallest one, its head.
+The classes that this makes are all there is in most buckets. In the others,
+members that differ from the head by d and d' differ from one another by at
+least |d - d'|, as the distance is a metric: members so near to the head that no
+member outside its reach can be similar to them need no further comparison. The
+rest is compared if a 192-bit sketch of the signatures allows the similarity
+(see ``SKETCH_DISTANCE``): buckets of up to ``FEW`` such members by a join,
+larger ones in blocks of bounded size, every two of which meet in one task,
+which gives links that join classes alone, fewer than it has documents.
 
 Results in odd cases: a text without words (null, empty, blank) is a class of
-its own; rows that repeat a doc_id count as copies of one document, whatever
-their texts; rows with a null doc_id have no identity and get a null class;
-further columns are ignored; an empty table gives an empty result.
+its own; rows that repeat a doc_id are one document, which has the links of all
+its texts (a text of a repeated doc_id is known by a 64-bit hash among the
+doc_ids); a row with a null doc_id has a null class; further columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import drop_path, settled
+from quadrat.llm.common import drop_path, fresh_path, scratch, settled, unused
 from quadrat.llm.shingles import U, Words, mix, pieces, similarity, units
 
 BANDS, ROWS = 36, 6  # a pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**36 > 0.99998
@@ -41,7 +44,7 @@ SKETCH_BITS = 192
 #: At similarity 0.8 two sketches differ in 0.1 of their bits, with deviation 4.2 bits; 19 + 4.5 deviations.
 SKETCH_DISTANCE = 38
 FEW = 16
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 8192, 3_000_000
 _STEP, _GOLD = U(0xC2B2AE3D27D4EB4F), U(0x9E3779B97F4A7C15)
 
 
@@ -102,152 +105,202 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int)
             )
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Word-sequence key, weight, band hashes and sketch of each row of (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        lambda it: _signature_batches(it, bands, rows), "doc_id long, k1 long, k2 long, weight long, bands array<long>, s1 long, s2 long, s3 long"
-    )
+    return _plain(docs).mapInArrow(lambda it: _signature_batches(it, bands, rows), "doc_id long, k1 long, k2 long, weight long, bands array<long>, s1 long, s2 long, s3 long")
+
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch):
+            key = Words(part.column("text")).keys()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key[0]), pa.array(key[1]), part.column("text")], ["doc_id", "k1", "k2", "text"])
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. Texts meet by two joins; a document in very many pairs is a skewed key, which AQE splits."""
+
+def _texts(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, any_repeated: bool) -> DataFrame:
+    """(v, text) of the wanted vertices (v)."""
+    docs = _plain(docs)
+    plain = docs.join(repeated, "doc_id", "left_anti") if any_repeated else docs
+    out = plain.select(F.col("doc_id").alias("v"), "text").join(wanted, "v", "left_semi")
+    if not any_repeated:
+        return out
+    own = docs.join(repeated, "doc_id", "left_semi").mapInArrow(_keyed, "doc_id long, k1 long, k2 long, text string").select(F.xxhash64("doc_id", "k1", "k2").alias("v"), "text")
+    return out.unionByName(own.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("text").alias("text")))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) of at least that similarity. Texts meet by two joins; a vertex in very many pairs is a skewed key, which AQE splits."""
 
     def check(batches):
         for batch in batches:
             for part in pieces(batch, ("text", "other")):
-                yield part.select(["a", "b"]).filter(pa.array(similarity(part.column("text"), part.column("other")) >= least))
+                found = similarity(part.column("text"), part.column("other"))
+                out = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found)], ["a", "b", "similarity"])
+                yield out.filter(pa.array(found >= least))
 
-    left = texts.select(F.col("doc_id").alias("a"), "text")
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(check, "a long, b long")
+    left = texts.select(F.col("v").alias("a"), "text")
+    right = texts.select(F.col("v").alias("b"), F.col("text").alias("other"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(check, "a long, b long, similarity double")
 
 
-def _links(rows: pa.Table, cross: bool, least: float, chunk: int = 4096) -> pa.Table:
-    """Links (a, b) between classes of one group of documents: enough to join every two that similar pairs connect.
+def _links(rows: pa.Table, cross: bool, least: float) -> pa.Table:
+    """Links (a, b) between classes of one group of vertices: enough to join every two that similar pairs connect.
 
-    Columns: doc_id, weight, s1, s2, s3, class_id, side, text. With cross, only pairs of different sides are compared.
+    Columns: v, weight, s1, s2, s3, class_id, side, text. With cross, only pairs of different sides are compared.
+    Row by row: what the sketches allow among the rows after it and outside its class, and of those the exact similarity,
+    by the row's shingles marked in a table of all.
     """
-    ids, weight, side = (rows.column(c).to_numpy() for c in ("doc_id", "weight", "side"))
+    ids, weight, side = (rows.column(c).to_numpy() for c in ("v", "weight", "side"))
     sketch = np.stack([rows.column(c).to_numpy() for c in ("s1", "s2", "s3")])
-    found = []
-    for i in range(len(ids)):
-        apart = np.bitwise_count(sketch[:, i : i + 1] ^ sketch[:, i + 1 :]).sum(axis=0)
-        ok = (apart <= SKETCH_DISTANCE) & (np.minimum(weight[i], weight[i + 1 :]) >= np.ceil(least * np.maximum(weight[i], weight[i + 1 :])) - 1)
-        if cross:
-            ok &= side[i] != side[i + 1 :]
-        at = np.flatnonzero(ok)
-        found.append(np.stack([apart[at].astype(np.int64), np.full(len(at), i), at + i + 1]))
-    pairs = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-    pairs = pairs[1:, np.argsort(pairs[0], kind="stable")]
     _, first, class_of = np.unique(rows.column("class_id").to_numpy(), return_index=True, return_inverse=True)
     parent = first[class_of]
-    begins, hashes = [0], []
+    hashes, total = [], []
     for part in pieces(rows.select(["text"]).combine_chunks().to_batches()[0]) if len(ids) else ():
         _, hashed, count = units(*Words(part.column("text")).shingles())
         hashes.append(hashed)
-        begins += (begins[-1] + np.cumsum(count)).tolist()
-    hashes, begins = np.concatenate(hashes) if hashes else np.empty(0, U), np.array(begins)
+        total.append(count)
+    total = np.concatenate(total) if total else np.empty(0, np.int64)
+    known, code = np.unique(np.concatenate(hashes) if hashes else np.empty(0, U), return_inverse=True)
+    begin = np.concatenate(([0], np.cumsum(total)))
+    marked = np.zeros(len(known), bool)
+    low = np.ceil(least * weight) - 1
     out = []
-    for lo in range(0, pairs.shape[1], chunk):
-        own = pairs[:, lo : lo + chunk]
-        own = own[:, parent[own[0]] != parent[own[1]]]
-        if not own.shape[1]:
+    for i in range(len(ids) - 1):
+        later = slice(i + 1, None)
+        ok = (parent[later] != parent[i]) & (np.minimum(weight[i], weight[later]) >= np.maximum(low[i], low[later]))
+        if cross:
+            ok &= side[later] != side[i]
+        at = np.flatnonzero(ok) + i + 1
+        at = at[np.bitwise_count(sketch[:, i : i + 1] ^ sketch[:, at]).sum(axis=0) <= SKETCH_DISTANCE]
+        if not len(at):
             continue
-        both = own.T.reshape(-1)
-        size = (begins[1:] - begins[:-1])[both]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[both], size)
-        key = (np.repeat(np.arange(len(both)) // 2, size).astype(U) << U(52)) | hashes[at]
-        key.sort()
-        shared = np.bincount((key[1:][key[1:] == key[:-1]] >> U(52)).astype(np.int64), minlength=own.shape[1])
-        total = size.reshape(-1, 2).sum(axis=1)
-        for a, b in own[:, shared / np.maximum(total - shared, 1) >= least].T:
-            if parent[a] != parent[b]:
-                out.append((ids[a], ids[b]))
-                parent = np.where(parent == parent[b], parent[a], parent)
+        own = code[begin[i] : begin[i + 1]]
+        marked[own] = True
+        size = total[at]
+        place = np.arange(size.sum()) + np.repeat(begin[at] - np.cumsum(size) + size, size)
+        shared = np.add.reduceat(marked[code[place]], np.cumsum(size) - size, dtype=np.int64)
+        marked[own] = False
+        for b in at[shared >= least * (total[i] + size - shared)]:
+            if parent[i] != parent[b]:
+                out.append((ids[i], ids[b]))
+                parent = np.where(parent == parent[b], parent[i], parent)
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
-def _block_links(named: DataFrame, large: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _block_links(rows: DataFrame, large: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links between classes within the buckets of large (h, n, w: members and their shingles)."""
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("w") / BLOCK_SHINGLES)).cast("int")
-    own = named.join(large.select("h", blocks.alias("blocks")), "h").withColumn("k", F.pmod(F.xxhash64("doc_id", "h"), F.col("blocks")).cast("int"))
+    own = rows.join(large.select("h", blocks.alias("blocks")), "h").withColumn("k", F.pmod(F.xxhash64("v", "h"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("k", "o")).withColumn("j", F.greatest("k", "o")).withColumn("side", (F.col("k") == F.col("i")).cast("int"))
-    rows = dealt.select("h", "i", "j", "doc_id", "weight", "s1", "s2", "s3", "class_id", "side").join(texts, "doc_id")
+    met = dealt.select("h", "i", "j", "v", "weight", "s1", "s2", "s3", "class_id", "side").join(texts, "v")
 
     def link(key, group):
         return _links(group, key[1].as_py() != key[2].as_py(), least)
 
-    return rows.groupBy("h", "i", "j").applyInArrow(link, "a long, b long")
+    return met.groupBy("h", "i", "j").applyInArrow(link, "a long, b long")
 
 
-def components(edges: DataFrame, name: str = "classes") -> tuple[DataFrame, list[str]]:
-    """Smallest member of each vertex's connected component: (id, class_id), for the vertices of the edges (a, b).
+def components(edges: DataFrame, name: str = "classes") -> tuple[DataFrame, str]:
+    """Smallest member of each vertex's connected component: (id, class_id), for the vertices of the edges (a, b), and where it is written.
 
     Labels spread over the edges and then jump along themselves, so the rounds grow as the logarithm of a path's
     length; each round's labels are written to the shared folder. Nothing of the graph comes to the driver.
     """
-    paths: list[str] = []
-    both, path = settled(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    paths.append(path)
+    spark = edges.sparkSession
+    both, path_edges = settled(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), f"{name}-edges")
     labels, path = settled(both.groupBy("u").agg(F.least("u", F.min("v")).alias("c")).select(F.col("u").alias("id"), "c"), f"{name}-0")
-    paths.append(path)
     n = 0
     while True:
         n += 1
         seen = both.join(labels.select(F.col("id").alias("v"), F.col("c").alias("d")), "v").groupBy("u").agg(F.min("d").alias("d"))
         near = labels.join(seen.select(F.col("u").alias("id"), "d"), "id").select("id", F.col("c").alias("old"), F.least("c", "d").alias("c"))
         far = labels.select(F.col("id").alias("c"), F.col("c").alias("jump"))
-        new, path = settled(near.join(far, "c").select("id", F.least("c", "jump").alias("c"), (F.col("old") != F.least("c", "jump")).cast("int").alias("moved")), f"{name}-{n}")
-        paths.append(path)
+        new, path_new = settled(near.join(far, "c").select("id", F.least("c", "jump").alias("c"), (F.col("old") != F.least("c", "jump")).cast("int").alias("moved")), f"{name}-{n}")
+        drop_path(spark, path)
+        path = path_new
         if not new.agg(F.max("moved")).first()[0]:
-            return new.select("id", F.col("c").alias("class_id")), paths
+            drop_path(spark, path_edges)
+            return new.select("id", F.col("c").alias("class_id")), path
         labels = new.select("id", "c")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id): class_id is the smallest doc_id that links of at least that similarity reach. One row per doc_id; see the module."""
-    sig, _ = settled(signatures(docs, bands, rows), "signatures")
-    sig = sig.where("doc_id IS NOT NULL")
-    worded = sig.where("weight > 0")
-    whole, path_whole = settled(worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "weight", "bands", "s1", "s2", "s3")).alias("m")).select("k1", "k2", "m.*"), "texts")
-    copies = worded.select("doc_id", "k1", "k2").join(whole.select(F.col("doc_id").alias("rep"), "k1", "k2"), ["k1", "k2"]).select(F.col("doc_id").alias("id"), "rep")
-
-    # Only ids go through the shuffles by band; what is known of a document follows for those that share a bucket.
-    facts = whole.select("doc_id", "weight", "s1", "s2", "s3")
-    rows_of = whole.select("doc_id", F.explode("bands").alias("h"))
-    heads = rows_of.groupBy("h").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    of_head = facts.toDF("head", "hw", "h1", "h2", "h3")
-    members, path_members = settled(rows_of.join(heads, "h").join(facts, "doc_id").join(of_head, "head"), "buckets")
-    apart = F.bit_count(F.expr("s1 ^ h1")) + F.bit_count(F.expr("s2 ^ h2")) + F.bit_count(F.expr("s3 ^ h3"))
-    alike = (apart <= SKETCH_DISTANCE) & (F.least("weight", "hw") >= F.ceil(F.lit(least) * F.greatest("weight", "hw")) - 1)
-    star = members.where((F.col("doc_id") != F.col("head")) & alike).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-
-    wanted = members.select("doc_id").distinct()
-    texts, path_texts = settled(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "bucket-texts"
-    )
-    links, path_links = settled(_verified(star, texts, least), "links")
-    first, paths = components(links, "star")
-
-    # Within a bucket, members of classes that the stars left apart. Most buckets have one class by now.
-    named = members.join(first.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left").select("h", "doc_id", "weight", "s1", "s2", "s3", F.coalesce("class_id", "doc_id").alias("class_id"))
-    named, path_named = settled(named, "named")
-    sizes = named.groupBy("h").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where("lo < hi")
-    left = named.join(sizes.where(F.col("n") <= FEW).select("h"), "h", "left_semi")
-    right = left.select("h", F.col("doc_id").alias("b"), F.col("weight").alias("hw"), F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("s3").alias("h3"), F.col("class_id").alias("other"))
-    across = left.join(right, "h").where((F.col("class_id") < F.col("other")) & alike).select(F.col("doc_id").alias("a"), "b").distinct()
-    more, path_more = settled(_verified(across, texts, least).unionByName(_block_links(named, sizes.where(F.col("n") > FEW), texts, least)), "links")
-
-    classes, paths_all = components(links.union(more).union(copies.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
-    out = sig.select("doc_id").distinct().join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    for path in (path_whole, path_members, path_texts, path_named, path_links, path_more, *paths, *paths_all[:-1]):
+def _found_links(docs: DataFrame, vertices: DataFrame, repeated: DataFrame, any_repeated: bool, least: float) -> DataFrame:
+    """Links (a, b) that join all classes of the vertices (v, weight, bands, s1, s2, s3)."""
+    facts = vertices.select("v", "weight", "s1", "s2", "s3")
+    banded = vertices.select("v", F.explode("bands").alias("h"))
+    heads = banded.groupBy("h").agg(F.min("v").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members, path_members = settled(banded.join(heads, "h").where("v != head"), "buckets")
+    star, path_star = settled(members.select(F.col("v").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+
+    # A table of its own: Spark sees its size, and sends it to the documents or both to their ids.
+    wanted, path_wanted = settled(star.select(F.col("a").alias("v")).union(star.select("b")).distinct(), "wanted")
+    texts, path_texts = settled(_texts(docs, wanted, repeated, any_repeated), "bucket-texts")
+    near, path_near = settled(_compared(star, texts), "near")
+    links = near.where(F.col("similarity") >= least).select("a", "b")
+    first, path_first = components(links, "star")
+
+    # Within a bucket, members of classes that the stars left apart.
+    apart = members.join(near.select(F.col("a").alias("v"), F.col("b").alias("head"), (1 - F.col("similarity")).alias("d")), ["v", "head"])
+    apart = apart.join(first.withColumnRenamed("id", "v"), "v", "left").select("h", "v", "d", F.coalesce("class_id", "v").alias("class_id"))
+    apart, path_apart = settled(apart, "apart")
+    reach = 1 - least + 1e-9
+    far = apart.groupBy("h").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min(F.when(F.col("d") > reach, F.col("d"))).alias("far")).where("lo < hi")
+    open_ = apart.join(far.select("h", "far"), "h").where(F.col("d") >= F.col("far") - reach).select("h", "v", "class_id").join(facts, "v")
+    open_, path_open = settled(open_, "open")
+    for path in (path_members, path_star, path_wanted, path_apart):
+        drop_path(docs.sparkSession, path)
+    sizes = open_.groupBy("h").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where("lo < hi")
+    left = open_.join(sizes.where(F.col("n") <= FEW).select("h"), "h", "left_semi")
+    right = left.toDF("h", "b", "other", "hw", "h1", "h2", "h3")
+    differ = F.bit_count(F.expr("s1 ^ h1")) + F.bit_count(F.expr("s2 ^ h2")) + F.bit_count(F.expr("s3 ^ h3"))
+    alike = (differ <= SKETCH_DISTANCE) & (F.least("weight", "hw") >= F.ceil(F.lit(least) * F.greatest("weight", "hw")) - 1)
+    across = left.join(right, "h").where((F.col("class_id") < F.col("other")) & alike).select(F.col("v").alias("a"), "b").distinct()
+    more = _compared(across, texts, least).select("a", "b").unionByName(_block_links(open_, sizes.where(F.col("n") > FEW), texts, least))
+    out, _ = settled(links.unionByName(more), "links")
+    for path in (path_near, path_texts, path_first, path_open):
         drop_path(docs.sparkSession, path)
     return out
 
 
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id): class_id is the smallest doc_id that links of at least that similarity reach. One row per doc_id; see the module."""
+    spark = docs.sparkSession
+    result = fresh_path(spark, "near-classes")
+    with scratch(spark):
+        sig, path_sig = settled(signatures(docs, bands, rows).where("doc_id IS NOT NULL"), "signatures")
+        repeated, _ = settled(sig.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+        any_repeated = not repeated.isEmpty()
+        whole = sig.where("weight > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "weight", "bands", "s1", "s2", "s3")).alias("m")).select("k1", "k2", "m.*")
+        vertex = F.col("doc_id")
+        if any_repeated:
+            whole, vertex = whole.join(repeated.withColumn("again", F.lit(True)), "doc_id", "left"), F.when(F.col("again"), F.xxhash64("doc_id", "k1", "k2")).otherwise(F.col("doc_id"))
+        whole, _ = settled(whole.select(vertex.alias("v"), "k1", "k2", "weight", "bands", "s1", "s2", "s3"), "vertices")
+        rows_of, _ = settled(sig.select("doc_id", "k1", "k2", "weight"), "rows")
+        drop_path(spark, path_sig)
+        links = _found_links(docs, whole, repeated, any_repeated, least)
+        copies = rows_of.where("weight > 0").join(whole.select("v", "k1", "k2"), ["k1", "k2"]).where("doc_id != v").select(F.col("doc_id").alias("a"), F.col("v").alias("b"))
+        classes, _ = components(links.union(copies))
+        out = rows_of.select("doc_id").distinct().join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        if any_repeated:  # a class may be named by a hashed vertex
+            named, _ = settled(out, "named")
+            out = named.join(named.groupBy("class_id").agg(F.min("doc_id").alias("least")), "class_id").select("doc_id", F.col("least").alias("class_id"))
+        nameless = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
+        out = out.unionByName(nameless)
+        out.write.parquet(result)
+    return spark.read.schema(out.schema).parquet(result)
+
+
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The documents without later near copies: of each class the row of the smallest doc_id stays. Rows with a null doc_id stay."""
+    """The documents without later near copies: of each class the row of the smallest doc_id stays, of several with that doc_id
+    the one of the smallest text (then of the smallest hash of its other columns). Rows with a null doc_id stay."""
+    place = unused("place", docs.columns)
     kept = near_duplicates(docs, least).where("doc_id = class_id").select("doc_id")
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = [F.coalesce("text", F.lit("")), F.xxhash64(F.lit(0), *others)]
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col(place) == 1).drop(place)
+    return named.unionByName(docs.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])

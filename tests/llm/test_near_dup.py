@@ -74,8 +74,8 @@ def test_large_buckets_go_by_blocks(documents, near, monkeypatch):
 def test_odd_tables(spark, documents, words):
     text = " ".join(words(50, 9))
     docs = documents([text, text, None, text, "lone"], ids=[5, 5, 6, None, 7])
-    got = sorted((r["doc_id"], r["class_id"]) for r in near_dup.near_duplicates(docs).collect())
-    assert got == [(5, 5), (6, 6), (7, 7)]
+    got = sorted(((r["doc_id"], r["class_id"]) for r in near_dup.near_duplicates(docs).collect()), key=str)
+    assert got == [(5, 5), (6, 6), (7, 7), (None, None)]
     kept = near_dup.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 5, 6, 7]
@@ -83,6 +83,33 @@ def test_odd_tables(spark, documents, words):
     assert near_dup.near_duplicates(none).count() == 0 and near_dup.keep_one(none).count() == 0
 
 
+def test_rows_of_one_doc_id_have_the_links_of_all_their_texts(documents, words):
+    one, two = words(80, 11), words(80, 12)
+    near = " ".join(two[:40] + ["changed"] + two[41:])
+    for ids in ([5, 5, 9, 3], [4, 5, 9, 3], [9, 9, 5, 3]):
+        docs = documents([" ".join(one), " ".join(two), near, "other words"], ids=ids)
+        got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()}
+        assert got == classes([" ".join(one), " ".join(two), near, "other words"], ids)
+    kept = near_dup.keep_one(documents([" ".join(two), " ".join(one), near], ids=[5, 5, 9]))
+    assert [(r["doc_id"], r["text"]) for r in kept.collect()] == [(5, min(" ".join(one), " ".join(two)))]
+
+
+def test_members_beyond_the_reach_of_a_head(documents, words):
+    """Families around a common template: many at 0.6 to 0.8 of one another, with links among those far from the smallest."""
+    import random
+
+    base, out = words(150, 21), []
+    for s in range(60):
+        own, rng = list(base), random.Random(s // 2)
+        for k in range(rng.randint(2, 9)):
+            own[rng.randrange(150)] = f"y{s // 2}k{k}"
+        if s % 2:
+            own[rng.randrange(150)] = f"x{s}"
+        out.append(" ".join(own))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(documents(out)).collect()}
+    assert got == classes(out, list(range(len(out))))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101)], "a long, b long")
     got, _ = near_dup.components(edges)
