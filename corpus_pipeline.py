@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrat.llm import decontaminate, line_dedup, near_dup, packing, toxicity
-from quadrat.llm.common import settled
+from quadrat.llm.common import drop_path, scratch, settled
 from quadrat.session import ship
 
 
@@ -40,7 +40,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's output is written, and dropped when the next stage has read it; so is what a stage writes on its way."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, _ = settled(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as paths:
+            docs, path = settled(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            paths.remove(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
