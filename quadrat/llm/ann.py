@@ -9,16 +9,22 @@ smallest margin on the way, until the leaves that it took hold a number of
 vectors. That number is fitted, too: the least with which ``TUNED`` sampled
 queries find the share ``RECALL`` of their true neighbours in the sample. Data
 without any structure needs a large part of all vectors for that, data with
-clusters little. Queries and vectors meet by leaf in tasks of bounded size and
-are ranked by exact cosine similarity in double precision.
+clusters little. Queries and vectors meet by leaf and are ranked by exact cosine
+similarity in double precision.
 
-Beyond SAMPLE / leaf size leaves a tree can't be fitted finer, so leaves then
-grow with the table; raise ``sample`` with it (10 million vectors of 64 numbers
-are 2.5 GB on the driver).
+A task gets leaves, or parts of large leaves, of about ``GROUP`` vectors and at
+most one block of about ``ASKED`` queries, so its size is bounded however large
+the table, a leaf or the number of queries is. Beyond SAMPLE / leaf size leaves
+a tree can't be fitted finer, so leaves then grow with the table and are dealt
+in more parts; raise ``sample`` with it (10 million vectors of 64 numbers are
+2.5 GB on the driver).
 
 Equal vectors are one entry with their k + 1 smallest ids, which are all that
 can be among anybody's k nearest; so one very common vector is one entry of one
-leaf, and its queries are one search.
+leaf, and its queries are one search. Other vectors of equal score are all
+ranked before the k nearest are taken, so ties go to the smaller id among all
+that the search has met. A query whose leaves hold fewer than k others, though
+the table has them, is held against all vectors.
 
 Results in odd cases: vectors that are null, empty, zero, of another length
 than most, or with null or non-finite numbers take no part, neither as queries
@@ -42,6 +48,8 @@ from quadrat.llm.common import settled
 TREES, LEAF, SAMPLE = 8, 128, 65_536
 RECALL, TUNED = 0.95, 200
 GROUP = 20_000  # index entries that meet their queries in one task
+ASKED = 20_000  # queries that meet them
+TIE = 1e-9  # scores of the first ranking that are this near may be equal ones
 
 
 class Tree:
@@ -154,34 +162,62 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), pa.array([r.tobytes() for r in data], pa.binary())], ["id", "ids", "v"])
 
 
+def _parts(forest: Forest) -> list[np.ndarray]:
+    """For each tree the number of parts that each leaf is dealt in."""
+    return [np.maximum(1, np.ceil(np.array(t.sizes) * forest.scale / GROUP)).astype(np.int64) for t in forest.trees]
+
+
+def _group(tree, leaf, part, groups: int):
+    return (leaf * 1_000_003 + tree * 7_919 + part * 15_485_863) % groups
+
+
 def _placed(batches: Iterator[pa.RecordBatch], forest: Forest, width: int, groups: int) -> Iterator[pa.RecordBatch]:
+    parts = _parts(forest)
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
-            part = batch.slice(lo, 4096)
-            unit = _unit(_matrix(part.column("v"), width))
+            own = batch.slice(lo, 4096)
+            unit, ids = _unit(_matrix(own.column("v"), width)), own.column("id").to_numpy()
             for t, tree in enumerate(forest.trees):
                 leaf = tree.leaves(unit)
-                yield pa.RecordBatch.from_arrays([pa.array(_group(t, leaf, groups).astype(np.int64)), pa.array(np.full(len(leaf), t, np.int32)), pa.array(leaf.astype(np.int32)), *(part.column(c) for c in ("id", "ids", "v"))], ["g", "tree", "leaf", "id", "ids", "v"])
-
-
-def _group(tree, leaf, groups: int):
-    return (leaf * 1_000_003 + tree * 7_919) % groups
+                part = (ids * 0x9E3779B97F4A7C1 >> 13) % parts[t][leaf]
+                yield pa.RecordBatch.from_arrays([pa.array(_group(t, leaf, part, groups).astype(np.int64)), pa.array(np.full(len(leaf), t, np.int32)), pa.array(leaf.astype(np.int32)), *(own.column(c) for c in ("id", "ids", "v"))], ["g", "tree", "leaf", "id", "ids", "v"])
 
 
 def _probed(batches: Iterator[pa.RecordBatch], forest: Forest, width: int, groups: int, search: float) -> Iterator[pa.RecordBatch]:
     """One row for each query and group that it takes leaves of; at: tree << 32 | leaf of each."""
+    parts = _parts(forest)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             rows, group, at = [], [], []
             for i, found in enumerate(forest.probes(_unit(_matrix(part.column("v"), width)), search)):
-                own: dict[int, list[int]] = {}
+                own: dict[int, set[int]] = {}
                 for tree, leaf in found:
-                    own.setdefault(_group(tree, leaf, groups), []).append(tree << 32 | leaf)
+                    for n in range(parts[tree][leaf]):
+                        own.setdefault(int(_group(tree, leaf, n, groups)), set()).add(tree << 32 | leaf)
                 rows += [i] * len(own)
                 group += own
-                at += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), part.column("id").take(pa.array(rows)), part.column("v").take(pa.array(rows)), pa.array(at, pa.list_(pa.int64()))], ["g", "q", "v", "at"])
+                at += [sorted(x) for x in own.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), part.column("id").take(pa.array(rows, pa.int64())), part.column("v").take(pa.array(rows, pa.int64())), pa.array(at, pa.list_(pa.int64()))], ["g", "q", "v", "at"])
+
+
+def _best(queries: np.ndarray, asker: np.ndarray, entries: np.ndarray, length: np.ndarray, ids: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, entry, exact score) of the keep best entries of each of the askers (places in queries), ties to the smaller id."""
+    n = min(keep, len(entries))
+    own_length = np.sqrt((queries * queries).sum(axis=1))
+    for lo in range(0, len(asker) if n else 0, 128):
+        own = asker[lo : lo + 128]
+        rough = queries[own] @ entries.T / (own_length[own][:, None] * length)
+        least = np.partition(rough, len(entries) - n, axis=1)[:, len(entries) - n]
+        row, entry = np.nonzero(rough >= least[:, None] - TIE)
+        exact = np.empty(len(row))
+        for at in range(0, len(row), 1 << 15):
+            some = slice(at, at + (1 << 15))
+            exact[some] = (queries[own[row[some]]] * entries[entry[some]]).sum(axis=1) / (own_length[own[row[some]]] * length[entry[some]])
+        by = np.lexsort((ids[entry], -exact, row))
+        row, entry, exact = row[by], entry[by], exact[by]
+        near = np.arange(len(row)) - np.searchsorted(row, row) < keep
+        yield own[row[near]], entry[near], exact[near]
 
 
 def _ranked(index: pa.Table, probes: pa.Table, width: int, keep: int) -> pa.Table:
@@ -192,7 +228,7 @@ def _ranked(index: pa.Table, probes: pa.Table, width: int, keep: int) -> pa.Tabl
         order = np.argsort(key, kind="stable")
         key, ids = key[order], index.column("id").to_numpy()[order]
         entries, queries = _matrix(index.column("v"), width).astype(np.float64)[order], _matrix(probes.column("v"), width).astype(np.float64)
-        length, own_length = np.sqrt((entries * entries).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+        length = np.sqrt((entries * entries).sum(axis=1))
         lists = probes.column("at").combine_chunks()
         wanted, asker = lists.flatten().to_numpy(), np.repeat(np.arange(len(queries)), lists.value_lengths().to_numpy())
         by = np.argsort(wanted, kind="stable")
@@ -201,25 +237,46 @@ def _ranked(index: pa.Table, probes: pa.Table, width: int, keep: int) -> pa.Tabl
         for leaf in np.unique(wanted):
             lo, hi = np.searchsorted(key, [leaf, leaf + 1])
             a, b = np.searchsorted(wanted, [leaf, leaf + 1])
-            n = min(keep, hi - lo)
-            for at in range(a, b if n else a, 512):
-                own = asker[at : min(at + 512, b)]
-                rough = queries[own] @ entries[lo:hi].T / length[lo:hi]
-                best = lo + np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                exact = (queries[own][:, None, :] * entries[best]).sum(axis=2) / (own_length[own][:, None] * length[best])
-                found.append((np.repeat(own, n), best.ravel(), exact.ravel()))
+            found += [(own, entry + lo, exact) for own, entry, exact in _best(queries, asker[a:b], entries[lo:hi], length[lo:hi], ids[lo:hi], keep)]
         if found:
             q, where, score = (np.concatenate(x) for x in zip(*found, strict=True))
             by = np.lexsort((ids[where], -score, q))
             q, where, score = q[by], where[by], score[by]
             new = np.append(True, (np.diff(q) != 0) | (np.diff(ids[where]) != 0))  # an entry can come from several trees
             q, where, score = q[new], where[new], score[new]
-            first = np.flatnonzero(np.append(True, np.diff(q) != 0))
-            near = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < keep
+            near = np.arange(len(q)) - np.searchsorted(q, q) < keep
             q, where, score = probes.column("q").to_numpy()[q[near]], order[where[near]], score[near]
     return pa.table({"q": pa.array(q, pa.int64()), "id": index.column("id").take(pa.array(where)).cast(pa.int64()), "ids": index.column("ids").take(pa.array(where)), "score": pa.array(score, pa.float64())})
 
 
+def _against_all(entries: DataFrame, lacking: DataFrame, width: int, keep: int, block: int = 1000) -> Iterator[DataFrame]:
+    """(q, id, ids, score): the keep best entries of each partition for the lacking queries (id, ids, v), a block of them at a time."""
+    ids, rows, context = [], [], entries.sparkSession.sparkContext
+
+    def ranked(batches, asked):
+        q, queries = asked.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, GROUP):
+                part = batch.slice(lo, GROUP)
+                x, own = _matrix(part.column("v"), width).astype(np.float64), part.column("id").to_numpy()
+                for who, entry, exact in _best(queries, np.arange(len(q)), x, np.sqrt((x * x).sum(axis=1)), own, keep):
+                    at = pa.array(entry)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[who]), part.column("id").take(at), part.column("ids").take(at), pa.array(exact)], ["q", "id", "ids", "score"])
+
+    def scanned():
+        asked = context.broadcast((np.array(ids, np.int64), _matrix(pa.array(rows, pa.binary()), width).astype(np.float64)))
+        return entries.mapInArrow(_packed, "id long, ids array<long>, v binary").mapInArrow(lambda it: ranked(it, asked), "q long, id long, ids array<long>, score double")
+
+    for row in lacking.mapInArrow(_packed, "id long, ids array<long>, v binary").toLocalIterator():
+        ids.append(row["id"])
+        rows.append(bytes(row["v"]))
+        if len(ids) == block:
+            yield scanned()
+            ids, rows = [], []
+    if ids:
+        yield scanned()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, nearest first.
 
@@ -242,15 +299,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
     groups = max(1, count * trees // GROUP)
 
     asked = queries.select(F.col("vec_id").alias("query_id"), "v").join(entries.select("id", "v"), "v").select("query_id", F.col("id").alias("q"), "v")
-    searches = asked.groupBy("q").agg(F.first("v").alias("v")).select(F.col("q").alias("id"), F.expr("cast(array() as array<long>)").alias("ids"), "v")
+    searches, _ = settled(asked.groupBy("q").agg(F.first("v").alias("v")).select(F.col("q").alias("id"), F.expr("cast(array() as array<long>)").alias("ids"), "v"), "ann-searches")
+    blocks = -(-searches.count() // ASKED) or 1
     packed = "id long, ids array<long>, v binary"
     index = entries.mapInArrow(_packed, packed).mapInArrow(lambda it: _placed(it, forest.value, width, groups), "g long, tree int, leaf int, id long, ids array<long>, v binary")
+    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     probes = searches.mapInArrow(_packed, packed).mapInArrow(lambda it: _probed(it, forest.value, width, groups, search), "g long, q long, v binary, at array<long>")
-    met = index.groupBy("g").cogroup(probes.groupBy("g")).applyInArrow(lambda left, right: _ranked(left, right, width, k + 1), "q long, id long, ids array<long>, score double")
+    probes = probes.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    met = index.groupBy("g", "block").cogroup(probes.groupBy("g", "block")).applyInArrow(lambda left, right: _ranked(left, right, width, k + 1), "q long, id long, ids array<long>, score double")
 
-    found = met.groupBy("q", "id").agg(F.first("ids").alias("ids"), F.max("score").alias("score")).select("q", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
+
+    def nearest_of(met: DataFrame) -> DataFrame:
+        found = met.groupBy("q", "id").agg(F.first("ids").alias("ids"), F.max("score").alias("score")).select("q", "score", F.explode("ids").alias("vec_id"))
+        return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
+
+    best, _ = settled(nearest_of(met), "ann-best")
+    # a query is its own nearest, so k + 1 are needed, or all that there are
+    enough = min(k + 1, entries.select(F.size("ids").alias("n")).agg(F.sum("n")).first()[0])
+    lacking = searches.join(best.where(F.size("best") >= enough).select(F.col("q").alias("id")), "id", "left_anti")
+    for n, more in enumerate(_against_all(entries, lacking, width, k + 1)):
+        best = best.unionByName(settled(nearest_of(more), f"ann-all-{n}")[0])
+    best = best.where(F.size("best") >= enough)
     answers = asked.select("query_id", "q").distinct().join(best, "q")
     own = F.expr(f"slice(filter(best, x -> x.vec_id <> query_id), 1, {k})")
     return answers.select("query_id", F.posexplode(own).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
