@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quadrat.llm import decontaminate
 from quadrat.llm.decontaminate import ItemIndex, clean_run, simhash
@@ -39,13 +41,28 @@ def test_block_lookup_finds_all_within_the_radius(words):
 
     index = ItemIndex([(i, " ".join(words(30, i))) for i in range(20)])
     rng = random.Random(5)
-    for *_, tables in index.classes:
-        prints = np.array([int(p) ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(6))}) for p in tables[0].tolist() * 3], U)
+    for *_, tables in index.sized + index.runs:
+        radius = len(tables[3]) - 1
+        prints = np.array([int(p) ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(radius + 3))}) for p in tables[0].tolist() * 3], U)
         which, item, place = index.proposals(prints, tables)
-        want = {(w, int(tables[1][k]), int(tables[2][k])) for w in range(len(prints)) for k in range(len(tables[0])) if bin(int(prints[w]) ^ int(tables[0][k])).count("1") <= 3}
+        want = {(w, int(tables[1][k]), int(tables[2][k])) for w in range(len(prints)) for k in range(len(tables[0])) if bin(int(prints[w]) ^ int(tables[0][k])).count("1") <= radius}
         assert set(zip(which.tolist(), item.tolist(), place.tolist(), strict=True)) == want
 
 
+def test_item_sized_windows_alone_find_passages_within_the_radius(words):
+    """Without the run windows: what the items' own windows propose within the radius is found, wherever it stands."""
+    for size in (15, 30, 59):
+        item = words(size, size)
+        index = ItemIndex([(7, " ".join(item)), (8, " ".join(words(size, 1000 + size)))])
+        index.runs = []
+        own = list(item)
+        own[-1] = "changed"
+        apart = int(np.bitwise_count(index.sized[0][2][0][0] ^ simhash(decontaminate._rolling(Words(pa.array([" ".join(own)])).hash, 5)[None, :])[0]))
+        for text, near in ((item, True), (own, apart <= decontaminate.RADIUS)):
+            found = index.leaks(Words(pa.array(["", " ".join(words(33, 1) + text + words(41, 2))])))
+            assert [(x[0], x[1]) for x in found] == [(1, 0)] * near and (not near or found[0][2] == 33)
+
+
 @pytest.mark.parametrize("size", [3, 5, 9, 14, 20, 33, 45, 59, 120])
 def test_edited_passages(words, size):
     rng = random.Random(size)
@@ -60,7 +77,7 @@ def test_edited_passages(words, size):
             if not own:
                 break
         text = words(rng.randrange(30), trial) + own + words(rng.randrange(30), trial + 1)
-        assert bool(index.leaks(Words(pa.array([" ".join(text)])))) == holds(text, item)
+        assert bool(index.leaks(Words(pa.array([" ".join(text)])))) == (best_of_any_length(text, item) >= 0.8)
 
 
 def best_of_any_length(words, item):
@@ -114,5 +131,11 @@ def test_tables(spark, documents, words):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
     assert decontaminate.drop_leaks(docs, bench.where("false")).count() == 7
     assert decontaminate.find_leaks(docs.where("false"), bench).count() == 0
-    small_blocks = decontaminate.with_leaks(docs, bench, block_words=1).where("size(__leaks) > 0")
-    assert small_blocks.count() == 4
+    assert decontaminate.with_leaks(docs, bench, block_words=1).where("size(__leaks) > 0").count() == 4
+    more = bench.unionByName(bench.where("item_id = 1").selectExpr("10L AS item_id", "text", "doc_id"))
+    rows = documents([None, item, f"x {item}"], ids=[4, None, 4]).withColumn("__leaks", F.lit("own")).withColumn("d", F.lit(1))
+    for block_words in (1, 10**6):
+        got = decontaminate.with_leaks(rows, more, block_words=block_words, column="found")
+        assert got.columns == [*rows.columns, "found"]
+        assert sorted((str(r["doc_id"]), r["text"] is None, sorted({x["item_id"] for x in r["found"]})) for r in got.collect()) == [("4", False, [1, 10]), ("4", True, []), ("None", False, [1, 10])]
+    assert decontaminate.drop_leaks(rows, more).collect()[0]["__leaks"] == "own"
