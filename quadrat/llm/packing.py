@@ -120,22 +120,29 @@ class BestFitPacker:
         return len(self.pool)
 
     def fill(self, down_to: int = 0) -> Iterator[list[Piece]]:
-        tree, rooms, windows = [0] * (2 * self.leaves), {}, []
+        """The windows of all pieces, but that the emptiest ones give up to down_to pieces back to the pool, for a later round."""
+        tree, rooms, windows, left = [0] * (2 * self.leaves), {}, [], []
         for piece in sorted(self.pool, key=lambda p: -len(p.ids)):
             room = self._smallest(tree, len(piece.ids))
             if room is None:
                 room, at = self.window, len(windows)
                 windows.append([])
+                left.append(0)
             else:
                 at = rooms[room].pop()
                 self._change(tree, room, -1)
             windows[at].append(piece)
             room -= len(piece.ids)
+            left[at] = room
             if room:
                 rooms.setdefault(room, []).append(at)
                 self._change(tree, room, 1)
         self.pool = []
-        yield from windows
+        for at in sorted(range(len(windows)), key=lambda i: -left[i]):
+            if left[at] and len(self.pool) + len(windows[at]) <= down_to:
+                self.pool += windows[at]
+            else:
+                yield windows[at]
 
     def _change(self, tree: list[int], room: int, by: int) -> None:
         node = room + self.leaves
@@ -215,12 +222,17 @@ _MATRIX = pa.schema([("sequence_id", pa.int64()), ("ids", pa.binary()), ("n_toke
 
 def _matrix_batches(found: Iterator[tuple[int, list[Piece]]], window: int, kind: str, pad_id: int) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
+    place_kind, most = _position_kind(window), 1 << 8 * np.dtype(kind).itemsize
+    if pad_id >= most:
+        raise ValueError(f"{kind} holds no id {pad_id}")
     for number, out in found:
         ids = np.full(window, pad_id, kind)
-        place = np.zeros(window, "<u4")
+        place = np.zeros(window, place_kind)
         ends = [0]
         for p in out:
             lo, hi = ends[-1], ends[-1] + len(p.ids)
+            if p.ids.max() >= most:
+                raise ValueError(f"{kind} holds no id {p.ids.max()}")
             ids[lo:hi] = p.ids
             place[lo:hi] = np.arange(hi - lo)
             ends.append(hi)
@@ -233,13 +245,18 @@ def _matrix_batches(found: Iterator[tuple[int, list[Piece]]], window: int, kind:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MATRIX, strict=True)], schema=_MATRIX)
 
 
+def _position_kind(window: int) -> str:
+    return "<u2" if window <= 1 << 16 else "<u4"
+
+
 def packed_matrix(docs: DataFrame, window: int = WINDOW, pool: int = POOL, tokenizer: str | None = None, end_id: int = END_ID, id_bytes: int = 2, pad_id: int = 0) -> DataFrame:
     """One row per sequence, packed best fit decreasing.
 
     ids: a row of the id matrix, ``window`` little-endian unsigned numbers of ``id_bytes`` bytes (2 for vocabularies up to
-    65,536). cu_seqlens: cumulative lengths of its segments, from 0 to n_tokens. positions: ``window`` 32-bit positions,
-    starting again at 0 with each segment and with the padding. doc_ids and starts: the document of each segment and its
-    place there, so a document of any length can be put together again.
+    65,536; a larger id is an error). cu_seqlens: cumulative lengths of its segments, from 0 to n_tokens. positions:
+    ``window`` little-endian positions of 16 bits (32 for windows over 65,536), starting again at 0 with each segment and
+    with the padding. doc_ids and starts: the document of each segment and its place there, so a document of any length
+    can be put together again.
     """
     path = tokenizer or default_path()
     return _texts(docs).mapInArrow(
@@ -249,19 +266,10 @@ def packed_matrix(docs: DataFrame, window: int = WINDOW, pool: int = POOL, token
 
 
 def write_packed(docs: DataFrame, path: str, **options) -> DataFrame:
-    """Write the packed matrix as Parquet under path and give it as read from there.
+    """Write the packed matrix as Parquet under path, position resets included, and give it as read from there.
 
-    The positions follow from cu_seqlens, and Parquet's encoding of a repeated pattern is weak, so they are not stored
-    but rebuilt by ``with_positions``.
+    Positions count up from 0 again and again, which zstd finds in its pages.
     """
-    out = packed_matrix(docs, **options).drop("positions")
+    out = packed_matrix(docs, **options)
     out.write.option("compression", "zstd").parquet(path)
     return out.sparkSession.read.schema(out.schema).parquet(path)
-
-
-def with_positions(packed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Adds positions: array<int>, 0 at the begin of each segment and of the padding."""
-    starts = "array_distinct(cu_seqlens)"
-    runs = f"transform(sequence(1, size({starts}) - 1), i -> sequence(0, {starts}[i] - {starts}[i - 1] - 1))"
-    rest = f"if({window} > n_tokens, sequence(0, cast({window} - n_tokens - 1 as int)), cast(array() as array<int>))"
-    return packed.withColumn("positions", F.expr(f"concat(flatten({runs}), {rest})"))

@@ -81,18 +81,48 @@ def test_pieces_are_an_exact_partition(documents, texts):
 
 def test_matrix_round_trip(spark, documents, texts, tmp_path):
     want = ids_of(texts)
-    out = packing.with_positions(packing.write_packed(documents(texts), str(tmp_path / "m"))).collect()
+    out = packing.write_packed(documents(texts), str(tmp_path / "m")).collect()
+    assert spark.read.parquet(str(tmp_path / "m")).columns == ["sequence_id", "ids", "n_tokens", "cu_seqlens", "positions", "doc_ids", "starts"]
     found = {}
     for r in out:
         ids = np.frombuffer(r["ids"], "<u2")
         assert len(ids) == 1024 and r["cu_seqlens"][-1] == r["n_tokens"] and not ids[r["n_tokens"] :].any()
         ends = [*r["cu_seqlens"], 1024] if r["n_tokens"] < 1024 else r["cu_seqlens"]
-        assert r["positions"] == [p for a, b in itertools.pairwise(ends) for p in range(b - a)]
+        assert np.frombuffer(r["positions"], "<u2").tolist() == [p for a, b in itertools.pairwise(ends) for p in range(b - a)]
         for d, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
             found.setdefault(d, {})[s] = ids[a:b].tolist()
     assert {d: sum((p for _, p in sorted(own.items())), []) for d, own in found.items()} == want
 
 
+def test_matrix_of_repeated_and_nameless_rows(documents, tmp_path):
+    long = " ".join(f"word{i}" for i in range(900))
+    rows = packing.write_packed(documents([long, long, long, "", None], ids=[1, 1, None, None, 2]), str(tmp_path / "m")).collect()
+    found = {}
+    for r in rows:
+        for d, a, b in zip(r["doc_ids"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
+            found[d] = found.get(d, 0) + b - a
+    n = len(ids_of([long])[0])
+    assert n > 1024 and found == {1: 2 * n, None: n + 1, 2: 1}
+    with pytest.raises(Exception, match="holds no id"):
+        packing.write_packed(documents([long]), str(tmp_path / "n"), id_bytes=1)
+
+
+def test_flushed_windows_leave_little_padding():
+    """Over many flushes: windows with room go back to the pool, so padding is that of a few windows, not of one for each flush."""
+    rng = random.Random(8)
+    packer, done, padding = packing.BestFitPacker(1024), 0, []
+    for _ in range(12):
+        while packer.size < 512:
+            n = rng.choice([rng.randrange(1, 1024), rng.randrange(1, 200)])
+            done += n
+            packer.add(packing.Piece(0, np.zeros(n, np.uint32), 0, n))
+        padding += [1024 - sum(len(p.ids) for p in w) for w in packer.fill(128)]
+        assert packer.size <= 128
+    rest = [1024 - sum(len(p.ids) for p in w) for w in packer.fill()]
+    assert 1024 * (len(padding) + len(rest)) - sum(padding) - sum(rest) == done
+    assert sum(padding) < 0.01 * done and sum(padding) + sum(rest) < 0.03 * done
+
+
 def test_odd_tables(documents):
     docs = documents(["same", "same", None], ids=[1, 1, None])
     assert sorted((r["doc_id"] or -1) for r in packing.pack(docs).collect()) == [-1, 1, 1]
