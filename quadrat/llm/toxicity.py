@@ -5,11 +5,13 @@ lower-cased text, everything but letters and digits being a blank), hashed to
 ``2**BITS`` buckets. A feature's scale is the log ratio of its smoothed
 document counts in the two classes; a logistic regression is fitted on the
 scaled features and its intercept set to the classes' shares among all
-training labels. Only features whose class counts differ by at least
-``DEVIATIONS`` standard deviations from the classes' shares take part.
+training labels. Features whose class counts differ by at least ``DEVIATIONS``
+standard deviations from the classes' shares take part, all of them.
 
 Labels are learned from at most ``POSITIVES`` and ``NEGATIVES`` labelled rows,
 those of the smallest hash of doc_id (documented bound; whole texts are used).
+So what comes to the driver is bounded too: the features of at most that many
+texts, and 2**BITS counts.
 Every document is scored over its whole text. Labels, lang, source and doc_id
 are never inputs of a score.
 
@@ -33,12 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import drop_path, settled
+from quadrat.llm.common import drop_path, settled, unused
 from quadrat.llm.shingles import pieces
 
 SIZES, BITS = (4, 5, 6), 20
 POSITIVES, NEGATIVES = 4000, 8000
-DEVIATIONS, MOST_FEATURES = 6.0, 8000
+DEVIATIONS = 6.0
 THRESHOLD = 0.7
 
 _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -140,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     """Fit on the labelled rows that are not held out."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(share) < 2:
         return Model(np.zeros(1 << BITS), {(): -700.0, (0,): -700.0, (1,): 700.0}[tuple(share)])
@@ -160,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     df = F.col("negative") + F.col("positive")
     counted = rows.mapInArrow(_counted, "feature long, negative long, positive long").groupBy("feature").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
     strength = F.abs(F.col("positive") - df * rate) / F.sqrt(df * rate * (1 - rate) * F.greatest(F.lit(1.0) - df / n, F.lit(0.02)))
-    picked = counted.withColumn("strength", strength).where(f"strength >= {DEVIATIONS}").orderBy(F.desc("strength"), "feature").limit(MOST_FEATURES).toPandas()
+    picked = counted.withColumn("strength", strength).where(f"strength >= {DEVIATIONS}").toPandas()
     prior = float(np.log(share[1] / share[0]))
     weights = np.zeros(1 << BITS)
     if not len(picked):
@@ -182,16 +184,17 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     return Model(weights, intercept + prior - float(np.log(size[1] / size[0])))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "__score"), pa.array(model.score(part.column("text")))], [*(c for c in part.schema.names if c != "__score"), "__score"])
+            yield part.set_column(part.schema.get_field_index(column), column, pa.array(model.score(part.column("text"))))
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    out = docs.withColumn("__score", F.lit(0.0).cast("double"))
+def with_score(docs: DataFrame, model: Model, column: str = "__score") -> DataFrame:
+    """The rows with their texts' scores in that column."""
+    out = docs.withColumn(column, F.lit(0.0).cast("double"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size, 2**BITS numbers
-    return out.mapInArrow(lambda it: _scored(it, shared.value), out.schema)
+    return out.mapInArrow(lambda it: _scored(it, shared.value, column), out.schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -202,4 +205,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score stays below the threshold, with all their columns."""
-    return with_score(docs, train(docs, labels)).where(F.col("__score") < threshold).select(*docs.columns)
+    column = unused("__score", docs.columns)
+    return with_score(docs, train(docs, labels), column).where(F.col(column) < threshold).drop(column)

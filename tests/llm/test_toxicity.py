@@ -61,3 +61,52 @@ def test_odd_tables(spark, documents):
         rows = toxicity.score(docs, own).collect()
         assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.score(docs.where("false"), labels).count() == 0
+
+
+def by_hand(texts, marks, held, share):
+    """Scores of all texts by the plain definition: counts feature by feature, log ratios, Newton's method on all weights."""
+    sets = [set(toxicity.ngrams(pa.array([t], pa.string())).tolist()) for t in texts]
+    train = [i for i in range(len(texts)) if not held[i]]
+    n = [sum(marks[i] == c for i in train) for c in (0, 1)]
+    total, rate, scale = sum(n), n[1] / sum(n), {}
+    for f in sorted(set().union(*(sets[i] for i in train))):
+        has = [sum(f in sets[i] for i in train if marks[i] == c) for c in (0, 1)]
+        df = sum(has)
+        if abs(has[1] - df * rate) / np.sqrt(df * rate * (1 - rate) * max(1 - df / total, 0.02)) >= toxicity.DEVIATIONS:
+            scale[f] = np.log((has[1] + 1) / (n[1] + 2)) - np.log((has[0] + 1) / (n[0] + 2))
+    names = list(scale)
+    x = np.array([[scale[f] if f in s else 0.0 for f in names] + [1.0] for s in sets])
+    own, y, w = x[train], np.array([marks[i] for i in train], float), np.zeros(len(names) + 1)
+    ridge = np.diag([1.0] * len(names) + [0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-own @ w))
+        w -= np.linalg.solve((own * (p * (1 - p))[:, None]).T @ own + ridge, own.T @ (p - y) + ridge @ w)
+    return 1 / (1 + np.exp(-(x @ w + np.log(share[1] / share[0]) - np.log(n[1] / n[0])))), len(names)
+
+
+def test_scores_equal_the_plain_definition(spark, words):
+    rng = random.Random(9)
+    texts, marks = [], []
+    for i in range(160):
+        w = words(rng.choice([5, 30]), 500 + i)
+        marks.append(int(i % 4 == 0))
+        if marks[-1]:
+            w.insert(rng.randrange(len(w)), rng.choice(["nitwit", "dunce"]))
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    lost = [(1000 + i, 1) for i in range(50)]  # labels without a document count for nothing
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks)] + lost, "doc_id long, toxic int")
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(160)]
+    share = [sum(m == c for m, h in zip(marks, held, strict=True) if not h) for c in (0, 1)]
+    want, features = by_hand(texts, marks, held, share)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    assert features > 10
+    assert np.allclose([got[i] for i in range(160)], want, atol=2e-3)
+
+
+def test_columns_of_any_name_stay(documents, spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(["one two", None], ids=[3, None]).withColumn("__score", F.lit("own")).withColumn("score", F.lit(7))
+    kept = toxicity.keep_clean(docs, spark.createDataFrame([(3, 0)], "doc_id long, toxic int"))
+    assert kept.schema.simpleString() == docs.schema.simpleString() and {(r["__score"], r["score"]) for r in kept.collect()} == {("own", 7)}
