@@ -30,11 +30,11 @@ WINDOW = 3
 
 
 def _key() -> list:
-    return [F.coalesce("doc_id", F.lit(-(2**63))).alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t")]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t")]
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """(d, t, pos, w1, w2): the windows of each document; pos counts lines from 0."""
+    """(__d, __t, pos, w1, w2): the windows of each document; pos counts lines from 0."""
     lines = docs.select(*_key(), F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
     lines = lines.where(F.size("l") >= WINDOW).select("__d", "__t", F.expr("transform(l, x -> struct(xxhash64(trim(x)) as a, xxhash64('line', trim(x)) as b))").alias("h"))
     places = [f"h[i + {k}]" for k in range(WINDOW)]
@@ -56,29 +56,31 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return runs.groupBy("__d", "__t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__runs"))
 
 
-def with_lines_removed(docs: DataFrame) -> DataFrame:
-    """The rows with their remaining text, __lines and __removed (numbers of lines before, and removed)."""
-    keyed = docs.select("*", *_key())
-    out = keyed.join(repeated_runs(docs), ["__d", "__t"], "left").withColumn("__l", F.split(F.coalesce("text", F.lit("")), "\n"))
-    lo = "if(i = size(__runs), size(__l), __runs[i].lo)"
+def _rest(docs: DataFrame) -> DataFrame:
+    """(own, rest, n_lines, n_removed) of each row: the row itself as a struct, so that no name of its columns clashes, what
+    remains of its text, and the numbers of lines before and removed."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *_key(), F.col("text").alias("whole"))
+    out = keyed.join(repeated_runs(docs), ["__d", "__t"], "left").withColumn("l", F.split(F.coalesce("whole", F.lit("")), "\n"))
+    lo = "if(i = size(__runs), size(l), __runs[i].lo)"
     after = "if(i = 0, 0, __runs[i - 1].hi + 1)"
-    kept = F.expr(f"flatten(transform(sequence(0, size(__runs)), i -> slice(__l, {after} + 1, {lo} - {after})))")
-    out = out.withColumn("__removed", F.expr("coalesce(aggregate(__runs, 0L, (n, r) -> n + r.hi - r.lo + 1), 0L)")).withColumn("__lines", F.size("__l").cast("long"))
-    return out.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns, "__lines", "__removed")
+    kept = F.expr(f"flatten(transform(sequence(0, size(__runs)), i -> slice(l, {after} + 1, {lo} - {after})))")
+    removed = F.expr("coalesce(aggregate(__runs, 0L, (n, r) -> n + r.hi - r.lo + 1), 0L)")
+    return out.select("own", F.when(F.col("__runs").isNull(), F.col("whole")).otherwise(F.array_join(kept, "\n")).alias("rest"), F.size("l").cast("long").alias("n_lines"), removed.alias("n_removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, text_md5): the last of the text that remains."""
-    out = with_lines_removed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    out = _rest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return out.select("own.doc_id", "n_lines", "n_removed", F.md5(F.coalesce("rest", F.lit(""))).alias("text_md5"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what remains of their texts; those that lost every line go. n_chars, if there is one, follows the text."""
-    out = with_lines_removed(docs).where("__removed = 0 OR __removed < __lines")
+    out = _rest(docs).where("n_removed = 0 OR n_removed < n_lines")
+    new = {"text": F.col("rest")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("own.n_chars"))
+    return out.select(*[new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
 
 
 REPORT_SQL = """

@@ -21,7 +21,7 @@ def by_hand(docs):
 
 
 def result(docs):
-    return {r["doc_id"]: (r["__lines"], r["__removed"], r["text"] or "") for r in line_dedup.with_lines_removed(docs).collect()}
+    return {r["own"]["doc_id"]: (r["n_lines"], r["n_removed"], r["rest"] or "") for r in line_dedup._rest(docs).collect()}
 
 
 def test_equals_definition(documents):
@@ -40,10 +40,22 @@ def test_emptied_documents_go(documents):
 
 def test_repeated_rows_null_ids_and_empty_table(documents):
     docs = documents(["a\nb\nc", "a\nb\nc", "a\nb\nc\nd"], ids=[1, 1, None])
-    assert sorted((r["doc_id"] or -1, r["text"]) for r in line_dedup.with_lines_removed(docs).collect()) == [(-1, "a\nb\nc\nd"), (1, ""), (1, "")]
+    assert sorted((r["own"]["doc_id"] or -1, r["rest"]) for r in line_dedup._rest(docs).collect()) == [(-1, "a\nb\nc\nd"), (1, ""), (1, "")]
     assert line_dedup.report(docs.where("false")).count() == 0
 
 
+def test_columns_of_any_name_stay(documents):
+    from pyspark.sql import functions as F
+
+    names = ["__d", "__t", "pos", "w1", "l", "own", "rest", "n_lines", "n_removed", "a.b", "__runs"]
+    docs = documents(["a\nb\nc\nd", "x\na\nb\nc"])
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(i))
+    out = line_dedup.drop_repeats(docs)
+    assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+    assert sorted((r["doc_id"], r["text"], r["own"], r["a.b"]) for r in out.collect()) == [(0, "a\nb\nc\nd", 5, 9), (1, "x", 5, 9)]
+
+
 def test_plan_has_no_python(documents, capsys):
     line_dedup.report(documents(["a\nb\nc"] * 2)).explain("formatted")
     assert not re.search(r"\) (MapIn\w+|\w+EvalPython|FlatMap\w+|PythonUDTF)", capsys.readouterr().out)
