@@ -1,14 +1,18 @@
 """WARC archives with revisit records (operator 5).
 
-Headers (digest, size, page) are shuffled by payload digest; the smallest page
-of each digest is the original, the others revisit it. Archives are written
-with fresh headers and with each payload once, read back, and the revisits are
-joined to their originals to get their sizes.
+Headers (digest, size, page) are written once and shuffled by payload digest;
+the smallest page of each digest is the original, the others revisit it. The
+pages then meet the list of repeated digests alone: Spark sends a short list to
+them, so no payload is shuffled, and shuffles both where it is long. Archives
+are written with fresh headers and with each payload once, read back, and the
+revisits are joined to their originals to get their sizes.
 
 Archives are written by Spark's text writer, whose separator between rows is
 the blank line that ends a WARC record, so a file is the plain concatenation of
-its records; each is gzipped and holds at most ``RECORDS`` records. They are
-read whole, one file at a time, record by record by Content-Length.
+its records; each is gzipped. Records go to files by size class (``CLASSES``),
+each with as many records a file as keep it under some 128 MB; a longer record
+is a file of its own. They are read whole, one file at a time, record by record
+by Content-Length.
 
 Results in odd cases: a null payload is an empty one; payloads under
 ``LEAST_BYTES`` are always responses; rows that repeat the original's page_id
@@ -32,8 +36,11 @@ from pyspark.sql import functions as F
 from quadrat.llm.common import settled
 
 LEAST_BYTES = 100
-RECORDS = 2000
+RECORDS = 2000  # rows that a reading task gives on at once
+#: Largest record, and records a file.
+CLASSES = [(64 << 10, 2000), (1 << 20, 128), (16 << 20, 8), (None, 1)]
 END = "\r\n\r\n"
+EMPTY_GZIP = 20  # bytes
 
 
 def _with_headers(pages: DataFrame) -> DataFrame:
@@ -56,14 +63,16 @@ def as_records(pages: DataFrame, originals: DataFrame) -> DataFrame:
     revisit = F.col("refers_to").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("refers_to")))
     number = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     # white space and control characters would break the header; they are percent-encoded
-    target = F.coalesce("url", F.lit(""))
-    target = F.when(target.rlike(r"[\x00-\x20\x7f]"), F.url_encode(target)).otherwise(target)
+    plain = F.coalesce("url", F.lit(""))
+    odd = plain.rlike(r"[\x00-\x20\x7f]")
+    target = F.when(odd, F.url_encode(plain)).otherwise(plain)
     lines = [
         F.lit("WARC/1.1"),
         F.when(revisit, "WARC-Type: revisit").otherwise("WARC-Type: response"),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), number, F.lit(">")),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Target-URI: "), target),
+        F.when(odd, "X-Target-Encoding: percent"),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
         F.lit("Content-Type: text/html; charset=utf-8"),
@@ -73,7 +82,14 @@ def as_records(pages: DataFrame, originals: DataFrame) -> DataFrame:
 
 
 def write_archives(records: DataFrame, path: str, per_file: int = RECORDS) -> None:
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    """Add the records to the archives under path. The file that Spark writes for a first partition without rows is no archive and goes."""
+    records.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    context = records.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(f"{path}/part-00000-*")
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    for found in files.globStatus(place) or ():
+        if found.getLen() <= EMPTY_GZIP:
+            files.delete(found.getPath(), False)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -113,7 +129,8 @@ def _parsed(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[p
         for data in batch.column("content"):
             rows, size = [], 0
             for headers, block in parse(data.as_py()):
-                row = (_page(headers["warc-record-id"]), urllib.parse.unquote_plus(u) if "%" in (u := headers.get("warc-target-uri", "")) and "://" not in u else u, headers["warc-type"], _page(headers.get("warc-refers-to")), headers.get("warc-payload-digest", "").removeprefix("sha256:"), len(block), hashlib.sha256(block).hexdigest())
+                target = headers.get("warc-target-uri", "")
+                row = (_page(headers["warc-record-id"]), urllib.parse.unquote_plus(target) if headers.get("x-target-encoding") == "percent" else target, headers["warc-type"], _page(headers.get("warc-refers-to")), headers.get("warc-payload-digest", "").removeprefix("sha256:"), len(block), hashlib.sha256(block).hexdigest())
                 rows.append((*row, block) if with_payload else row)
                 size += len(block) * with_payload
                 if len(rows) >= RECORDS or size > 8 << 20:
@@ -141,15 +158,31 @@ def resolved(records: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) as deduplicated archives under path; what they hold, as read back."""
     rows = _with_headers(pages)
-    write_archives(as_records(rows, resolve(rows.select("page_id", "bytes", "digest"), least_bytes)), path)
+    headers, _ = settled(rows.select("page_id", "bytes", "digest"), "warc-headers")
+    originals, _ = settled(resolve(headers, least_bytes), "warc-originals")  # of known size, so that Spark can choose the join
+    least = 0
+    for most, per_file in CLASSES:
+        own = (F.col("bytes") > least) if least else F.lit(True)
+        own = own if most is None else own & (F.col("bytes") <= most)
+        if most == CLASSES[0][0] or not headers.where(own).isEmpty():
+            write_archives(as_records(rows.where(own), originals), path, per_file)
+        least = most
     found, _ = settled(read_archives(pages.sparkSession, path), "warc-records")  # parsed once, used three times; no payloads
     return resolved(found)
 
 
 def dedup_archives(spark: SparkSession, source: str, target: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Read archives of responses in UTF-8 and write them again with revisit records."""
-    old = read_archives(spark, source, with_payload=True).where("record_type = 'response'")
-    return archive(old.select("page_id", "url", F.decode("payload", "utf-8").alias("html")), target, least_bytes)
+    """Read archives of pages in UTF-8 and write them again with revisit records.
+
+    A record that is a revisit already has the payload of the response it refers to, by page and digest; one without such a
+    response in the source has no payload to write and is left out.
+    """
+    old = read_archives(spark, source, with_payload=True)
+    whole = old.where("record_type = 'response'").select("page_id", "url", "digest", "payload")
+    origin = whole.where("page_id IS NOT NULL").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("declared"), "payload").dropDuplicates(["refers_to", "declared"])
+    again = old.where("record_type = 'revisit'").select("page_id", "url", "refers_to", "declared").join(origin, ["refers_to", "declared"])
+    pages = whole.select("page_id", "url", "payload").unionByName(again.select("page_id", "url", "payload"))
+    return archive(pages.select("page_id", "url", F.decode("payload", "utf-8").alias("html")), target, least_bytes)
 
 
 ARCHIVE_SQL = f"""
