@@ -21,8 +21,9 @@ def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shard_store.compacted(_table(spark, sf_dir, "documents"), fresh_path(spark, "shards"))
-    return docs.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+    docs, before, after = shard_store.compacted(_table(spark, sf_dir, "documents"), fresh_path(spark, "shards"))
+    done = shard_store.facts(before, after)
+    return docs.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), *[F.lit(v).alias(k) for k, v in done.items()])
 
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op6_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_best_fit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.write_packed(_table(spark, sf_dir, "documents"), fresh_path(spark, "packed"))
-    return out.select("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"))
+    return out.select("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
 
 
 def op8_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,8 @@ def op9_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_reputation.judge(_table(spark, sf_dir, "pages"), url_reputation.page_outcomes(_table(spark, sf_dir, "labels")))
+    pages = _table(spark, sf_dir, "pages")
+    return url_reputation.judge(pages, url_reputation.page_outcomes(pages, _table(spark, sf_dir, "labels")))
 
 
 QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_size_tiered_compaction, op3_dart_minhash, op4_line_windows, op5_warc_revisits, op6_nb_toxicity, op7_best_fit_matrix, op8_simhash_leaks, op9_slack_packing, op10_host_reputation)}

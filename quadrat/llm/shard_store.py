@@ -9,7 +9,14 @@ writes them again: nothing is shuffled.
 A manifest lists a version's shards. It is written beside its place and renamed
 into it, which fails if the version exists; the writer then takes the newer
 version and tries again. So readers see a whole version or none, and a job that
-dies leaves only files that no manifest names, which ``vacuum`` removes.
+dies leaves only files that no manifest names. ``vacuum`` removes those when they
+are older than an age in which every writer commits, and the shards of versions
+that were replaced longer ago than that, so neither a writer that has not yet
+committed nor a reader of an older version loses files.
+
+The driver handles a manifest as one list: some 100 bytes a shard, so a table of
+100 TB needs shards of a few hundred megabytes (``target_bytes``) to keep it at
+tens of megabytes.
 
 Results in odd cases: an empty arrival or table gives a version whose read is
 empty; rows come back as they were, nulls and repeated rows included; an
@@ -20,11 +27,16 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHARD_ROWS, TARGET_BYTES, FANOUT = 2000, 64 << 20, 4
+SAFE_AGE = 7 * 24 * 3600.0  # seconds
+ARRIVALS = 4
 
 
 class Conflict(Exception):
@@ -105,12 +117,15 @@ class ShardStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['path']}" for s in m["shards"]))
 
+    def tier(self, size: int) -> int:
+        return int(math.log(max(size, 1), self.fanout))
+
     def tiers(self) -> dict[int, list[dict]]:
         """Shards that can be merged, by tier."""
         out: dict[int, list[dict]] = {}
         for s in self.manifest()["shards"]:
             if s["bytes"] < self.target // 2:
-                out.setdefault(int(math.log(max(s["bytes"], 1), self.fanout)), []).append(s)
+                out.setdefault(self.tier(s["bytes"]), []).append(s)
         return out
 
     def compact(self) -> dict:
@@ -126,9 +141,12 @@ class ShardStore:
                 self._commit(schema, self._write(rows.coalesce(files)), {s["path"] for s in own})
         return self.manifest()
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete files that none of the last versions names; how many."""
-        kept = {s["path"] for v in self.versions()[-keep:] for s in self.manifest(v)["shards"]}
+    def vacuum(self, safe_age: float = SAFE_AGE) -> int:
+        """Delete files older than safe_age seconds that belong to no version read within that time; how many."""
+        oldest = time.time() - safe_age
+        known = self.versions()
+        ended = {v: self._fs.getFileStatus(self._path(f"_manifests/v{after:08d}.json")).getModificationTime() / 1000 for v, after in zip(known, known[1:], strict=False)}
+        kept = {s["path"] for v in known if v == known[-1] or ended[v] > oldest for s in self.manifest(v)["shards"]}
         gone = 0
         if not self._fs.exists(self._path("data")):
             return 0
@@ -136,18 +154,34 @@ class ShardStore:
             name = f"data/{run.getPath().getName()}"
             for f in self._fs.listStatus(run.getPath()):
                 path = f"{name}/{f.getPath().getName()}"
-                if path.endswith(".parquet") and path not in kept:
+                if path.endswith(".parquet") and path not in kept and f.getModificationTime() / 1000 <= oldest:
                     gone += bool(self._fs.delete(f.getPath(), False))
         return gone
 
 
-def compacted(df: DataFrame, root: str, **options) -> DataFrame:
-    """The rows after a round through a store: appended as small shards, compacted, read by the last manifest."""
+def arrive(store: ShardStore, df: DataFrame, arrivals: int = ARRIVALS) -> None:
+    """Append all rows of df in several arrivals: each row belongs to one, by the hash of its columns."""
+    part = F.pmod(F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in df.columns]), F.lit(arrivals))
+    for n in range(arrivals):
+        store.append(df.where(part == n))
+
+
+def compacted(df: DataFrame, root: str, arrivals: int = ARRIVALS, **options) -> tuple[DataFrame, dict, dict]:
+    """The rows after a round through a new store, which has no other writers or readers: appended in several arrivals
+    of small shards, compacted, read by the last manifest. And the manifests before and after compaction."""
     store = ShardStore(df.sparkSession, root, **options)
-    store.append(df)
-    store.compact()
-    store.vacuum()
-    return store.read()
+    arrive(store, df, arrivals)
+    before = store.manifest()
+    after = store.compact()
+    store.vacuum(safe_age=0.0)
+    return store.read(), before, after
+
+
+def facts(before: dict, after: dict, target: int = TARGET_BYTES) -> dict:
+    """What a compaction has done: whether arrivals were committed one by one, shards became fewer, and none that was merged is over twice the target."""
+    old = {s["path"] for s in before["shards"]}
+    merged = [s for s in after["shards"] if s["path"] not in old]
+    return {"arrivals": before["version"], "merges": after["version"] > before["version"], "fewer_shards": len(after["shards"]) < len(before["shards"]), "within_target": all(s["bytes"] <= 2 * target for s in merged)}
 
 
-COMPACTED_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+COMPACTED_SQL = f"SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, {ARRIVALS} AS arrivals, true AS merges, true AS fewer_shards, true AS within_target FROM documents"

@@ -5,11 +5,13 @@ towards the share of all pages, a registered domain towards its suffix, a host
 towards its domain. At each level the prior is a beta distribution whose mean
 is the level above and whose strength is estimated from all groups of the level
 by the moments of the beta-binomial. A host is blocked if a lower bound of its
-posterior bad share (mean less ``Z`` posterior standard deviations) is over ``LIMIT``.
+posterior bad share (mean less ``Z`` posterior standard deviations) is over
+``LIFT`` times the bad share of all labelled pages, or over ``LIMIT``.
 
 The counts are aggregated before any shuffle, so a host with a third of all
-pages is one row of each task; in the join back to the pages it is a skewed
-key, which AQE splits. Only one row of sums for each level comes to the driver.
+pages is one row of each task, and written once, a row a host; in the join back
+to the pages a host is a skewed key, which AQE splits. Only one row of sums for
+each level comes to the driver.
 
 The registered domain is the last two labels of a host, or the last three where
 those are a two-letter country and one of ``SECOND``; the suffix is what follows
@@ -19,7 +21,8 @@ Results in odd cases: a null url, or one without ``://``, has an empty host and
 path; empty hosts form one group like any other; pages without a label count in
 no rate and are judged by their host; of several labels of a page the worst
 counts; without any label no host is blocked; rows are judged one by one, so
-repeated rows and null page_ids stay; further columns are ignored.
+repeated rows and null page_ids stay, the latter without a label; further
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +30,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.common import settled
+
 # Second labels under which countries register domains.
 SECOND = ["ac", "co", "com", "edu", "gov", "net", "org"]
 #: Action, host and path of the rules; the longest that fits wins.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-Z, LIMIT = 1.645, 0.5
+Z, LIFT, LIMIT = 1.645, 2.0, 0.5
 LEVELS = ["suffix", "domain", "host"]
 
 _ADDRESS = "://([^/?#]*)([^?#]*)"
+_NUMBER = "://[^/?#]*/[^/?#]*/([0-9]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -64,11 +70,11 @@ def _strength(groups: DataFrame) -> float:
     return (1 - rho) / rho
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """(host, bad_share, bound): posterior mean and lower bound of each host's bad share. outcomes: (page_id, bad), 0 or 1 for labelled pages."""
+def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z, lift: float = LIFT, limit: float = LIMIT) -> DataFrame:
+    """(host, bad_share, bound, bad_host): posterior mean and lower bound of each host's bad share, and whether the bound is over the limit. outcomes: (page_id, bad), 0 or 1 for labelled pages."""
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"))
     known = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    hosts = with_levels(seen.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).cast("long").alias("bad")))
+    hosts, _ = settled(with_levels(seen.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).cast("long").alias("bad"))), "hosts")
     counts = {"host": hosts}
     for level, below in (("domain", "host"), ("suffix", "domain")):
         counts[level] = counts[below].groupBy(level, *(["suffix"] if level == "domain" else [])).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -80,7 +86,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame
         own = counts[level].withColumn("prior", F.lit(float(share))) if above is None else counts[level].join(out.select(above, F.col("mean").alias("prior")), above)
         strength = F.lit(_strength(own))
         out = own.select("*", ((F.col("bad") + strength * F.col("prior")) / (F.col("n") + strength)).alias("mean"), (F.col("n") + strength).alias("weight"))
-    return out.select("host", F.col("mean").alias("bad_share"), (F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))).alias("bound"))
+    bound = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
+    return out.select("host", F.col("mean").alias("bad_share"), bound.alias("bound")).withColumn("bad_host", F.col("bound") > min(lift * share, limit) if share else F.lit(False))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -92,17 +99,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, limit: float = LIMIT) -> DataFrame:
-    """(page_id, host, path, rule, verdict, bad_share) of each row of pages."""
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, lift: float = LIFT, limit: float = LIMIT) -> DataFrame:
+    """(page_id, host, path, rule, verdict, bad_share, bound) of each row of pages."""
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, action = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("bound") > limit, "block").otherwise("allow")
-    return seen.join(reputation(pages, outcomes, z), "host", "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(action, own).alias("verdict"), F.round("bad_share", 9).alias("bad_share"))
+    own = F.when(F.col("bad_host"), "block").otherwise("allow")
+    return seen.join(reputation(pages, outcomes, z, lift, limit), "host", "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(action, own).alias("verdict"), F.round("bad_share", 9).alias("bad_share"), F.round("bound", 9).alias("bound"))
 
 
-def page_outcomes(labels: DataFrame) -> DataFrame:
-    """A label's doc_id names the page; a page of low quality or with toxic text is bad."""
-    return labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"))
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, bad): a page shows the document that its path names by number; it is bad if that is of low quality or toxic."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"))
+    return pages.select("page_id", F.regexp_extract("url", _NUMBER, 1).try_cast("long").alias("doc")).join(known.where("doc IS NOT NULL").groupBy("doc").agg(F.max("bad").alias("bad")), "doc").select("page_id", "bad")
 
 
 def _level_sql(level: str, above: str | None) -> str:
@@ -122,8 +130,9 @@ def _rule_sql(what: str) -> str:
 
 JUDGE_SQL = f"""
 WITH seen AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{_ADDRESS}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  coalesce(regexp_extract(url, '{_ADDRESS}', 2), '') AS path FROM pages),
-known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+  coalesce(regexp_extract(url, '{_ADDRESS}', 2), '') AS path, try_cast(regexp_extract(url, '{_NUMBER}', 1) AS BIGINT) AS doc_id FROM pages),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+known AS (SELECT page_id, max(bad) AS bad FROM seen JOIN marks USING (doc_id) WHERE page_id IS NOT NULL GROUP BY page_id),
 hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM seen LEFT JOIN known USING (page_id) GROUP BY host),
 parts AS (SELECT *, string_split(host, '.') AS p FROM hosts),
 cut AS (SELECT *, (len(p) >= 3 AND length(p[-1]) = 2 AND p[-2] IN ({", ".join(f"'{s}'" for s in SECOND)}))::INT AS c FROM parts),
@@ -131,9 +140,10 @@ host_groups AS (SELECT host, n, bad, array_to_string(p[greatest(1, len(p) - 1 -
 domain_groups AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM host_groups GROUP BY domain, suffix),
 suffix_groups AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domain_groups GROUP BY suffix),
 total AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0)::DOUBLE, 0) AS share FROM suffix_groups),
-{_level_sql("suffix", None)},{_level_sql("domain", "suffix")},{_level_sql("host", "domain")}
+{_level_sql("suffix", None)},{_level_sql("domain", "suffix")},{_level_sql("host", "domain")},
+bounds AS (SELECT host, mean, mean - {Z} * sqrt(mean * (1 - mean) / (weight + 1)) AS bound FROM host_post)
 SELECT page_id, seen.host, path, {_rule_sql("name").replace("host =", "seen.host =").replace("(host,", "(seen.host,")} AS rule,
-  coalesce({_rule_sql("action").replace("host =", "seen.host =").replace("(host,", "(seen.host,")}, CASE WHEN mean - {Z} * sqrt(mean * (1 - mean) / (weight + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-  round(mean, 9) AS bad_share
-FROM seen JOIN host_post ON seen.host = host_post.host
+  coalesce({_rule_sql("action").replace("host =", "seen.host =").replace("(host,", "(seen.host,")}, CASE WHEN share > 0 AND bound > least({LIFT} * share, {LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict,
+  round(mean, 9) AS bad_share, round(bound, 9) AS bound
+FROM seen JOIN bounds ON seen.host = bounds.host CROSS JOIN total
 """
