@@ -115,7 +115,7 @@ def negative_controls(counts: DataFrame, controls: DataFrame, top: int = 12) ->
     counts: (sample, taxon, reads, pct). Flagged: named, at least 1 % of the pooled controls and at least twice the mean
     per cent of the samples.
     """
-    marked = counts.join(F.broadcast(controls.select("sample", F.lit(1).alias("control"))), "sample", "left")
+    marked = counts.join(controls.select("sample", F.lit(1).alias("control")).distinct(), "sample", "left")
     is_control = F.col("control").isNotNull()
     totals = marked.groupBy("sample").agg(F.first("control", ignorenulls=True).alias("control"), F.sum("reads").alias("reads")).agg(
         F.sum(F.when(is_control, F.col("reads"))).alias("pooled"), F.count(F.when(~is_control, 1)).alias("n_samples")
@@ -191,10 +191,9 @@ def looks_like_ppm(features: DataFrame, off: float = 1e4) -> DataFrame:
 def numbered(rows: DataFrame, value: str, tie: str, name: str = "number") -> DataFrame:
     """Adds each row's place from the largest value, ties by another column.
 
-    Only the different values are summed in one order; rows of equal value are numbered in their own partition.
+    Rows of equal value are numbered in their own partition, after as many rows as have a larger one.
     """
-    below = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy(value).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(below), F.lit(0))).drop("__n")
+    before = running_counts(rows, value, []).select(value, (F.col("__all") - F.col("__run")).alias("__before"))
     place = F.col("__before") + F.row_number().over(Window.partitionBy(value).orderBy(tie))
     return rows.join(before, value).withColumn(name, place).drop("__before")
 
@@ -206,8 +205,7 @@ def positional_ids(features: DataFrame, prefix: str = "SV", digits: int = 3) ->
 
 
 def rollup_ranks(named: DataFrame, ranks: list[str]) -> DataFrame:
-    """Reads by every prefix of the ranks at once: GROUPING SETS in one pass. level: number of ranks in the key."""
-    sets = ", ".join(f"({', '.join(ranks[:i])})" for i in range(len(ranks) + 1))
-    named.createOrReplaceTempView("__named")
-    level = " + ".join(f"(1 - grouping({r}))" for r in ranks)
-    return named.sparkSession.sql(f"SELECT {', '.join(ranks)}, cast({level} as int) AS level, sum(reads) AS reads FROM __named GROUP BY GROUPING SETS ({sets})")
+    """Reads by every prefix of the ranks at once, in one pass. level: number of ranks in the key."""
+    sets = [ranks[:i] for i in range(len(ranks) + 1)]
+    level = sum((1 - F.grouping(r).cast("int") for r in ranks), F.lit(0))
+    return named.groupingSets(sets, *ranks).agg(level.cast("int").alias("level"), F.sum("reads").alias("reads"))

@@ -58,6 +58,49 @@ def rarefaction(features: DataFrame, points: int = 30, power: float = 1.6) -> Da
     return features.select("sample", "reads").groupBy("sample").applyInPandas(curve, f"sample {kind}, depth long, expected double")
 
 
+def rarefaction_steps(features: DataFrame, most: int = 50_000, parts: int = 50) -> DataFrame:
+    """(sample, depth, expected) at the same depths for all samples: from 100 in equal steps to the largest sample's total, at most ``most``; a sample ends at its own total."""
+    top = features.groupBy("sample").agg(F.sum(F.bround("reads")).alias("t")).agg(F.max("t").alias("t")).first()["t"]
+    deepest = int(min(top or 0, most))
+    steps = sorted({*range(100, deepest + 1, max(100, deepest // parts)), deepest} - {0})
+    return _at_depths(features, steps)
+
+
+def rarefaction_common(features: DataFrame, points: int = 25) -> DataFrame:
+    """(sample, depth, expected) at that many depths up to the smallest sample's total, which all samples reach."""
+    low = features.groupBy("sample").agg(F.sum(F.bround("reads")).alias("t")).agg(F.min("t").alias("t")).first()["t"]
+    return _at_depths(features, sorted({int(x) for x in np.linspace(1, low or 0, points)} - {0}))
+
+
+def _at_depths(features: DataFrame, steps: list[int]) -> DataFrame:
+    def curve(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.rint(rows["reads"].to_numpy()).astype(np.int64)
+        own = [s for s in steps if s <= counts.sum()]
+        return pd.DataFrame({"sample": [rows["sample"].iloc[0]] * len(own), "depth": own, "expected": [kernels.hurlbert(counts, s) for s in own]}).astype({"depth": "int64", "expected": "float64"})
+
+    kind = features.schema["sample"].dataType.simpleString()
+    return features.select("sample", "reads").groupBy("sample").applyInPandas(curve, f"sample {kind}, depth long, expected double")
+
+
+def shannon_rarefaction(features: DataFrame, most: int = 30_000, parts: int = 30, seed: int = 42) -> DataFrame:
+    """(sample, depth, shannon) of one random draw without replacement at each depth; the draw depends on the seed alone. Samples with fewer than two depths are left out."""
+    top = features.groupBy("sample").agg(F.sum(F.bround("reads")).alias("t")).agg(F.max("t").alias("t")).first()["t"]
+    deepest = int(min(top or 0, most))
+    steps = sorted({*range(100, deepest + 1, max(200, deepest // parts)), deepest} - {0})
+
+    def curve(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.rint(rows.sort_values("feature_id")["reads"].to_numpy()).astype(np.int64)
+        own, out = [s for s in steps if s <= counts.sum()], []
+        for s in own if len(own) > 1 else ():
+            drawn = np.random.default_rng(seed).multivariate_hypergeometric(counts, s, method="marginals")
+            p = drawn[drawn > 0] / s
+            out.append((rows["sample"].iloc[0], s, float(-(p * np.log(p)).sum())))
+        return pd.DataFrame(out, columns=["sample", "depth", "shannon"]).astype({"depth": "int64", "shannon": "float64"})
+
+    kind = features.schema["sample"].dataType.simpleString()
+    return features.select("sample", "feature_id", "reads").groupBy("sample").applyInPandas(curve, f"sample {kind}, depth long, shannon double")
+
+
 def plateau(features: DataFrame) -> DataFrame:
     """(sample, gained_pct): richness gained over the last tenth of the depth; null under 20 reads."""
 
@@ -134,7 +177,7 @@ def faith_pd(features: DataFrame, ancestry: DataFrame) -> DataFrame:
 def within_between(distances: DataFrame, groups: DataFrame) -> DataFrame:
     """(kind, grp_i, grp_j, n, mean_d): distances within groups and between each pair of them."""
     gi, gj = groups.select(F.col("sample").alias("i"), F.col("grp").alias("a")), groups.select(F.col("sample").alias("j"), F.col("grp").alias("b"))
-    d = distances.join(F.broadcast(gi), "i").join(F.broadcast(gj), "j").select(F.least("a", "b").alias("grp_i"), F.greatest("a", "b").alias("grp_j"), "d")
+    d = distances.join(gi, "i").join(gj, "j").select(F.least("a", "b").alias("grp_i"), F.greatest("a", "b").alias("grp_j"), "d")
     return d.groupBy("grp_i", "grp_j").agg(F.count("*").alias("n"), F.avg("d").alias("mean_d")).withColumn("kind", F.when(F.col("grp_i") == F.col("grp_j"), "within").otherwise("between"))
 
 
@@ -153,10 +196,13 @@ def clr(counts: DataFrame, pseudo: float = 1.0) -> DataFrame:
 
 
 def z_scores(shares: DataFrame, limit: float = 3.0) -> DataFrame:
-    """(sample, taxon, z) per taxon over all samples, absent ones counting as 0; clamped, and 0 for constant taxa. Rows of absent samples are not given."""
+    """(sample, taxon, z) of every taxon in every sample, absent ones counting as 0; clamped, and 0 for constant taxa.
+
+    The grid of samples and taxa is this operator's result. It is made from the lists of names, not from the rows.
+    """
     n = shares.agg(F.count_distinct("sample")).first()[0]
-    own = Window.partitionBy("taxon")
-    mean = F.sum("pct").over(own) / n
-    sd = F.sqrt(F.greatest((F.sum(F.col("pct") * F.col("pct")).over(own) - n * mean * mean) / max(n - 1, 1), F.lit(0.0)))
-    z = F.coalesce(F.try_divide(F.col("pct") - mean, sd), F.lit(0.0))
-    return shares.select("sample", "taxon", F.greatest(F.lit(-limit), F.least(F.lit(limit), z)).alias("z"))
+    sums = shares.groupBy("taxon").agg((F.sum("pct") / n).alias("mean"), F.sum(F.col("pct") * F.col("pct")).alias("ss"))
+    sd = F.sqrt(F.greatest((F.col("ss") - n * F.col("mean") * F.col("mean")) / max((n or 1) - 1, 1), F.lit(0.0)))
+    grid = sums.select("taxon", "mean", sd.alias("sd")).join(shares.select("sample").distinct())
+    z = F.coalesce(F.try_divide(F.coalesce("pct", F.lit(0.0)) - F.col("mean"), F.when(F.col("sd") > 1e-12, F.col("sd"))), F.lit(0.0))
+    return grid.join(shares.select("sample", "taxon", "pct"), ["sample", "taxon"], "left").select("sample", "taxon", F.greatest(F.lit(-limit), F.least(F.lit(limit), z)).alias("z"))

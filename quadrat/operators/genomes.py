@@ -65,12 +65,12 @@ def panel_values(functions: DataFrame, panels: DataFrame, samples: DataFrame) ->
     """
     whole = functions.where("taxon IS NULL")
     by_id = panels.where("size(ko) > 0").select("panel", "gene", F.explode("ko").alias("id"))
-    equal = whole.withColumn("id", F.trim(F.split("feature", ":")[0])).join(F.broadcast(by_id), "id").select("sample", "panel", "gene", "value")
+    equal = whole.withColumn("id", F.trim(F.split("feature", ":")[0])).join(by_id, "id").select("sample", "panel", "gene", "value")
     named = panels.where("coalesce(size(ko), 0) <= 0 AND pattern IS NOT NULL").select("panel", "gene", "pattern")
-    # panels are a hand-written list of a few dozen rows: each feature is tested against the patterns in place
-    like = whole.join(F.broadcast(named), F.expr("feature rlike concat('(?i)', pattern)")).select("sample", "panel", "gene", "value")
+    # panels are a hand-written list of a few dozen rows: each feature is tested against the patterns
+    like = whole.join(named, F.expr("feature rlike concat('(?i)', pattern)")).select("sample", "panel", "gene", "value")
     found = equal.unionByName(like).groupBy("sample", "panel", "gene").agg(F.sum("value").alias("cpm"))
-    grid = samples.select("sample").distinct().crossJoin(F.broadcast(panels.select("panel", "gene").distinct()))
+    grid = samples.select("sample").distinct().crossJoin((panels.select("panel", "gene").distinct()))
     return grid.join(found, ["sample", "panel", "gene"], "left").select("sample", "panel", "gene", F.round(F.coalesce("cpm", F.lit(0.0)), 6).alias("cpm"))
 
 
@@ -121,14 +121,23 @@ for _i, _pair in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
 _SHORT = {k: np.array(["".join(x) for x in itertools.product("ACGT", repeat=k)]) for k in (2, 3, 4)}
 
 
+def _known_runs(base: np.ndarray, least: int) -> np.ndarray:
+    """The bases, where runs of fewer than that many known ones count as unknown."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], base < 4, [False])).astype(np.int8)))
+    out = base.copy()
+    for lo, hi in edge.reshape(-1, 2)[np.diff(edge.reshape(-1, 2), axis=1)[:, 0] < least].tolist():
+        out[lo:hi] = 4
+    return out
+
+
 def _short_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, kmer, n) of each batch: k-mers of two to four bases, those with other letters left out."""
+    """(name, kmer, n) of each batch: k-mers of two to four bases within runs of at least four known ones, and an empty one for each name."""
     for batch in batches:
         sums: dict = {}
         for name, seq in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if not seq.is_valid:
                 continue
-            base = _BASES[np.frombuffer(seq.as_buffer(), np.uint8)]
+            base = _known_runs(_BASES[np.frombuffer(seq.as_buffer(), np.uint8)], 4)
             own = sums.setdefault(name, {k: np.zeros(4**k, np.int64) for k in _SHORT})
             for k, total in own.items():
                 n = len(base) - k + 1
@@ -137,20 +146,26 @@ def _short_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     code = sum(x << 2 * (k - 1 - j) for j, x in enumerate(parts))
                     known = np.max(parts, axis=0) < 4
                     total += np.bincount(code[known], minlength=4**k)
-        rows = [(name, kmer, n) for name, own in sums.items() for k, total in own.items() for kmer, n in zip(_SHORT[k][total > 0].tolist(), total[total > 0].tolist(), strict=True)]
+        rows = [(name, "", 0) for name in sums] + [(name, kmer, n) for name, own in sums.items() for k, total in own.items() for kmer, n in zip(_SHORT[k][total > 0].tolist(), total[total > 0].tolist(), strict=True)]
         names, kmers, counts = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(0).type), pa.array(kmers, pa.string()), pa.array(counts, pa.int64())], ["name", "kmer", "n"])
 
 
 def tetramer_profile(sequences: DataFrame) -> DataFrame:
-    """(name, kmer, z): over- and under-use of each tetramer against what its trimers and dimers predict."""
+    """(name, kmer, z): over- and under-use of each of the 256 tetramers, on both strands, against what its trimers and dimers predict."""
     own = sequences.where("name IS NOT NULL").select("name", "seq")
     schema = StructType([own.schema["name"], StructField("kmer", StringType()), StructField("n", LongType())])
     counts = own.mapInArrow(_short_kmers, schema).groupBy("name", "kmer").agg(F.sum("n").cast("double").alias("n"))
-    # at most 336 entries for each name
+    # at most 337 entries for each name
     per = counts.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "n"))).alias("c"))
-    four = per.select("name", "c", F.explode("c").alias("kmer", "n4")).where(F.length("kmer") == 4)
-    j = four.select("name", "kmer", "n4", *(F.col("c")[F.substring("kmer", at, n)].alias(x) for x, at, n in (("a", 1, 3), ("b", 2, 3), ("m", 2, 2))))
-    expected = F.col("a") * F.col("b") / F.col("m")
-    variance = expected * (F.col("m") - F.col("a")) * (F.col("m") - F.col("b")) / (F.col("m") * F.col("m"))
-    return j.select("name", "kmer", F.coalesce(F.try_divide(F.col("n4") - expected, F.sqrt(F.greatest(variance, F.lit(0.0)))), F.lit(0.0)).alias("z"))
+    j = per.select("name", "c", F.explode(F.array(*(F.lit(x) for x in _SHORT[4].tolist()))).alias("kmer"))
+
+    def both(at: int, n: int) -> Column:
+        part = F.substring("kmer", at, n)
+        other = F.reverse(F.translate(part, "ACGT", "TGCA"))
+        return F.coalesce(F.try_element_at("c", part), F.lit(0.0)) + F.coalesce(F.try_element_at("c", other), F.lit(0.0))
+
+    j = j.select("name", "kmer", *(both(at, n).alias(x) for x, at, n in (("n4", 1, 4), ("a", 1, 3), ("b", 2, 3), ("m", 2, 2))))
+    expected = F.try_divide(F.col("a") * F.col("b"), F.col("m"))
+    variance = F.try_divide(expected * (F.col("m") - F.col("a")) * (F.col("m") - F.col("b")), F.col("m") * F.col("m"))
+    return j.select("name", "kmer", F.when(variance > 0, (F.col("n4") - expected) / F.sqrt(variance)).otherwise(0.0).alias("z"))

@@ -31,10 +31,11 @@ def gaps(merged: DataFrame, by: list[str], lo: float, hi: float, least: float) -
 
 def n50(lengths: DataFrame, by: list[str], length: str = "length") -> DataFrame:
     """(by..., n, total, n50): the length at which the sum from the longest down reaches half of all."""
+    each = lengths.groupBy(*by, length).agg(F.count("*").alias("m"), F.sum(length).alias("sum"))
     own = Window.partitionBy(*by)
-    run = F.sum(length).over(own.orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, 0))
-    s = lengths.select(*by, F.col(length).alias(length)).withColumn("run", run).withColumn("total", F.sum(length).over(own))
-    return s.groupBy(*by).agg(F.count("*").alias("n"), F.max("total").alias("total"), F.max(F.when(F.col("run") >= F.col("total") / 2, F.col(length))).alias("n50"))
+    run = F.sum("sum").over(own.orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, 0))
+    s = each.withColumn("run", run).withColumn("total", F.sum("sum").over(own))
+    return s.groupBy(*by).agg(F.sum("m").alias("n"), F.max("total").alias("total"), F.max(F.when(F.col("run") >= F.col("total") / 2, F.col(length))).alias("n50"))
 
 
 def low_runs(values: DataFrame, by: list[str], position: str, value: str, most: float) -> DataFrame:
@@ -86,5 +87,5 @@ def until_total(rows: DataFrame, by: list[str], order: list, value: str, target:
 
 
 def hashed_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows that depend on their keys and the seed alone."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows that depend on their keys and the seed alone: those of the smallest MD5 of both."""
+    return rows.orderBy(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col(key).cast("string"))), key).limit(n)

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.operators.stats import mid_rank
+from quadrat.operators.stats import mid_rank, t_p
 
 
-def correlations(counts: DataFrame, least: float = 0.6) -> DataFrame:
-    """(a, b, n, rho): Spearman correlation of taxa over all samples, absent ones counting as 0, with |rho| of at least that.
+def correlations(counts: DataFrame, least: float = 0.6, most_p: float | None = None) -> DataFrame:
+    """(a, b, both, rho, p): Spearman correlation of taxa over all samples, absent ones counting as 0, with |rho| of at least ``least`` and p of at most ``most_p``, if given.
 
     Zeros of absent samples tie at the lowest rank of a taxon, so the sums over the dense grid follow from the rows that
-    exist: pairs meet by sample. Pairs that never meet have a correlation from their counts alone and are found only if
-    they share a sample; such pairs are never positively related.
+    exist: pairs meet by sample. For two taxa that never meet the sums reduce to -v v', with one number for each taxon;
+    those pairs meet by classes of that number which can reach the limit.
     """
-    n = counts.agg(F.count_distinct("sample")).first()[0]
+    n = counts.agg(F.count_distinct("sample")).first()[0] or 1
     own = Window.partitionBy("taxon")
     present = counts.where("value > 0")
     z = n - F.count("*").over(own)
@@ -29,7 +31,18 @@ def correlations(counts: DataFrame, least: float = 0.6) -> DataFrame:
     only_a, only_b = (F.col("sum_c_a") - F.col("ca")) * F.col("low_b"), (F.col("sum_c_b") - F.col("cb")) * F.col("low_a")
     neither = (F.col("z_a") + F.col("z_b") - n + F.col("both")) * F.col("low_a") * F.col("low_b")
     rho = F.try_divide(F.col("cc") + only_a + only_b + neither, F.sqrt(F.col("ss_a") * F.col("ss_b")))
-    return s.select("a", "b", "both", rho.alias("rho")).where(F.abs("rho") >= least)
+
+    v = F.try_divide(-F.col("low") * n**0.5, F.sqrt("ss"))
+    taxa = r.select("taxon", "z", v.alias("v")).distinct().where("v > 0").withColumn("k", F.floor(8 * F.log2("v")).cast("int"))
+    # v is at most sqrt(3), of class 6; classes k and k' reach the limit only if (k + 1 + k' + 1) / 8 >= log2(least)
+    first = F.ceil(F.lit(8 * math.log2(max(least, 1e-6)) - 2) - F.col("k")).cast("int")
+    wide = taxa.where(first <= 6).select(F.col("taxon").alias("a"), F.col("z").alias("z_a"), F.col("v").alias("v_a"), F.explode(F.sequence(first, F.lit(6))).alias("k"))
+    apart = wide.join(taxa.select("k", F.col("taxon").alias("b"), F.col("z").alias("z_b"), F.col("v").alias("v_b")), "k").where((F.col("a") < F.col("b")) & (F.col("z_a") + F.col("z_b") >= n))
+    apart = apart.select("a", "b", F.lit(0).cast("long").alias("both"), (-F.col("v_a") * F.col("v_b")).alias("rho")).join(s.select("a", "b"), ["a", "b"], "left_anti")
+    out = s.select("a", "b", "both", rho.alias("rho")).unionByName(apart).where(F.abs("rho") >= least)
+    t = F.try_divide(F.col("rho") * max(n - 2, 0) ** 0.5, F.sqrt(F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(0.0))))
+    out = out.withColumn("p", F.when(F.abs("rho") >= 1 - 1e-12, 0.0).otherwise(t_p(t, F.lit(max(n - 2, 1)))))
+    return out if most_p is None else out.where(F.col("p") <= most_p)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ A matrix comes long, (matrix, i, j, d) with i < j; many matrices run in parallel
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -68,20 +69,176 @@ def neighbour_joining(distances: DataFrame) -> DataFrame:
     return _each(distances, make, "parent string, node string, length double")
 
 
-def permanova(distances: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 1) -> DataFrame:
-    """(r2, f, p): p by shuffled labels in one task, in the order of the sample names."""
-    both = distances.join(F.broadcast(groups.select(F.col("sample").cast("string").alias("i"), F.col("grp").alias("a"))), "i").join(F.broadcast(groups.select(F.col("sample").cast("string").alias("j"), F.col("grp").alias("b"))), "j")
+def _group_tests(distances: DataFrame, groups: DataFrame, statistic: Callable, permutations: int, seed: int, pairs: bool, blocks: int = 8) -> DataFrame:
+    """(x, y, value, f, p): a statistic of the distances in groups and its p by shuffled labels, of all groups together (x and y empty) or of each two.
+
+    statistic(d, labels) gives a value, the tested number and a function of shuffled places that gives that number again.
+    The shuffles are dealt in blocks; a matrix goes to as many tasks. Tests without a group of two, or without samples left
+    over beside one for each group, have no row.
+    """
+    g = groups.where("grp IS NOT NULL").select(F.col("sample").cast("string").alias("sample"), F.col("grp").cast("string").alias("grp"))
+    d = distances.select(F.col("i").cast("string").alias("i"), F.col("j").cast("string").alias("j"), F.col("d").cast("double").alias("d")).join(g.toDF("i", "a"), "i").join(g.toDF("j", "b"), "j")
+    if pairs:
+        names = g.select("grp").distinct()
+        two = names.select(F.col("grp").alias("x")).join(names.select(F.col("grp").alias("y")), F.col("x") < F.col("y"))
+        apart = d.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "i", "j", "d", "a", "b")
+        d = apart.unionByName(d.where("a = b").join(two.select("x", "y", F.explode(F.array("x", "y")).alias("a")), "a").select("x", "y", "i", "j", "d", "a", "b"))
+    else:
+        d = d.select(F.lit("").alias("x"), F.lit("").alias("y"), "i", "j", "d", "a", "b")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, d = dense(rows)
+        names, dist = dense(rows)
         own = dict(zip(rows["i"], rows["a"], strict=True)) | dict(zip(rows["j"], rows["b"], strict=True))
-        codes = {g: k for k, g in enumerate(sorted(set(own.values())))}
-        labels = [codes[own[s]] for s in names]
-        if len(codes) < 2 or len(names) - len(codes) < 1 or d.sum() <= 0:
-            return pd.DataFrame({"r2": [], "f": [], "p": []})
-        return pd.DataFrame([kernels.permutation_p(d * d, labels, permutations, seed)])
+        codes = {c: k for k, c in enumerate(sorted(set(own.values())))}
+        labels = np.array([codes[own[s]] for s in names])
+        block = int(rows["block"].iloc[0])
+        if len(codes) < 2 or len(names) <= len(codes) or (pairs and len(names) < 4) or dist.sum() <= 0:
+            return pd.DataFrame({"x": pd.Series([], dtype=object), "y": pd.Series([], dtype=object), "value": np.empty(0), "f": np.empty(0), "hits": np.empty(0, np.int64)})
+        value, f, again = statistic(dist, labels)
+        draw, own_share = np.random.default_rng([seed, block]), permutations // blocks + (block < permutations % blocks)
+        hits = sum(again(draw.permutation(len(labels))) >= f - 1e-12 for _ in range(own_share))
+        return pd.DataFrame({"x": [rows["x"].iloc[0]], "y": [rows["y"].iloc[0]], "value": [value], "f": [f], "hits": [int(hits)]})
+
+    dealt = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    done = dealt.groupBy("x", "y", "block").applyInPandas(run, "x string, y string, value double, f double, hits long")
+    return done.groupBy("x", "y").agg(F.max("value").alias("value"), F.max("f").alias("f"), ((F.sum("hits") + 1) / (permutations + 1)).alias("p"))
+
+
+def _permanova(d: np.ndarray, labels: np.ndarray):
+    d2 = d * d
+    r2, f = kernels.permanova_ratio(d2, labels)
+    return r2, f, lambda order: kernels.permanova_ratio(d2, labels[order])[1]
+
+
+def _anosim(d: np.ndarray, labels: np.ndarray):
+    rank = kernels.mid_ranks(d)
+    r = kernels.anosim_r(rank, labels)
+    return r, r, lambda order: kernels.anosim_r(rank, labels[order])
+
+
+def _dispersion(d: np.ndarray, labels: np.ndarray):
+    x = kernels.spread_from_centres(d, labels)
+    means = np.bincount(labels, x) / np.bincount(labels)
+    rest = x - means[labels]
+    return float(x.mean()), kernels.anova_ratio(x, labels), lambda order: kernels.anova_ratio(rest[order], labels)
+
+
+def permanova(distances: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 1) -> DataFrame:
+    """(r2, f, p): p by shuffled labels; the observed order counts as one."""
+    return _group_tests(distances, groups, _permanova, permutations, seed, False).select(F.col("value").alias("r2"), "f", "p")
+
+
+def pairwise_permanova(distances: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 1) -> DataFrame:
+    """(grp_a, grp_b, r2, f, p, q): each two groups of four samples or more together; q adjusted over the pairs."""
+    from quadrat.operators.stats import benjamini_hochberg
+
+    t = _group_tests(distances, groups, _permanova, permutations, seed, True).select(F.col("x").alias("grp_a"), F.col("y").alias("grp_b"), F.col("value").alias("r2"), "f", "p")
+    return benjamini_hochberg(t)
+
+
+def anosim(distances: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 1, pairs: bool = False) -> DataFrame:
+    """(grp_a, grp_b, r, p); the names are empty for all groups together."""
+    return _group_tests(distances, groups, _anosim, permutations, seed, pairs).select(F.col("x").alias("grp_a"), F.col("y").alias("grp_b"), F.col("value").alias("r"), "p")
+
+
+def dispersion(distances: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 1) -> DataFrame:
+    """(mean, f, p): whether groups differ in their samples' distances to their centroids; p by shuffled residuals."""
+    return _group_tests(distances, groups, _dispersion, permutations, seed, False).select(F.col("value").alias("mean"), "f", "p")
+
+
+def centred_pca(log_ratios: DataFrame, axes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(sample, axis1, axis2), (component, pct): principal components of centred log ratios as ``diversity.clr`` gives them. The dense matrix of samples and taxa is one task's."""
 
-    return both.withColumn("matrix", F.lit(1)).groupBy("matrix").applyInPandas(run, "r2 double, f double, p double")
+    def matrix(rows: pd.DataFrame) -> tuple[list, np.ndarray]:
+        wide = rows.pivot(index="sample", columns="taxon", values="clr").sort_index().sort_index(axis=1)
+        if len(wide) > MOST_SAMPLES:
+            raise ValueError(f"{len(wide)} samples; a dense matrix is made for at most {MOST_SAMPLES}")
+        base = rows.groupby("sample")["base"].first().reindex(wide.index)
+        return list(wide.index), wide.to_numpy(float, na_value=np.nan) if not wide.isna().any().any() else wide.apply(lambda c: c.fillna(base)).to_numpy(float)
+
+    def scores(rows: pd.DataFrame) -> pd.DataFrame:
+        names, x = matrix(rows)
+        at, _ = kernels.clr_pca(x, axes)
+        return pd.DataFrame({"sample": names} | {f"axis{k + 1}": at[:, k] if k < at.shape[1] else 0.0 for k in range(axes)})
+
+    def scree(rows: pd.DataFrame) -> pd.DataFrame:
+        _, share = kernels.clr_pca(matrix(rows)[1], axes)
+        return pd.DataFrame({"component": np.arange(1, len(share) + 1), "pct": share})
+
+    own = log_ratios.select(F.col("sample").cast("string").alias("sample"), "taxon", "clr", "base", F.lit(1).alias("k")).groupBy("k")
+    return own.applyInPandas(scores, "sample string, " + ", ".join(f"axis{k + 1} double" for k in range(axes))), own.applyInPandas(scree, "component int, pct double")
+
+
+def midpoint_rooted(edges: DataFrame) -> DataFrame:
+    """Edges (matrix, parent, node, length) of each tree from the middle of its longest path."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = kernels.midpoint_root(list(zip(rows["parent"], rows["node"], rows["length"], strict=True)))
+        return pd.DataFrame([(rows["matrix"].iloc[0], *e) for e in out], columns=["matrix", "parent", "node", "length"])
+
+    return edges.groupBy("matrix").applyInPandas(run, "matrix string, parent string, node string, length double")
+
+
+def tree_layout(edges: DataFrame) -> DataFrame:
+    """(matrix, kind, x0, y0, x1, y1, label): two segments for each edge and a row for each tip, tips from 1 in depth-first order, inner nodes at the mean of their children."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        below: dict[str, list] = {}
+        for p, n, x in zip(rows["parent"], rows["node"], rows["length"], strict=True):
+            below.setdefault(p, []).append((n, float(x)))
+        root = next(p for p in below if p not in set(rows["node"]))
+        depth, order, todo = {root: 0.0}, [], [root]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            for n, x in below.get(node, ()):
+                depth[n] = depth[node] + x
+            todo += [n for n, _ in reversed(below.get(node, ()))]
+        y: dict[str, float] = {}
+        for tip in (n for n in order if n not in below):
+            y[tip] = len(y) + 1.0
+        for node in reversed(order):
+            if node in below:
+                y[node] = float(np.mean([y[n] for n, _ in below[node]]))
+        out = []
+        for node in order:
+            for n, _ in below.get(node, ()):
+                out += [("edge", depth[node], y[node], depth[node], y[n], ""), ("edge", depth[node], y[n], depth[n], y[n], "")]
+        out += [("tip", depth[n], y[n], depth[n], y[n], n) for n in order if n not in below]
+        return pd.DataFrame([(rows["matrix"].iloc[0], *r) for r in out], columns=["matrix", "kind", "x0", "y0", "x1", "y1", "label"])
+
+    return edges.groupBy("matrix").applyInPandas(run, "matrix string, kind string, x0 double, y0 double, x1 double, y1 double, label string")
+
+
+def dendrogram(merges: DataFrame) -> DataFrame:
+    """(matrix, kind, x0, y0, x1, y1, label): three segments for each merge and a row for each leaf in order from 0, at height 0. merges: as ``clusters`` gives them."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("step")
+        parts = {f"#{r.step}": (r.left, r.right, r.height) for r in rows.itertuples()}
+        order, todo = [], [f"#{rows['step'].iloc[-1]}"]
+        while todo:
+            node = todo.pop()
+            if node in parts:
+                todo += [parts[node][1], parts[node][0]]
+            else:
+                order.append(node)
+        at = {n: (float(k), 0.0) for k, n in enumerate(order)}
+        out = []
+        for name, (a, b, h) in parts.items():
+            (xa, ya), (xb, yb) = at[a], at[b]
+            out += [("edge", xa, ya, xa, h, ""), ("edge", xb, yb, xb, h, ""), ("edge", xa, h, xb, h, "")]
+            at[name] = ((xa + xb) / 2, h)
+        out += [("leaf", at[n][0], 0.0, at[n][0], 0.0, n) for n in order]
+        return pd.DataFrame([(rows["matrix"].iloc[0], *r) for r in out], columns=["matrix", "kind", "x0", "y0", "x1", "y1", "label"])
+
+    return merges.groupBy("matrix").applyInPandas(run, "matrix string, kind string, x0 double, y0 double, x1 double, y1 double, label string")
+
+
+def ordered_stacks(merges: DataFrame, stacks: DataFrame) -> DataFrame:
+    """(place, sample, taxon, value): stacked shares in the order of a tree's leaves. stacks: (sample, taxon, value)."""
+    leaves = dendrogram(merges).where("kind = 'leaf'").select(F.col("label").alias("sample"), F.col("x0").cast("int").alias("place"))
+    return stacks.withColumn("sample", F.col("sample").cast("string")).join(leaves, "sample").select("place", "sample", "taxon", "value")
 
 
 def ellipses(points: DataFrame, confidence: float = 0.95, steps: int = 100) -> DataFrame:
@@ -111,3 +268,48 @@ def newick(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"matrix": [rows["matrix"].iloc[0]], "tree": [text(root) + ";"]})
 
     return edges.groupBy("matrix").applyInPandas(run, "matrix string, tree string")
+
+
+def parse_newick(tree: DataFrame) -> DataFrame:
+    """(matrix, parent, node, length) of texts of trees (matrix, tree); inner nodes without a name are '#k', lengths that are not given 0."""
+
+    def edges(text: str) -> list[tuple[str, str, float]]:
+        token = re.compile(r"'(?:[^']|'')*'|[(),:;]|[^(),:;'\s]+")
+        out, stack, children, last, number, want = [], [], [], None, 0, None
+        done: list[list] = []  # finished siblings at this depth: [name, length]
+        for t in token.findall(text):
+            if t == "(":
+                stack.append(done)
+                done = []
+                last = None
+            elif t in ",)":
+                if last is not None:
+                    done.append(last)
+                last = None
+                if t == ")":
+                    children, done = done, stack.pop()
+                    last = [f"#{number}", 0.0, children]
+                    number += 1
+            elif t == ":":
+                want = True
+            elif t == ";":
+                break
+            elif want:
+                last = last or ["", 0.0, []]
+                last[1], want = float(t), None
+            else:
+                name = t[1:-1].replace("''", "'") if t[0] == "'" else t
+                last = [name, 0.0, last[2] if last else []]
+        todo = [last] if last else []
+        for node in todo:
+            for child in node[2]:
+                out.append((node[0], child[0], child[1]))
+                todo.append(child)
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for matrix, text in zip(batch["matrix"], batch["tree"], strict=True):
+                yield pd.DataFrame([(matrix, *e) for e in edges(text)], columns=["matrix", "parent", "node", "length"])
+
+    return tree.select("matrix", "tree").mapInPandas(run, "matrix string, parent string, node string, length double")

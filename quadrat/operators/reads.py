@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.sequences import canonical_strand, gc_percent, mean_quality, quality_scores
-from quadrat.operators.intervals import n50
 
 
 def read_table(reads: DataFrame) -> DataFrame:
@@ -15,16 +19,22 @@ def read_table(reads: DataFrame) -> DataFrame:
 
 
 def read_statistics(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """reads, bases, mean and lower median length, N50, mean quality, per cent of reads with Q10 and Q20."""
+    """reads, bases, mean and lower median length, N50, mean quality, per cent of reads with Q10, Q20 and Q30.
+
+    Reads are summed by length first; medians and N50 are then windows over the different lengths.
+    """
     by = by or ["file"]
-    t = read_table(reads)
+    over = lambda q: F.sum((F.col("mean_q") >= q).cast("int"))
+    each = read_table(reads).groupBy(*by, "length").agg(F.count("*").alias("m"), F.sum("length").alias("sum"), F.sum("mean_q").alias("q"), F.count("mean_q").alias("mq"), over(10).alias("q10"), over(20).alias("q20"), over(30).alias("q30"))
     own = Window.partitionBy(*by)
-    middle = t.withColumn("n", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy(F.desc("length")))).where(F.col("r") == F.floor(F.col("n") / 2) + 1)
-    s = t.groupBy(*by).agg(
-        F.count("*").alias("reads"), F.sum("length").alias("bases"), F.avg("length").alias("mean_length"), F.avg("mean_q").alias("mean_q"),
-        (100 * F.avg((F.col("mean_q") >= 10).cast("int"))).alias("q10_pct"), (100 * F.avg((F.col("mean_q") >= 20).cast("int"))).alias("q20_pct"),
+    down = own.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
+    s = each.withColumn("run", F.sum("sum").over(down)).withColumn("place", F.sum("m").over(down)).withColumn("bases", F.sum("sum").over(own)).withColumn("n", F.sum("m").over(own))
+    pct = lambda c: F.try_divide(100.0 * F.sum(c), F.sum("mq"))
+    return s.groupBy(*by).agg(
+        F.sum("m").alias("reads"), F.sum("sum").alias("bases"), F.try_divide(F.sum("sum"), F.sum(F.when(F.col("length").isNotNull(), F.col("m")))).alias("mean_length"), F.try_divide(F.sum("q"), F.sum("mq")).alias("mean_q"),
+        pct("q10").alias("q10_pct"), pct("q20").alias("q20_pct"), pct("q30").alias("q30_pct"),
+        F.max(F.when(F.col("run") >= F.col("bases") / 2, F.col("length"))).alias("n50"), F.max(F.when(F.col("place") >= F.floor(F.col("n") / 2) + 1, F.col("length"))).alias("median_length"),
     )
-    return s.join(n50(t, by).select(*by, "n50"), by).join(middle.select(*by, F.col("length").alias("median_length")), by)
 
 
 def histogram(table: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
@@ -49,3 +59,35 @@ def position_quantiles(counts: DataFrame, by: list[str] | None = None, shares: t
 def dereplicate(sequences: DataFrame) -> DataFrame:
     """(seq, size): both strands of a sequence are one."""
     return sequences.where("seq IS NOT NULL").groupBy(canonical_strand("seq").alias("seq")).agg(F.count("*").alias("size"))
+
+
+_CODE = np.full(256, 4, np.int64)
+for _i, _pair in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
+    _CODE[list(_pair)] = _i
+
+
+def _counted(batches: Iterator[pa.RecordBatch], k: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        col = pc.binary_join_element_wise(pc.fill_null(batch.column(0), ""), "N", "").cast(pa.large_string())
+        ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+        data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(col) else np.empty(0, np.uint8)
+        for lo in range(0, max(len(data) - k + 1, 0), most):  # parts overlap by k - 1 letters
+            base = _CODE[data[lo : lo + most + k - 1]]
+            n = len(base) - k + 1
+            code, unknown = np.zeros(n, np.int64), np.concatenate(([0], np.cumsum(base == 4)))
+            for j in range(k):
+                code = code * 4 + base[j : j + n]
+            found, count = np.unique(code[unknown[k:] == unknown[:-k]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count.astype(np.int64))], ["code", "n"])
+
+
+def kmer_table(sequences: DataFrame, k: int) -> DataFrame:
+    """(kmer, n): how often each k-mer stands in the sequences (seq), those with letters other than a, c, g and t left out; k is at most 31.
+
+    K-mers are numbers, counted part by part before the shuffle and spelled out at the end.
+    """
+    if not 1 <= k <= 31:
+        raise ValueError("k is from 1 to 31")
+    counts = sequences.select("seq").mapInArrow(lambda it: _counted(it, k), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    letters = [F.substring(F.lit("ACGT"), (F.shiftright("code", 2 * (k - 1 - j)) % 4 + 1).cast("int"), F.lit(1)) for j in range(k)]
+    return counts.select(F.concat(*letters).alias("kmer"), "n")

@@ -71,6 +71,16 @@ def usable_variables(metadata: DataFrame, columns: list[str]) -> DataFrame:
     return s.select("variable", F.when(F.col("numeric"), "number").otherwise("factor").alias("kind"), "levels", ok.alias("usable"))
 
 
+def dropped(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The samples of one table that another lacks."""
+    return before.select("sample").distinct().join(after.select("sample"), "sample", "left_anti")
+
+
+def common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The samples that both tables have."""
+    return a.select("sample").distinct().join(b.select("sample"), "sample", "left_semi")
+
+
 def best_of(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each group in that order."""
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__r = 1").drop("__r")
@@ -133,11 +143,15 @@ def joined_names(rows: DataFrame, by: list[str], name: str, sep: str = ";") -> D
 def accumulation(features: DataFrame, orders: int = 100, seed: int = 1) -> DataFrame:
     """(samples, mean, sd): features seen in the first k samples, over random orders of the samples.
 
-    An order is a hash of sample and number; a feature is first seen at the smallest place of its samples, so each order is one aggregation.
+    An order is the MD5 of sample, number and seed; a feature is first seen at the smallest place of its samples. Features
+    that the same samples have are one row from the start, so an order is gone through once for each such set.
     """
-    own = features.where("reads > 0").select("sample", "feature_id")
+    own = features.where("reads > 0").select("sample", "feature_id").distinct()
+    sets = own.groupBy("feature_id").agg(F.sort_array(F.collect_list("sample")).alias("in")).groupBy("in").agg(F.count("*").alias("features"))
     names = own.select("sample").distinct().withColumn("o", F.explode(F.sequence(F.lit(1), F.lit(orders))))
-    place = names.withColumn("k", F.row_number().over(Window.partitionBy("o").orderBy(F.xxhash64("sample", "o", F.lit(seed)), "sample")))
-    first = own.join(place, "sample").groupBy("o", "feature_id").agg(F.min("k").alias("k")).groupBy("o", "k").agg(F.count("*").alias("new"))
-    run = place.select("o", "k").join(first, ["o", "k"], "left").withColumn("seen", F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy("o").orderBy("k")))
+    key = F.md5(F.concat_ws("-", F.col("sample").cast("string"), F.col("o").cast("string"), F.lit(str(seed))))
+    place = names.withColumn("k", F.row_number().over(Window.partitionBy("o").orderBy(key, "sample")))
+    first = sets.select("in", "features", F.explode("in").alias("sample")).join(place, "sample").groupBy("o", "in").agg(F.min("k").alias("k"), F.first("features").alias("features"))
+    new = first.groupBy("o", "k").agg(F.sum("features").alias("new"))
+    run = place.select("o", "k").join(new, ["o", "k"], "left").withColumn("seen", F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy("o").orderBy("k")))
     return run.groupBy(F.col("k").alias("samples")).agg(F.avg("seen").alias("mean"), F.coalesce(F.stddev_samp("seen"), F.lit(0.0)).alias("sd"))

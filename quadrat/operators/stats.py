@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,13 @@ from quadrat.operators.community import joined, running_counts
 
 
 def _tail(kernel):
+    """A function of three columns by a kernel on whole arrays; null where the first is."""
+
     @F.pandas_udf("double")
     def p(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(v) else kernel(v, m, n) for v, m, n in zip(x, a, b, strict=True)], dtype="float64")
+        out, known = pd.Series(np.nan, index=x.index), x.notna() & a.notna() & b.notna()
+        out[known] = kernel(x[known].to_numpy(), a[known].to_numpy(), b[known].to_numpy())
+        return out.astype(object).where(known, None).astype("Float64")
 
     return p
 
@@ -137,8 +142,8 @@ def permanova_statistic(distances: DataFrame, groups: DataFrame) -> DataFrame:
     """One row (n, k, r2, f) from pairwise distances: sums of squares, without a dense matrix."""
     sizes = groups.groupBy("grp").agg(F.count("*").alias("m"))
     gi, gj = groups.select(F.col("sample").alias("i"), F.col("grp").alias("a")), groups.select(F.col("sample").alias("j"), F.col("grp").alias("b"))
-    d = distances.join(F.broadcast(gi), "i").join(F.broadcast(gj), "j").withColumn("d2", F.col("d") * F.col("d"))
-    per = d.groupBy("a", "b").agg(F.sum("d2").alias("s")).join(F.broadcast(sizes.withColumnRenamed("grp", "a")), "a")
+    d = distances.join(gi, "i").join(gj, "j").withColumn("d2", F.col("d") * F.col("d"))
+    per = d.groupBy("a", "b").agg(F.sum("d2").alias("s")).join(sizes.withColumnRenamed("grp", "a"), "a")
     sums = per.agg(F.sum("s").alias("all"), F.sum(F.when(F.col("a") == F.col("b"), F.col("s") / F.col("m")).otherwise(0.0)).alias("within"))
     total = sizes.agg(F.sum("m").alias("n"), F.count("*").alias("k"))
     sst, n, k = F.col("all") / F.col("n"), F.col("n"), F.col("k")
@@ -149,6 +154,7 @@ def permanova_statistic(distances: DataFrame, groups: DataFrame) -> DataFrame:
 def anosim_statistic(distances: DataFrame, groups: DataFrame) -> DataFrame:
     """One row (r): difference of the mean ranks of distances between and within groups."""
     gi, gj = groups.select(F.col("sample").alias("i"), F.col("grp").alias("a")), groups.select(F.col("sample").alias("j"), F.col("grp").alias("b"))
-    ranked = distances.withColumn("r", mid_rank("d", [])).join(F.broadcast(gi), "i").join(F.broadcast(gj), "j")
+    rank = running_counts(distances, "d", []).select("d", (F.col("__run") - (F.col("__n") - 1) / 2).alias("r"))
+    ranked = distances.join(rank, "d").join(gi, "i").join(gj, "j")
     s = ranked.agg(F.count("*").alias("m"), F.avg(F.when(F.col("a") != F.col("b"), F.col("r"))).alias("between"), F.avg(F.when(F.col("a") == F.col("b"), F.col("r"))).alias("within"))
     return s.select(F.try_divide(F.col("between") - F.col("within"), F.col("m") / 2.0).alias("r"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import labels
 from quadrat.operators import community as c
+from quadrat.operators import selection
 from quadrat.plans.analogue import BASE, features, genus_counts, metadata, mode, query, table, taxonomy
 from quadrat.sources import sinks
 
@@ -185,9 +186,9 @@ def unnamed_features_dropped(s, d):
     return named.groupBy("feature_id").agg(F.sum("reads").alias("reads"))
 
 
-@query("dropped_samples", BASE + "SELECT c_custkey AS sample FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("dropped_samples", "SELECT doc_id AS sample FROM documents EXCEPT SELECT doc_id FROM labels")
 def dropped_samples(s, d):
-    return table(s, d, "customer").select(F.col("c_custkey").alias("sample")).join(table(s, d, "orders").select(F.col("o_custkey").alias("sample")), "sample", "left_anti").distinct()
+    return selection.dropped(table(s, d, "documents").select(F.col("doc_id").alias("sample")), table(s, d, "labels").select(F.col("doc_id").alias("sample")))
 
 
 @query("wide_features", BASE + "SELECT taxon AS feature_id, " + ", ".join(f"coalesce(sum(reads) FILTER (WHERE grp = '{g}'), 0) AS \"{g}\"" for g in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM c JOIN m USING (sample) GROUP BY 1")
@@ -202,12 +203,15 @@ def wide_tracking(s, d):
     return sinks.wide_tracking(t, ["F", "O", "P"])
 
 
-@query("merged_species", "SELECT species, " + ", ".join(f"round(coalesce(sum(share) FILTER (WHERE tool = '{t}'), 0), 6) AS \"{t}\"" for t in ("M1", "M2", "M3")) + " FROM (SELECT 'M' || l_linenumber AS tool, p_name AS species, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_linenumber) AS share FROM lineitem JOIN part ON l_partkey = p_partkey WHERE 'M' || l_linenumber IN ('M1', 'M2', 'M3') GROUP BY l_linenumber, p_name) x GROUP BY 1")
+_TOOLS = [f"M{i}" for i in range(1, 8)]
+
+
+@query("merged_species", "SELECT species, " + ", ".join(f"round(coalesce(sum(share) FILTER (WHERE tool = '{t}'), 0), 6) AS \"{t}\"" for t in _TOOLS) + " FROM (SELECT 'M' || l_linenumber AS tool, p_name AS species, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_linenumber) AS share FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_linenumber, p_name) x GROUP BY 1")
 def merged_species(s, d):
-    li = table(s, d, "lineitem").where(mode().isin("M1", "M2", "M3")).join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     counts = li.groupBy(mode().alias("tool"), F.col("p_name").alias("species")).agg(F.count("*").alias("reads"))
-    out = sinks.merged_species(c.with_share(counts, "tool", name="share"), ["M1", "M2", "M3"])
-    return out.select("species", *(F.round(x, 6).alias(x) for x in ("M1", "M2", "M3")))
+    out = sinks.merged_species(c.with_share(counts, "tool", name="share"), _TOOLS)
+    return out.select("species", *(F.round(x, 6).alias(x) for x in _TOOLS))
 
 
 @query("krona_lines", BASE + "SELECT sample, concat_ws(chr(9), CAST(CAST(sum(reads) AS BIGINT) AS VARCHAR), phylum, genus) AS line FROM n GROUP BY sample, phylum, genus")

@@ -6,6 +6,7 @@ from quadrat.operators import diversity as v
 from quadrat.operators import network, ordination
 from quadrat.operators import stats as st
 from quadrat.plans.analogue import BASE, as_features, features, genus_counts, metadata, query, site_counts, site_groups, table
+from quadrat.plans.stats_queries import beta_sql
 
 # Raw counts of single lines, so that small counts occur: reads of a part at a supplier are numbers of lines.
 _LINES = "WITH f AS (SELECT l_suppkey AS sample, l_partkey AS feature_id, CAST(count(*) AS DOUBLE) AS reads FROM lineitem GROUP BY 1, 2) "
@@ -138,7 +139,7 @@ def clr(s, d):
     return _rounded(v.clr(genus_counts(s, d)), "clr", "base")
 
 
-@query("z_scores", BASE + ", k AS (SELECT count(DISTINCT sample) AS n FROM p), x AS (SELECT p.*, n, sum(pct) OVER (PARTITION BY taxon) / n AS mu, sum(pct * pct) OVER (PARTITION BY taxon) AS ss FROM p, k) SELECT sample, taxon, round(greatest(-3, least(3, coalesce((pct - mu) / nullif(sqrt(greatest((ss - n * mu * mu) / (n - 1), 0)), 0), 0))), 5) AS z FROM x")
+@query("z_scores", BASE + ", k AS (SELECT count(DISTINCT sample) AS n FROM p), t3 AS (SELECT taxon, n, sum(pct) / n AS mu, sum(pct * pct) AS ss FROM p, k GROUP BY 1, 2), x AS (SELECT s.sample, t3.taxon, coalesce(pct, 0) AS pct, mu, sqrt(greatest((ss - n * mu * mu) / (n - 1), 0)) AS sd FROM t3 CROSS JOIN (SELECT DISTINCT sample FROM p) s LEFT JOIN p ON p.sample = s.sample AND p.taxon = t3.taxon) SELECT sample, taxon, round(CASE WHEN sd > 1e-12 THEN greatest(-3, least(3, (pct - mu) / sd)) ELSE 0 END, 5) AS z FROM x")
 def z_scores(s, d):
     return v.z_scores(genus_counts(s, d)).withColumn("z", F.round("z", 5))
 
@@ -207,16 +208,24 @@ def confidence_ellipses(s, d):
 _CORR = BASE + """, s AS (SELECT DISTINCT sample FROM p), t2 AS (SELECT DISTINCT taxon FROM p), d AS (SELECT sample, taxon, round(coalesce(pct, 0), 9) AS v FROM s CROSS JOIN t2 LEFT JOIN p USING (sample, taxon)),
 r AS (SELECT sample, taxon, v, rank() OVER (PARTITION BY taxon ORDER BY v) + (count(*) OVER (PARTITION BY taxon, v) - 1) / 2.0 AS rk FROM d)
 SELECT a.taxon AS a, b.taxon AS b, count(*) FILTER (WHERE a.v > 0 AND b.v > 0) AS both, round(corr(a.rk, b.rk), 6) AS rho FROM r a JOIN r b ON a.sample = b.sample AND a.taxon < b.taxon GROUP BY 1, 2
-HAVING abs(corr(a.rk, b.rk)) >= {least} AND count(*) FILTER (WHERE a.v > 0 AND b.v > 0) > 0"""
+HAVING abs(corr(a.rk, b.rk)) >= {least}"""
 
 
-def _network(s, d, least):
-    return network.correlations(genus_counts(s, d).select("sample", "taxon", F.round("pct", 9).alias("value")), least)
+def _network(s, d, least, most_p=None):
+    return network.correlations(genus_counts(s, d).select("sample", "taxon", F.round("pct", 9).alias("value")), least, most_p)
 
 
 @query("cooccurrence", _CORR.format(least=0.05))
 def cooccurrence(s, d):
-    return _rounded(_network(s, d, 0.05), "rho")
+    return _rounded(_network(s, d, 0.05).drop("p"), "rho")
+
+
+_CORR_P = "SELECT a, b, \"both\", rho, p FROM (SELECT *, " + beta_sql("x", "h", "0.5::DOUBLE") + " AS p FROM (SELECT *, (n - 2) / (n - 2 + rho * rho * (n - 2) / (1 - rho * rho)) AS x, (n - 2) / 2.0::DOUBLE AS h FROM (" + _CORR.format(least=0.05).replace("round(corr(a.rk, b.rk), 6)", "corr(a.rk, b.rk)") + ") c, (SELECT count(DISTINCT l_suppkey)::DOUBLE AS n FROM lineitem) k) u) w WHERE p <= 0.3"
+
+
+@query("cooccurrence_p", "SELECT a, b, \"both\", round(rho, 6) AS rho, round(p, 6) AS p FROM (" + _CORR_P + ") y")
+def cooccurrence_p(s, d):
+    return _rounded(_network(s, d, 0.05, 0.3), "rho", "p")
 
 
 @query("network_degrees", "SELECT taxon, count(*) AS degree, count(*) FILTER (WHERE rho > 0) AS positive FROM (SELECT a AS taxon, rho FROM (" + _CORR.format(least=0.05) + ") x UNION ALL SELECT b, rho FROM (" + _CORR.format(least=0.05) + ") y) z GROUP BY 1")
@@ -224,7 +233,13 @@ def network_degrees(s, d):
     return network.degrees(_network(s, d, 0.05))
 
 
-@query("network_roles")
+_ROLES = """WITH e AS (SELECT a, b FROM (""" + _CORR.format(least=0.05) + """) x), o AS (SELECT a AS taxon, b AS other FROM e UNION ALL SELECT b, a FROM e),
+k AS (SELECT taxon, substr(other, 1, 7) AS om, count(*)::DOUBLE AS k FROM o GROUP BY 1, 2), s AS (SELECT taxon, substr(taxon, 1, 7) AS module, sum(k) AS k, coalesce(sum(k) FILTER (WHERE om = substr(taxon, 1, 7)), 0) AS i, sum(k * k) AS kk FROM k GROUP BY 1),
+r AS (SELECT taxon, module, coalesce((i - avg(i) OVER (PARTITION BY module)) / nullif(stddev_samp(i) OVER (PARTITION BY module), 0), 0) AS zi, 1 - kk / (k * k) AS pi FROM s)
+SELECT taxon, module, round(zi, 6) AS zi, round(pi, 6) AS pi, CASE WHEN zi > 2.5 AND pi > 0.62 THEN 'network hub' WHEN zi > 2.5 THEN 'module hub' WHEN pi > 0.62 THEN 'connector' ELSE 'peripheral' END AS role FROM r"""
+
+
+@query("network_roles", _ROLES)
 def network_roles(s, d):
     modules = genus_counts(s, d).select("taxon").distinct().select("taxon", F.substring("taxon", 1, 7).alias("module"))
-    return network.roles(_network(s, d, 0.05), modules)
+    return _rounded(network.roles(_network(s, d, 0.05), modules), "zi", "pi")

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from quadrat.functions import sequences as sq
 from quadrat.operators import genomes, reads
 from quadrat.plans.analogue import mode, query, table
-from quadrat.session import ship
 
 #: Texts as sequences: everything but a, c, g and t goes.
 _SEQ = "WITH x AS (SELECT doc_id, lang, upper(regexp_replace(lower(text), '[^acgt]', '', 'g')) AS seq, text FROM documents) "
@@ -25,19 +24,14 @@ def reverse_complement(s, d):
     return _sequences(s, d).select("doc_id", F.md5(sq.reverse_complement("seq")).alias("rc"))
 
 
-@query("dereplicated", _SEQ + "SELECT md5(seq) AS seq, size FROM (SELECT least(substr(seq, 1, 6), reverse(translate(substr(seq, 1, 6), 'ACGT', 'TGCA'))) AS seq, count(*) AS size FROM x GROUP BY 1) y")
+@query("dereplicated", _SEQ + "SELECT md5(seq) AS seq, size FROM (SELECT least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS seq, count(*) AS size FROM x WHERE seq IS NOT NULL GROUP BY 1) y")
 def dereplicated(s, d):
-    return reads.dereplicate(_sequences(s, d).select(F.substring("seq", 1, 6).alias("seq"))).select(F.md5("seq").alias("seq"), "size")
-
-
-@query("dereplicated_whole")
-def dereplicated_whole(s, d):
     return reads.dereplicate(_sequences(s, d).select("seq")).select(F.md5("seq").alias("seq"), "size")
 
 
 @query("kmer_counts", _SEQ + "SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(seq) - 2), lambda p: substr(seq, p, 4))) AS kmer FROM x WHERE length(seq) >= 4) y WHERE length(kmer) = 4 GROUP BY 1")
 def kmer_counts(s, d):
-    return _sequences(s, d).select(F.explode(sq.kmers("seq", 4)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return reads.kmer_table(_sequences(s, d), 4)
 
 
 @query("gc_windows", _SEQ + """, w AS (SELECT doc_id, k * 500 AS st, substr(seq, k * 500 + 1, 500) AS w FROM (SELECT doc_id, seq, unnest(range(0, (length(seq) + 499) // 500)) AS k FROM x) y), c AS (SELECT doc_id, st, length(w) AS n, length(w) - length(replace(w, 'G', '')) AS g, length(w) - length(replace(w, 'C', '')) AS c FROM w)
@@ -63,10 +57,10 @@ def read_quality(s, d):
 
 
 @query("read_statistics", _Q + f""", y AS ({_MQ}), o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY length DESC) AS r, count(*) OVER (PARTITION BY file) AS n, sum(length) OVER (PARTITION BY file ORDER BY length DESC ROWS UNBOUNDED PRECEDING) AS run, sum(length) OVER (PARTITION BY file) AS t FROM y)
-SELECT file, count(*) AS reads, sum(length)::BIGINT AS bases, round(avg(length), 5) AS mean_length, round(avg(mean_q), 4) AS mean_q, max(CASE WHEN r = n // 2 + 1 THEN length END) AS median_length, max(CASE WHEN run >= t / 2.0 THEN length END) AS n50 FROM o GROUP BY 1""")
+SELECT file, count(*) AS reads, sum(length)::BIGINT AS bases, round(avg(length), 5) AS mean_length, round(avg(mean_q), 4) AS mean_q, max(CASE WHEN r = n // 2 + 1 THEN length END) AS median_length, max(CASE WHEN run >= t / 2.0 THEN length END) AS n50, round(100.0 * avg((mean_q >= 30)::INT), 4) AS q30_pct FROM o GROUP BY 1""")
 def read_statistics(s, d):
     out = reads.read_statistics(_as_reads(s, d))
-    return out.select("file", "reads", "bases", F.round("mean_length", 5).alias("mean_length"), F.round("mean_q", 4).alias("mean_q"), "median_length", "n50")
+    return out.select("file", "reads", "bases", F.round("mean_length", 5).alias("mean_length"), F.round("mean_q", 4).alias("mean_q"), "median_length", "n50", F.round("q30_pct", 4).alias("q30_pct"))
 
 
 @query("length_histogram", "SELECT lang AS file, length(text) // 500 * 500 AS bin, count(*) AS reads, sum(length(text))::BIGINT AS bases FROM documents GROUP BY 1, 2")
@@ -147,19 +141,46 @@ def panel_values(s, d):
     return genomes.panel_values(w, panels, w)
 
 
-@query("tetramer_profile")
+_TETRA = _SEQ + """, y AS (SELECT lang, seq, length(seq) AS n FROM x WHERE length(seq) >= 4),
+k0 AS (SELECT lang, unnest(list_transform(range(1, n - 2), lambda p: substr(seq, p, 4))) AS kmer FROM y UNION ALL SELECT lang, unnest(list_transform(range(1, n - 1), lambda p: substr(seq, p, 3))) FROM y UNION ALL SELECT lang, unnest(list_transform(range(1, n), lambda p: substr(seq, p, 2))) FROM y),
+k1 AS (SELECT lang, kmer, count(*) AS c FROM k0 GROUP BY 1, 2), k AS (SELECT lang, kmer, sum(c)::DOUBLE AS c FROM (SELECT lang, kmer, c FROM k1 UNION ALL SELECT lang, reverse(translate(kmer, 'ACGT', 'TGCA')), c FROM k1) u GROUP BY 1, 2),
+l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS a), t AS (SELECT p.a || q.a || r.a || s.a AS kmer FROM l p, l q, l r, l s),
+g AS (SELECT name, t.kmer, coalesce(k4.c, 0) AS n4, coalesce(ka.c, 0) AS a, coalesce(kb.c, 0) AS b, coalesce(km.c, 0) AS m FROM (SELECT DISTINCT lang AS name FROM documents WHERE lang IS NOT NULL) n CROSS JOIN t
+ LEFT JOIN k k4 ON k4.lang = name AND k4.kmer = t.kmer LEFT JOIN k ka ON ka.lang = name AND ka.kmer = substr(t.kmer, 1, 3) LEFT JOIN k kb ON kb.lang = name AND kb.kmer = substr(t.kmer, 2, 3) LEFT JOIN k km ON km.lang = name AND km.kmer = substr(t.kmer, 2, 2)),
+v AS (SELECT *, a * b / nullif(m, 0) AS e, a * b / nullif(m, 0) * (m - a) * (m - b) / (nullif(m, 0) * m) AS var FROM g)
+SELECT name, kmer, round(CASE WHEN var > 0 THEN (n4 - e) / sqrt(var) ELSE 0 END, 6) AS z FROM v"""
+
+
+@query("tetramer_profile", _TETRA)
 def tetramer_profile(s, d):
-    ship(s)
-    return genomes.tetramer_profile(_sequences(s, d).select(F.col("lang").alias("name"), "seq"))
+    return genomes.tetramer_profile(_sequences(s, d).select(F.col("lang").alias("name"), "seq")).withColumn("z", F.round("z", 6))
 
 
-@query("primer_matches")
+_PRIMER = _SEQ + """, o AS (SELECT doc_id, seq, unnest(range(0, greatest(least(length(seq), 30) - 5, 1))) AS start FROM x),
+m AS (SELECT doc_id, start, (substr(seq, start + 1, 1) <> 'A')::INT + (substr(seq, start + 2, 1) <> 'C')::INT + (substr(seq, start + 3, 1) NOT IN ('A', 'C', 'G', 'T'))::INT + (substr(seq, start + 4, 1) <> 'T')::INT + (substr(seq, start + 5, 1) NOT IN ('A', 'G'))::INT + (substr(seq, start + 6, 1) <> 'G')::INT AS mismatches FROM o),
+b AS (SELECT doc_id, mismatches, start, row_number() OVER (PARTITION BY doc_id ORDER BY mismatches, start) AS r FROM m)
+SELECT x.doc_id, b.mismatches::INT AS mismatches, b.start::INT AS start FROM x LEFT JOIN b ON b.doc_id = x.doc_id AND r = 1"""
+
+
+@query("primer_matches", _PRIMER)
 def primer_matches(s, d):
     m = sq.best_primer_match("seq", "ACNTRG")
-    return _sequences(s, d).select("doc_id", m.alias("m")).select("doc_id", "m.mismatches", "m.start")
+    return _sequences(s, d).select("doc_id", m.alias("m")).select("doc_id", F.col("m.mismatches").cast("int").alias("mismatches"), F.col("m.start").cast("int").alias("start"))
+
+
+_FAMILIES = """WITH c AS (SELECT p_partkey AS tname, CAST(p_partkey AS VARCHAR) AS allele, p_brand AS symbol, p_type AS class FROM part),
+h AS (SELECT c.*, l_orderkey || '-' || l_linenumber AS qname, (l_quantity::BIGINT - 1) * 18 AS ts, least(1000, (l_quantity::BIGINT - 1) * 18 + 150) AS te, 1 - l_discount::DOUBLE AS identity FROM lineitem JOIN c ON l_partkey = tname),
+k AS (SELECT * FROM h WHERE identity >= 0.9 AND te - ts >= 50),
+n AS (SELECT symbol, tname, row_number() OVER (PARTITION BY symbol ORDER BY count(*) DESC, tname) AS r FROM k GROUP BY 1, 2),
+rep AS (SELECT n.symbol, c.allele, c.class FROM n JOIN c USING (tname) WHERE r = 1),
+s AS (SELECT symbol, count(DISTINCT qname) AS reads, sum(te - ts) AS bases, avg(identity) AS identity FROM k GROUP BY 1),
+i AS (SELECT symbol, ts AS a, te AS b, max(te) OVER (PARTITION BY symbol ORDER BY ts, te ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k),
+u AS (SELECT symbol, sum(greatest(b - greatest(a, coalesce(reach, a)), 0)) AS covered FROM i GROUP BY 1)
+SELECT symbol AS gene, allele, 'AMR' AS type, class, 1000 AS length, reads, round_even(100 * covered / 1000.0, 1)::DOUBLE AS breadth, round_even(bases / 1000.0, 2)::DOUBLE AS depth, round_even(reads / 1.0, 2)::DOUBLE AS rpkm, round_even(100 * identity, 2)::DOUBLE AS identity
+FROM rep JOIN s USING (symbol) JOIN u USING (symbol) WHERE 100 * covered / 1000.0 >= 60"""
 
 
-@query("gene_families")
+@query("gene_families", _FAMILIES)
 def gene_families(s, d):
     part = table(s, d, "part").select(F.col("p_partkey").alias("tname"), F.col("p_partkey").cast("string").alias("allele"), F.col("p_brand").alias("symbol"), F.lit(1000).alias("length"), F.lit("AMR").alias("type"), F.col("p_type").alias("class"))
     li = table(s, d, "lineitem")

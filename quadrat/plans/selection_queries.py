@@ -65,14 +65,8 @@ def tree_ancestors(s, d):
     return selection.tree_ancestor(n, F.col("ok"))
 
 
-@query("shared_lineages", "SELECT s AS seq, n, CASE WHEN a THEN p END AS phylum, CASE WHEN a AND b THEN g END AS genus FROM (SELECT p_name AS s, count(*) AS n, count(DISTINCT p_type) <= 1 AS a, count(DISTINCT p_brand) <= 1 AS b, min(p_type) AS p, min(p_brand) AS g FROM part WHERE p_size < 4 GROUP BY 1) x")
+@query("shared_lineages", "SELECT s AS seq, n, CASE WHEN a THEN p END AS phylum, CASE WHEN a AND b THEN g END AS genus FROM (SELECT p_name AS s, count(*) AS n, count(DISTINCT p_type) <= 1 AS a, count(DISTINCT p_brand) <= 1 AS b, min(p_type) AS p, min(p_brand) AS g FROM part GROUP BY 1) x")
 def shared_lineages(s, d):
-    p = table(s, d, "part").where("p_size < 4").select(F.col("p_name").alias("seq"), F.col("p_type").alias("phylum"), F.col("p_brand").alias("genus"))
-    return selection.shared_lineage(p, ["seq"], ["phylum", "genus"])
-
-
-@query("shared_lineages_whole")
-def shared_lineages_whole(s, d):
     p = table(s, d, "part").select(F.col("p_name").alias("seq"), F.col("p_type").alias("phylum"), F.col("p_brand").alias("genus"))
     return selection.shared_lineage(p, ["seq"], ["phylum", "genus"])
 
@@ -89,12 +83,12 @@ def weighted_lengths(s, d):
     return li.groupBy(F.length("p_name").alias("length")).agg(F.sum("l_quantity").cast("double").alias("reads"))
 
 
-_TOOLS = """WITH t AS (SELECT l_suppkey % 10 AS sample, p_brand AS taxon, l_linenumber <= 3 AS a, count(*)::DOUBLE AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 3 OR p_size > 10 GROUP BY 1, 2, 3),
+_TOOLS = """WITH t AS (SELECT l_suppkey % 10 AS sample, p_brand AS taxon, l_linenumber <= 3 AS a, count(*)::DOUBLE AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
 q AS (SELECT *, round(100 * n / sum(n) OVER (PARTITION BY sample, a), 9) AS pct FROM t), b AS (SELECT sample, taxon, coalesce(max(pct) FILTER (WHERE a), 0) AS x, coalesce(max(pct) FILTER (WHERE NOT a), 0) AS y FROM q GROUP BY 1, 2) """
 
 
 def _two_tools(s, d):
-    li = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_linenumber <= 3 OR p_size > 10")
+    li = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     t = li.groupBy((F.col("l_suppkey") % 10).alias("sample"), F.col("p_brand").alias("taxon"), (F.col("l_linenumber") <= 3).alias("a")).agg(F.count("*").cast("double").alias("n"))
     q = community.with_share(t, ["sample", "a"], "n").withColumn("pct", F.round("pct", 9))
     return selection.agreement(q.where("a"), q.where("NOT a"))
@@ -121,19 +115,22 @@ def joined_names(s, d):
     return selection.joined_names(table(s, d, "lineitem").withColumn("x", F.concat("l_returnflag", "l_linestatus")), ["l_orderkey"], "x")
 
 
-@query("open_frames", _SEQ + ", y AS (SELECT doc_id, substr(seq, 1, 60) AS q FROM x), z AS (SELECT doc_id, q, unnest([0, 1, 2]) AS f FROM y), w AS (SELECT doc_id, f, (length(q) - f) // 3 AS n, q FROM z) SELECT doc_id, sum(CASE WHEN n * 3 >= 30 AND len(list_filter(range(0, n), lambda k: substr(q, (k * 3 + f + 1)::INT, 3) IN ('TAA', 'TAG', 'TGA'))) = 0 THEN 1 ELSE 0 END)::INT AS frames FROM w GROUP BY 1")
+@query("open_frames", _SEQ + ", z AS (SELECT doc_id, seq AS q, unnest([0, 1, 2]) AS f FROM x), w AS (SELECT doc_id, f, greatest(length(q) - f, 0) // 3 AS n, q FROM z) SELECT doc_id, sum(CASE WHEN n * 3 >= 150 AND len(list_filter(range(0, n), lambda k: substr(q, (k * 3 + f + 1)::INT, 3) IN ('TAA', 'TAG', 'TGA'))) = 0 THEN 1 ELSE 0 END)::INT AS frames FROM w GROUP BY 1")
 def open_frames(s, d):
-    return _sequences(s, d).select("doc_id", sequences.open_frames(F.substring("seq", 1, 60), ["TAA", "TAG", "TGA"], 30).alias("frames"))
+    return _sequences(s, d).select("doc_id", sequences.open_frames("seq", ["TAA", "TAG", "TGA"]).alias("frames"))
 
 
-@query("open_frames_whole")
-def open_frames_whole(s, d):
-    return _sequences(s, d).select("doc_id", sequences.open_frames("seq", ["TAA", "TAG", "TGA"]).alias("frames"))
+_ACCUMULATION = """WITH f AS (SELECT DISTINCT n_name AS sample, l_partkey AS feature_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity > 0),
+p AS (SELECT o, sample, row_number() OVER (PARTITION BY o ORDER BY md5(sample || '-' || o || '-1'), sample) AS k FROM (SELECT DISTINCT sample FROM f) s, range(1, 101) r(o)),
+w AS (SELECT o, k, count(*) AS new FROM (SELECT o, feature_id, min(k) AS k FROM f JOIN p USING (sample) GROUP BY 1, 2) x GROUP BY 1, 2),
+s AS (SELECT p.o, p.k, sum(coalesce(new, 0)) OVER (PARTITION BY p.o ORDER BY p.k) AS seen FROM p LEFT JOIN w ON p.o = w.o AND p.k = w.k)
+SELECT k AS samples, round(avg(seen), 6) AS mean, round(coalesce(stddev_samp(seen), 0), 6) AS sd FROM s GROUP BY 1"""
 
 
-@query("accumulation")
+@query("accumulation", _ACCUMULATION)
 def accumulation(s, d):
-    return selection.accumulation(features(s, d).join(metadata(s, d), "sample").select(F.col("site").alias("sample"), "feature_id", "reads"))
+    out = selection.accumulation(features(s, d).join(metadata(s, d), "sample").select(F.col("site").alias("sample"), "feature_id", "reads"))
+    return out.select(F.col("samples").cast("long").alias("samples"), F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 @query("otu_counts", "SELECT l_partkey AS feature_id, 'M' || l_linenumber AS sample, count(*) AS reads FROM lineitem GROUP BY 1, 2")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quadrat.operators import stats as st
-from quadrat.plans.analogue import BASE, genus_counts, metadata, mode, query, table
+from quadrat.plans.analogue import BASE, ORACLES, genus_counts, metadata, mode, query, table
 
 #: Per cent of each named genus in the samples that have it, by region; rounded so that ties are the same in both engines.
 _VALUES = BASE + ", v AS (SELECT taxon, grp, round(pct, 6) AS value FROM p JOIN m USING (sample) WHERE taxon <> 'Unclassified') "
@@ -24,15 +24,33 @@ def kruskal_wallis(s, d):
     return st.kruskal(_values(s, d), ["taxon"]).withColumn("h", F.round("h", 5))
 
 
-@query("kruskal_p", _KW + f"SELECT taxon, round(exp(-{_H} / 2) * (1 + {_H} / 2), 6) AS p FROM g2 WHERE k = 5")
-def kruskal_p(s, d):
-    k = st.kruskal(_values(s, d), ["taxon"]).where("k = 5")
-    return k.select("taxon", F.round(st.chi2_p(F.col("h"), F.col("df")), 6).alias("p"))
+def chi2_sql(x: str, df: str) -> str:
+    """Upper tail of the chi-square distribution in SQL, by the power series of the incomplete gamma function."""
+    terms = f"list_sum(list_transform(range(0, 600), lambda i: exp(i * ln({x} / 2.0) - lgamma({df} / 2.0 + i + 1))))"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 0 THEN 1 ELSE greatest(1 - exp({df} / 2.0 * ln({x} / 2.0) - {x} / 2.0) * {terms}, 0) END"
+
+
+def beta_sql(x: str, a: str, b: str) -> str:
+    """Regularised incomplete beta function in SQL, by its power series on the side that converges faster."""
+
+    def own(x, a, b):
+        terms = f"list_sum(list_transform(range(0, 1500), lambda i: exp(lgamma({a} + {b} + i) - lgamma({a} + {b}) - lgamma({a} + 1 + i) + lgamma({a} + 1) + i * ln({x}))))"
+        return f"exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / {a} * {terms}"
 
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 0 THEN 0 WHEN {x} >= 1 THEN 1 WHEN {x} <= ({a} + 1) / ({a} + {b} + 2) THEN {own(x, a, b)} ELSE 1 - {own(f'(1 - {x})', b, a)} END"
 
-@query("kruskal_p_whole")
-def kruskal_p_whole(s, d):
-    return st.kruskal(_values(s, d), ["taxon"]).where("k >= 2").select("taxon", "k", st.chi2_p(F.col("h"), F.col("df")).alias("p"))
+
+def adjusted_sql(tests: str, columns: str, by: str = "") -> str:
+    """Columns, p and q of tests with a column p, adjusted within by."""
+    part = f"PARTITION BY {by}" if by else ""
+    tie = f"PARTITION BY {by + ', ' if by else ''}p"
+    return f"""SELECT {columns}, round(p, 6) AS p, round(CASE WHEN p IS NULL THEN NULL ELSE least(1, min(p * n / r) OVER ({part} ORDER BY p DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END, 6) AS q
+FROM (SELECT *, rank() OVER ({part} ORDER BY p NULLS LAST) + count(*) OVER ({tie}) - 1 AS r, count(p) OVER ({part}) AS n FROM ({tests}) a) b"""
+
+
+@query("kruskal_p", _KW + f", h AS (SELECT taxon, k, {_H} AS h, k - 1 AS df FROM g2 WHERE k >= 2 AND n > k AND 1 - ties / (n * n * n - n) > 1e-15 UNION ALL SELECT taxon, k, NULL, k - 1 FROM g2 WHERE k >= 2 AND NOT (n > k AND 1 - ties / (n * n * n - n) > 1e-15)) SELECT taxon, k, round({chi2_sql('h', 'df')}, 6) AS p FROM h")
+def kruskal_p(s, d):
+    return st.kruskal(_values(s, d), ["taxon"]).where("k >= 2").select("taxon", "k", F.round(st.chi2_p(F.col("h"), F.col("df")), 6).alias("p"))
 
 
 @query("anova", _VALUES + """, g1 AS (SELECT taxon, grp, count(*) AS m, sum(value) AS s, sum(value * value) AS q FROM v GROUP BY 1, 2), g2 AS (SELECT taxon, sum(m) AS n, count(*) AS k, sum(s) AS s, sum(q) AS q, sum(s * s / m) AS b FROM g1 GROUP BY 1)
@@ -61,19 +79,14 @@ def wilcoxon(s, d):
     return st.wilcoxon(_values(s, d), ["taxon"]).withColumn("z", F.round("z", 5))
 
 
-@query("benjamini_hochberg", """WITH x AS (SELECT o_orderkey AS id, (o_orderkey % 997 + 1) / 1000.0::DOUBLE AS p FROM orders WHERE o_orderkey % 2 = 1),
+@query("benjamini_hochberg", """WITH x AS (SELECT o_orderkey AS id, (o_orderkey % 997 + 1) / 1000.0::DOUBLE AS p FROM orders),
 r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r, count(*) OVER () AS n FROM x)
 SELECT id, round(least(1, min(p * n / r) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS q FROM r""")
 def benjamini_hochberg(s, d):
-    x = table(s, d, "orders").where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 997 + 1) / 1000).alias("p"))
+    x = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 997 + 1) / 1000).alias("p"))
     return st.benjamini_hochberg(x).select("id", F.round("q", 9).alias("q"))
 
 
-@query("benjamini_hochberg_whole")
-def benjamini_hochberg_whole(s, d):
-    return st.benjamini_hochberg(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 997 + 1) / 1000).alias("p")))
-
-
 @query("spearman", """WITH x AS (SELECT 'M' || l_linenumber AS grp, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS y FROM lineitem), r AS (SELECT grp, rank() OVER (PARTITION BY grp ORDER BY x) + (count(*) OVER (PARTITION BY grp, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY grp ORDER BY y) + (count(*) OVER (PARTITION BY grp, y) - 1) / 2.0 AS ry FROM x)
 SELECT grp, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY 1""")
 def spearman(s, d):
@@ -87,19 +100,33 @@ def effect_scores(s, d):
     return st.effect_score(_values(s, d), ["taxon"]).withColumn("score", F.round("score", 5))
 
 
-@query("welch_p")
+_X = _WELCH.replace("round(a.mean - b.mean, 5) AS diff", "a.mean - b.mean AS diff").replace("round((a.mean - b.mean) / nullif(sqrt(a.var / a.n + b.var / b.n), 0), 4)", "(a.mean - b.mean) / nullif(sqrt(a.var / a.n + b.var / b.n), 0)").replace("round((a.var / a.n + b.var / b.n) ** 2 / nullif((a.var / a.n) ** 2 / (a.n - 1) + (b.var / b.n) ** 2 / (b.n - 1), 0), 4)", "(a.var / a.n + b.var / b.n) ** 2 / nullif((a.var / a.n) ** 2 / (a.n - 1) + (b.var / b.n) ** 2 / (b.n - 1), 0)")
+_T = beta_sql("x", "a", "b")
+
+
+@query("welch_p", adjusted_sql(f"SELECT taxon, grp_a, grp_b, {_T} AS p FROM (SELECT *, df / (df + t * t) AS x, df / 2 AS a, 0.5::DOUBLE AS b FROM ({_X}) u) v", "taxon, grp_a, grp_b"))
 def welch_p(s, d):
     w = st.welch(_values(s, d), ["taxon"])
-    return st.benjamini_hochberg(w.withColumn("p", st.t_p(F.col("t"), F.col("df"))))
+    out = st.benjamini_hochberg(w.withColumn("p", st.t_p(F.col("t"), F.col("df"))))
+    return out.select("taxon", "grp_a", "grp_b", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
-@query("anova_p")
+_F = _VALUES + """, g1 AS (SELECT taxon, grp, count(*) AS m, sum(value) AS s, sum(value * value) AS q FROM v GROUP BY 1, 2), g2 AS (SELECT taxon, sum(m)::DOUBLE AS n, count(*) AS k, sum(s) AS s, sum(q) AS q, sum(s * s / m) AS b FROM g1 GROUP BY 1)
+SELECT taxon, ((b - s * s / n) / nullif(k - 1, 0)) / nullif(greatest(q - b, 0) / nullif(n - k, 0), 0) AS f, (k - 1)::DOUBLE AS df1, n - k AS df2 FROM g2"""
+
+
+@query("anova_p", adjusted_sql(f"SELECT taxon, CASE WHEN f <= 0 THEN 1 ELSE {_T} END AS p FROM (SELECT *, df2 / (df2 + df1 * f) AS x, df2 / 2 AS a, df1 / 2 AS b FROM ({_F}) u) v", "taxon"))
 def anova_p(s, d):
     a = st.anova(_values(s, d), ["taxon"])
-    return st.benjamini_hochberg(a.withColumn("p", st.f_p(F.col("f"), F.col("df1"), F.col("df2"))))
+    out = st.benjamini_hochberg(a.withColumn("p", st.f_p(F.col("f"), F.col("df1"), F.col("df2"))))
+    return out.select("taxon", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+
+
+_Z = ORACLES["wilcoxon"].replace("w, round((w", "((w").replace(", 0), 5) AS z", ", 0)) AS z")
 
 
-@query("wilcoxon_p")
+@query("wilcoxon_p", adjusted_sql(f"SELECT taxon, grp_a, grp_b, {chi2_sql('x', '1')} AS p FROM (SELECT *, z * z AS x FROM ({_Z}) u) v", "taxon, grp_a, grp_b", "grp_a, grp_b"))
 def wilcoxon_p(s, d):
     w = st.wilcoxon(_values(s, d), ["taxon"])
-    return st.benjamini_hochberg(w.withColumn("p", st.normal_p(F.col("z"))), by=["grp_a", "grp_b"])
+    out = st.benjamini_hochberg(w.withColumn("p", st.normal_p(F.col("z"))), by=["grp_a", "grp_b"])
+    return out.select("taxon", "grp_a", "grp_b", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))

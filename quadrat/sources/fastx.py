@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(name, description, seq): name is the first word of the header; sequences in upper case without line breaks."""
-    rows = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
     head, body = F.split("value", "\r?\n", 2)[0], F.get(F.split("value", "\r?\n", 2), F.lit(1))
     return rows.select(F.split(F.trim(head), r"\s+")[0].alias("name"), F.trim(head).alias("description"), F.upper(F.regexp_replace(F.coalesce(body, F.lit("")), r"\s", "")).alias("seq"))
 

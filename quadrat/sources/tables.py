@@ -77,7 +77,7 @@ def metadata_for(wide: DataFrame, samples: list[str]) -> DataFrame:
     running = wide.agg(*((F.count_distinct(F.col(f"`{c}`").try_cast("int")) == n).alias(str(i)) for i, c in enumerate(wide.columns)), *((F.max(F.col(f"`{c}`").try_cast("int")) == n).alias(f"m{i}") for i, c in enumerate(wide.columns))).first()
     kept = [c for i, c in enumerate(wide.columns) if c != name and not (running[str(i)] and running[f"m{i}"])]
     pairs = [x for c in kept for x in (F.lit(c), F.coalesce(missing_to_null(F.col(f"`{c}`")), F.lit("")))]
-    out = wide.withColumn("key", folded_key(F.col(f"`{name}`"))).join(F.broadcast(known), "key").select("sample", (F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")).alias("attrs"))
+    out = wide.withColumn("key", folded_key(F.col(f"`{name}`"))).join(known, "key").select("sample", (F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")).alias("attrs"))
     twice = [r["sample"] for r in out.groupBy("sample").count().where("count > 1").limit(5).collect()]
     if twice:
         raise ValueError(f"samples stand more than once: {twice}")
