@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +52,46 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("taxon").agg(F.count("*").alias("degree"), F.sum((F.col("rho") > 0).cast("int")).alias("positive"))
 
 
+def modules(edges: DataFrame) -> DataFrame:
+    """(taxon, module): groups of taxa by greedy modularity: the two groups whose union raises it most are joined, ties to the smaller numbers, until none does. Numbers go from the smallest name.
+
+    What is joined next depends on all joins before it, so a network is one task; its taxa are those of a rank that pass the filters, some thousands at most.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(rows["a"]) | set(rows["b"]))
+        at = {n: i for i, n in enumerate(names)}
+        links: dict[int, dict[int, float]] = {i: {} for i in range(len(names))}
+        for a, b in zip(rows["a"].map(at), rows["b"].map(at), strict=True):
+            links[a][b] = links[b][a] = links[a].get(b, 0.0) + 1.0
+        total = sum(sum(x.values()) for x in links.values())
+        degree = {i: sum(x.values()) for i, x in links.items()}
+        member = {i: [i] for i in links}
+        while True:
+            gain, a, b = max(((x / total - degree[i] * degree[j] / total**2, -i, -j) for i, near in links.items() for j, x in near.items() if i < j), default=(0.0, 0, 0))
+            if gain <= 1e-12:
+                break
+            a, b = -a, -b
+            for c, x in links.pop(b).items():
+                links[c].pop(b)
+                if c != a:
+                    links[a][c] = links[c][a] = links[a].get(c, 0.0) + x
+            degree[a] += degree.pop(b)
+            member[a] += member.pop(b)
+        groups = sorted(member.values(), key=min)
+        return pd.DataFrame([(names[i], k + 1) for k, own in enumerate(groups) for i in own], columns=["taxon", "module"])
+
+    return edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.lit(1).alias("k")).groupBy("k").applyInPandas(run, "taxon string, module int")
+
+
 def roles(edges: DataFrame, modules: DataFrame, hub: float = 2.5, connector: float = 0.62) -> DataFrame:
-    """(taxon, module, zi, pi, role): degree within the module as z-score, spread of the links over modules, and the role they give."""
+    """(taxon, module, zi, pi, role): degree as z-score among the taxa of the module, spread of the links over modules, and the role they give."""
     m = modules.select(F.col("taxon").alias("other"), F.col("module").alias("other_module"))
     both = edges.select(F.col("a").alias("taxon"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("taxon"), F.col("a").alias("other")))
     per = both.join(m, "other").groupBy("taxon", "other_module").agg(F.count("*").alias("k")).join(modules, "taxon")
-    s = per.groupBy("taxon", "module").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("other_module") == F.col("module"), F.col("k")).otherwise(0)).alias("inside"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    s = per.groupBy("taxon", "module").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
     own = Window.partitionBy("module")
-    zi = F.coalesce(F.try_divide(F.col("inside") - F.avg("inside").over(own), F.stddev_samp("inside").over(own)), F.lit(0.0))
+    zi = F.coalesce(F.try_divide(F.col("k") - F.avg("k").over(own), F.stddev_samp("k").over(own)), F.lit(0.0))
     pi = 1 - F.col("kk") / (F.col("k") * F.col("k"))
-    role = F.when((F.col("zi") > hub) & (F.col("pi") > connector), "network hub").when(F.col("zi") > hub, "module hub").when(F.col("pi") > connector, "connector").otherwise("peripheral")
+    role = F.when((F.col("zi") >= hub) & (F.col("pi") >= connector), "network hub").when(F.col("zi") >= hub, "module hub").when(F.col("pi") >= connector, "connector").otherwise("peripheral")
     return s.select("taxon", "module", zi.alias("zi"), pi.alias("pi")).withColumn("role", role)

@@ -39,11 +39,11 @@ def _each(distances: DataFrame, make: Callable[[list, np.ndarray], pd.DataFrame]
     return source.select(F.col("matrix").cast("string").alias("matrix"), F.col("i").cast("string").alias("i"), F.col("j").cast("string").alias("j"), F.col("d").cast("double").alias("d")).groupBy("matrix").applyInPandas(run, f"matrix string, {schema}")
 
 
-def pcoa(distances: DataFrame) -> DataFrame:
-    """(matrix, sample, axis1, axis2, pct1, pct2)."""
+def pcoa(distances: DataFrame, of: str = "positive") -> DataFrame:
+    """(matrix, sample, axis1, axis2, pct1, pct2); per cent of the positive eigenvalues, or of the absolute values of all."""
 
     def make(names, d):
-        at, pct = kernels.pcoa(d)
+        at, pct = kernels.pcoa(d, of=of)
         return pd.DataFrame({"sample": names, "axis1": at[:, 0], "axis2": at[:, 1], "pct1": pct[0], "pct2": pct[1]})
 
     return _each(distances, make, "sample string, axis1 double, axis2 double, pct1 double, pct2 double")

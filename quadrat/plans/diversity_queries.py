@@ -234,9 +234,9 @@ def network_degrees(s, d):
 
 
 _ROLES = """WITH e AS (SELECT a, b FROM (""" + _CORR.format(least=0.05) + """) x), o AS (SELECT a AS taxon, b AS other FROM e UNION ALL SELECT b, a FROM e),
-k AS (SELECT taxon, substr(other, 1, 7) AS om, count(*)::DOUBLE AS k FROM o GROUP BY 1, 2), s AS (SELECT taxon, substr(taxon, 1, 7) AS module, sum(k) AS k, coalesce(sum(k) FILTER (WHERE om = substr(taxon, 1, 7)), 0) AS i, sum(k * k) AS kk FROM k GROUP BY 1),
-r AS (SELECT taxon, module, coalesce((i - avg(i) OVER (PARTITION BY module)) / nullif(stddev_samp(i) OVER (PARTITION BY module), 0), 0) AS zi, 1 - kk / (k * k) AS pi FROM s)
-SELECT taxon, module, round(zi, 6) AS zi, round(pi, 6) AS pi, CASE WHEN zi > 2.5 AND pi > 0.62 THEN 'network hub' WHEN zi > 2.5 THEN 'module hub' WHEN pi > 0.62 THEN 'connector' ELSE 'peripheral' END AS role FROM r"""
+k AS (SELECT taxon, substr(other, 1, 7) AS om, count(*)::DOUBLE AS k FROM o GROUP BY 1, 2), s AS (SELECT taxon, substr(taxon, 1, 7) AS module, sum(k) AS k, sum(k * k) AS kk FROM k GROUP BY 1),
+r AS (SELECT taxon, module, coalesce((k - avg(k) OVER (PARTITION BY module)) / nullif(stddev_samp(k) OVER (PARTITION BY module), 0), 0) AS zi, 1 - kk / (k * k) AS pi FROM s)
+SELECT taxon, module, round(zi, 6) AS zi, round(pi, 6) AS pi, CASE WHEN zi >= 2.5 AND pi >= 0.62 THEN 'network hub' WHEN zi >= 2.5 THEN 'module hub' WHEN pi >= 0.62 THEN 'connector' ELSE 'peripheral' END AS role FROM r"""
 
 
 @query("network_roles", _ROLES)

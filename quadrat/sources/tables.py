@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,26 @@ FEATURE_COLUMNS = ["sequence", "tax_id", "ASV_ID", "ASV", "OTU", "feature_id", "
 SAMPLE_COLUMNS = ["sample_id", "sample", "SampleID"]
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """All columns as text, byte order mark and ragged rows tolerated."""
-    df = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').csv(path)
+def found_separator(spark: SparkSession, path: str) -> str:
+    """Tab, semicolon, comma or bar: the one that the first line has most often; comma without any."""
+    first = spark.read.text(path).limit(1).collect()
+    line = first[0]["value"] if first else ""
+    return max("\t;,|", key=lambda c: (line.count(c), c == ","))
+
+
+def read_tool_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated table whose header line begins with #, all columns as text; short rows are filled with nulls, other lines with # go."""
+    v = F.split("value", "\t")
+    rows = spark.read.text(path)
+    head = rows.where("value LIKE '#%' AND instr(value, chr(9)) > 0").limit(1).collect()
+    names = head[0]["value"].lstrip("#").strip("\r\n").split("\t") if head else []
+    return rows.where("value NOT LIKE '#%' AND trim(value) <> ''").select(*(F.get(v, F.lit(i)).alias(n.strip()) for i, n in enumerate(names)))
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = ",", header: bool = True, encoding: str = "UTF-8") -> DataFrame:
+    """All columns as text, byte order mark and ragged rows tolerated. Without a separator, the one that the first line tells."""
+    sep = sep or found_separator(spark, path)
+    df = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
 
@@ -100,10 +119,11 @@ def read_paf(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(v[i].try_cast(f.dataType).alias(f.name) for i, f in enumerate(schemas.PAF.fields[:12])), tag("de:f:").try_cast("double").alias("de"), tag("cs:Z:").alias("cs"))
 
 
-def read_stratified(spark: SparkSession, path: str, suffixes: str = r"[_-](Abundance|RPKs|CPM)([_-].*)?$") -> DataFrame:
-    """Function table (sample, feature, taxon, value) of rows ``feature|taxon``; rows of unmapped reads are left out."""
+def read_stratified(spark: SparkSession, path: str, suffixes: str = r"[_-](Abundance|RPKs|CPM)([_-].*)?$", keep: str | None = None) -> DataFrame:
+    """Function table (sample, feature, taxon, value) of rows ``feature|taxon``; rows of unmapped reads are left out. keep: expression that features must match, tested before the table is made long."""
     wide = read_csv(spark, path, sep="\t")
     key, *samples = wide.columns
+    wide = wide if keep is None else wide.where(F.split(F.col(f"`{key}`"), r"\|")[0].rlike(keep))
     long = wide.select(F.col(f"`{key}`").alias("k"), *(F.col(f"`{c}`").try_cast("double").alias(c) for c in samples)).unpivot(["k"], samples, "sample", "value")
     parts = F.split("k", r"\|", 2)
     out = long.select(F.regexp_replace("sample", suffixes, "").alias("sample"), parts[0].alias("feature"), F.get(parts, F.lit(1)).alias("taxon"), "value")
@@ -125,8 +145,36 @@ def lineage_columns(header: str | object) -> dict:
     return out
 
 
-def read_gene_panels(spark: SparkSession, path: str) -> DataFrame:
-    """(panel, group, gene, ko array, pattern) of a tab-separated file with comments."""
+def read_gene_panels(spark: SparkSession, path: str, enabled: list[str] | None = None) -> DataFrame:
+    """(panel, group, gene, ko array, pattern) of a tab-separated file with comments; of the enabled panels alone, if given. Rows with a pattern that is no expression are left out.
+
+    A panel file is written by hand, some dozen rows, so patterns are tried where they are read.
+    """
     rows = spark.read.option("header", True).option("sep", "\t").option("comment", "#").csv(path)
+    rows = rows if enabled is None else rows.where(F.trim("panel").isin(enabled))
     ko = F.filter(F.transform(F.split(F.coalesce("ko", F.lit("")), "[,; ]+"), F.trim), lambda x: x != "")
-    return rows.select("panel", "group", "gene", ko.alias("ko"), missing_to_null("uniref_pattern").alias("pattern"))
+    out = rows.select("panel", "group", "gene", ko.alias("ko"), missing_to_null("uniref_pattern").alias("pattern"))
+    bad = []
+    for r in out.select("pattern").where("pattern IS NOT NULL").distinct().toLocalIterator():
+        try:
+            re.compile(r["pattern"])
+        except re.error:
+            bad.append(r["pattern"])
+    return out.where(F.col("pattern").isNull() | ~F.col("pattern").isin(bad)) if bad else out
+
+
+def cleaned_taxonomy(taxonomy: DataFrame, numbered: bool = False) -> DataFrame:
+    """Taxonomy without rank prefixes, taxon numbers and placeholder names (if numbered), undecided placements, and species that only repeat their genus."""
+    ranks = [r for r in schemas.RANKS if r in taxonomy.columns]
+
+    def clean(r: str):
+        v = F.regexp_replace(F.trim(r), "^[a-z]__", "")
+        if numbered:
+            v = F.regexp_replace(v, "_[0-9]+$", "")
+            v = F.when(~v.rlike("^(kingdom|phylum|class|order|family|genus|species)_"), v)
+        return F.when(~v.rlike(r"(?i)^(unidentified|.*_incertae_sedis)$"), missing_to_null(v))
+
+    out = taxonomy.select(*(c for c in taxonomy.columns if c not in ranks), *(clean(r).alias(r) for r in ranks))
+    if "species" in ranks and "genus" in ranks:
+        out = out.withColumn("species", F.when(F.coalesce(F.col("species") != F.col("genus"), F.lit(True)), F.col("species")))
+    return out
