@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat.functions import kernels
-from quadrat.operators import bins, controls, diversity, markers, network, ordination, reads, rrna, stats
-from quadrat.sources import alignments, classifiers, fastx, references
+from quadrat.operators import bins, controls, diversity, markers, network, ordination, reads, rrna, stats, summaries
+from quadrat.sources import alignments, classifiers, fastx, references, tables
 
 
 def rows(df, *columns):
@@ -308,3 +308,57 @@ def test_precedence_of_identifications(spark):
     g = [("a", "B x", "B", 96.0, None, "B y", "B", None, None, None), ("b", "B x", "B", 96.0, 93.0, None, None, None, None, None), ("c", None, None, None, None, "B sp.", "B", None, None, None), ("d", "B x", "B", 96.0, None, None, None, "known", "C z", 97.123), ("e", None, None, None, None, None, None, None, None, None), ("f", "B x", "B", 96.0, None, None, None, "novel", "B sp.", 91.0)]
     got = {r["genome"]: (r["method"], r["species"], r["genus"], r["ani"], r["call"]) for r in bins.identified(spark.createDataFrame(g, columns)).collect()}
     assert got == {"a": ("sketch", "B x", "B", 96.0, "species"), "b": ("ANI", "B x", "B", 93.0, "genus"), "c": ("16S", "B sp.", "B", None, "16S only"), "d": ("type strain", "C z", "C", 97.12, "species"), "e": (None, None, None, None, "unresolved"), "f": ("type strain", "B sp.", "B", 91.0, "potential novel species")}
+
+
+def test_modules_are_those_of_greedy_modularity(spark):
+    names = [f"{g}{i}" for g in "ab" for i in range(4)]
+    edges = [(x, y, 0.9) for x, y in itertools.combinations(names, 2) if x[0] == y[0]] + [("a0", "b0", 0.7)]
+    got = {r["taxon"]: r["module"] for r in network.modules(spark.createDataFrame(edges, "a string, b string, rho double")).collect()}
+    assert got == {n: 1 if n[0] == "a" else 2 for n in names}
+    lone = network.modules(spark.createDataFrame([("x", "y", 0.9), ("p", "q", 0.8)], "a string, b string, rho double"))
+    assert rows(lone) == [("p", 1), ("q", 1), ("x", 2), ("y", 2)]
+    roles = {r["taxon"]: r for r in network.roles(spark.createDataFrame(edges, "a string, b string, rho double"), network.modules(spark.createDataFrame(edges, "a string, b string, rho double"))).collect()}
+    assert roles["a0"]["zi"] == pytest.approx(1.5) and roles["a0"]["pi"] == pytest.approx(1 - (9 + 1) / 16) and roles["a1"]["pi"] == 0
+
+
+def test_peaks_keep_their_distance(spark):
+    h = [0.0] * 101
+    for at, n in ((40, 600), (43, 300), (60, 200), (90, 10)):
+        for k in range(-2, 3):
+            h[at + k] += n * (3 - abs(k)) / 9
+    bins = spark.createDataFrame([("s", i, c) for i, c in enumerate(h)], "sample string, at int, count double")
+    got = [r["at"] for r in summaries.separated_peaks(bins, ["sample"]).collect()]
+    assert len(got) == 2 and 40 <= got[0] <= 42 and got[1] == 60
+
+
+def test_tables_of_unknown_layout(spark, tmp_path):
+    for i, sep in enumerate(",;\t|"):
+        p = write(tmp_path / f"{i}.txt", f"﻿sample{sep}group{sep}note\ns1{sep}a{sep}\ns2{sep}b\n")
+        t = tables.read_csv(spark, p, sep=None)
+        assert t.columns == ["sample", "group", "note"] and rows(t, "sample", "group") == [("s1", "a"), ("s2", "b")]
+    p = write(tmp_path / "info.txt", "## made today\n#seq_name\tlength\tcirc.\nc1\t100\tY\nc2\t50\n\n")
+    t = tables.read_tool_lines(spark, p)
+    assert t.columns == ["seq_name", "length", "circ."] and rows(t) == [("c1", "100", "Y"), ("c2", "50", None)]
+    f = write(tmp_path / "f.tsv", "# Gene Family\ts1_Abundance-RPKs\nUNMAPPED\t9\nK1: x\t1\nK1: x|g__A.s__B\t2\nK2: y\t3\n")
+    assert rows(tables.read_stratified(spark, f, keep="^K1")) == [("s1", "K1: x", "g__A.s__B", 2.0), ("s1", "K1: x", None, 1.0)]
+    g = write(tmp_path / "panels.tsv", "panel\tgroup\tgene\tko\tuniref_pattern\tnote\np\tg\ta\tK1, K2\t\t\np\tg\tb\t\t(broken\t\np\tg\tc\t\tnif[HD]\t\nq\tg\td\tK3\t\t\n")
+    assert rows(tables.read_gene_panels(spark, g, ["p"]), "gene", "pattern") == [("a", None), ("c", "nif[HD]")]
+    assert tables.read_gene_panels(spark, g).count() == 3
+
+
+def test_cleaned_taxonomy(spark):
+    raw = [("1", "k__Animalia_1", "order_x", "Musca_7", "Musca_7"), ("2", "Fungi_2", "Rosales_incertae_sedis", "g__Rosa_3", "Rosa canina_9"), ("3", "NA", "Unidentified", None, "")]
+    t = tables.cleaned_taxonomy(spark.createDataFrame(raw, "feature_id string, kingdom string, order string, genus string, species string"), numbered=True)
+    assert rows(t, "feature_id", "kingdom", "order", "genus", "species") == [("1", "Animalia", None, "Musca", None), ("2", "Fungi", None, "Rosa", "Rosa canina"), ("3", None, None, None, None)]
+
+
+def test_read_pairs_and_nested_results(spark):
+    names = ["a_R1_001.fastq.gz", "a_R2_001.fastq.gz", "b_1.fq", "b_2.fq", "c_R1.fastq", "d.fastq", "notes.txt"]
+    got = {r["sample"]: r["files"] for r in summaries.read_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {"a": names[:2], "b": names[2:4], "c_R1": ["c_R1.fastq"], "d": ["d.fastq"]}
+    df = spark.createDataFrame([("s", [(1, "x"), (2, "y")], [])], "sample string, hits array<struct<n:int,v:string>>, none array<struct<n:int>>")
+    out = dict(summaries.nested_tables(df, "sample", ["hits", "none"]))
+    assert rows(out["hits"]) == [("s", 1, "x"), ("s", 2, "y")] and out["none"].count() == 0 and out["none"].columns == ["sample", "n"]
+    features = spark.createDataFrame([("s", "ACGT", 5.0), ("t", "GG", 9.0), ("s", "TT", 0.0)], "sample string, feature_id string, reads double")
+    own, lines = summaries.numbered_sequences(features)
+    assert rows(own) == [("s", "ASV2", 5.0), ("t", "ASV1", 9.0)] and rows(lines) == [(">ASV1\nGG",), (">ASV2\nACGT",)]
