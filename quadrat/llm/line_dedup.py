@@ -59,13 +59,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def _rest(docs: DataFrame) -> DataFrame:
     """(own, rest, n_lines, n_removed) of each row: the row itself as a struct, so that no name of its columns clashes, what
     remains of its text, and the numbers of lines before and removed."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *_key(), F.col("text").alias("whole"))
-    out = keyed.join(repeated_runs(docs), ["__d", "__t"], "left").withColumn("l", F.split(F.coalesce("whole", F.lit("")), "\n"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *_key())
+    whole = F.col("own.text")
+    out = keyed.join(repeated_runs(docs), ["__d", "__t"], "left").withColumn("l", F.split(F.coalesce(whole, F.lit("")), "\n"))
     lo = "if(i = size(__runs), size(l), __runs[i].lo)"
     after = "if(i = 0, 0, __runs[i - 1].hi + 1)"
     kept = F.expr(f"flatten(transform(sequence(0, size(__runs)), i -> slice(l, {after} + 1, {lo} - {after})))")
     removed = F.expr("coalesce(aggregate(__runs, 0L, (n, r) -> n + r.hi - r.lo + 1), 0L)")
-    return out.select("own", F.when(F.col("__runs").isNull(), F.col("whole")).otherwise(F.array_join(kept, "\n")).alias("rest"), F.size("l").cast("long").alias("n_lines"), removed.alias("n_removed"))
+    return out.select("own", F.when(F.col("__runs").isNull(), whole).otherwise(F.array_join(kept, "\n")).alias("rest"), F.size("l").cast("long").alias("n_lines"), removed.alias("n_removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:
