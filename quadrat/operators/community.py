@@ -145,8 +145,9 @@ def running_counts(rows: DataFrame, value: str, by: list[str], parts: int = 64)
     summed in one order.
     """
     each = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    cuts = each.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000)).first()[0]
-    each = each.withColumn("__part", F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(cuts)))), lambda x: x < F.col(value))) if cuts else F.lit(0))
+    # one row, and the same rows as are counted: Spark uses their shuffle again
+    cuts = each.agg(F.array_distinct(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000)).alias("__cuts"))
+    each = each.join(F.broadcast(cuts)).withColumn("__part", F.size(F.filter(F.coalesce("__cuts", F.array().cast(cuts.schema["__cuts"].dataType)), lambda x: x < F.col(value)))).drop("__cuts")
     run = F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy(value))
     keys = Window.partitionBy(*by)
     totals = each.groupBy(*by, "__part").agg(F.sum("__n").alias("__all"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import kernels
@@ -129,11 +129,11 @@ def permanova(distances: DataFrame, groups: DataFrame, permutations: int = 999,
 
 
 def pairwise_permanova(distances: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 1) -> DataFrame:
-    """(grp_a, grp_b, r2, f, p, q): each two groups of four samples or more together; q adjusted over the pairs."""
-    from quadrat.operators.stats import benjamini_hochberg
-
+    """(grp_a, grp_b, r2, f, p, q): each two groups of four samples or more together; q adjusted over the pairs, which are as many rows as two groups can be chosen."""
     t = _group_tests(distances, groups, _permanova, permutations, seed, True).select(F.col("x").alias("grp_a"), F.col("y").alias("grp_b"), F.col("value").alias("r2"), "f", "p")
-    return benjamini_hochberg(t)
+    up = Window.orderBy("p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    raw = F.col("p") * F.count("*").over(Window.partitionBy()) / F.count("*").over(up)
+    return t.withColumn("q", raw).withColumn("q", F.least(F.lit(1.0), F.min("q").over(Window.orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, Window.currentRow))))
 
 
 def anosim(distances: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 1, pairs: bool = False) -> DataFrame:
