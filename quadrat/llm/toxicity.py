@@ -104,12 +104,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(total[0][feature].astype(np.int64)), pa.array(total[1][feature].astype(np.int64))], ["feature", "negative", "positive"])
 
 
-def _sparse(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sparse(batches: Iterator[pa.RecordBatch], ids: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
+    """Each text's features as places in ids, numbers of that kind."""
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[ids] = True
     for batch in batches:
         for part in pieces(batch):
             key = ngrams(part.column("text"), wanted)
             first = np.searchsorted(key, np.arange(part.num_rows + 1) << BITS).astype(np.int32)
-            features = pa.ListArray.from_arrays(pa.array(first), pa.array((key & (1 << BITS) - 1).astype(np.int32)))
+            features = pa.ListArray.from_arrays(pa.array(first), pa.array(np.searchsorted(ids, key & (1 << BITS) - 1).astype(kind)))
             yield pa.RecordBatch.from_arrays([part.column("toxic"), features], ["toxic", "features"])
 
 
@@ -171,12 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     ids = np.sort(picked["feature"].to_numpy())
     counts = picked.set_index("feature").loc[ids]
     scale = np.log((counts["positive"].to_numpy() + 1.0) / (size[1] + 2.0)) - np.log((counts["negative"].to_numpy() + 1.0) / (size[0] + 2.0))
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[ids] = True
-    sparse = rows.mapInArrow(lambda it: _sparse(it, wanted), "toxic int, features array<int>").toArrow()
+    kind, sql = ("int16", "smallint") if len(ids) < 1 << 15 else ("int32", "int")
+    sparse = rows.mapInArrow(lambda it: _sparse(it, ids, kind), f"toxic int, features array<{sql}>").toArrow()
     lists = sparse.column("features").combine_chunks()
     first = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
-    column = np.searchsorted(ids, lists.flatten().to_numpy())
+    column = lists.flatten().to_numpy().astype(np.int64)
     y = sparse.column("toxic").to_numpy().astype(float)
     fitted, intercept = logistic(first, column, scale, y)
     weights[ids] = fitted * scale
