@@ -63,6 +63,16 @@ def chosen_group_column(metadata: DataFrame, forced: str | None = None, chosen:
     return next((c for i, c in enumerate(columns) if counts[i] >= 2), None)
 
 
+def first_grouping(metadata: DataFrame, key: str = "sample") -> str | None:
+    """The first column that groups: with two different values or more and fewer than there are rows; else the first column."""
+    columns = [c for c in metadata.columns if c != key]
+    if not columns:
+        return None
+    filled = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+    s = metadata.agg(F.count("*").alias("n"), *(F.count_distinct(filled(c)).alias(str(i)) for i, c in enumerate(columns))).first()
+    return next((c for i, c in enumerate(columns) if 2 <= s[str(i)] < s["n"]), columns[0])
+
+
 def drawn_samples(samples: DataFrame, hidden: DataFrame, groups: DataFrame) -> DataFrame:
     """(sample, grp) of the samples that are shown: with a group, and not hidden."""
     return without(samples.select("sample").distinct(), hidden).join(groups.where("grp IS NOT NULL AND trim(grp) <> ''"), "sample")

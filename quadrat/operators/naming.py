@@ -157,6 +157,17 @@ def combine(local: DataFrame, second: DataFrame, genus_lineages: DataFrame, chec
     return j.select("query", *out, F.col("b0.species").alias("second_best"), F.round("b0.pident", 2).alias("second_pident"), "agreement", check.alias("check")).withColumn("rank_reached", deepest_rank(RANKS))
 
 
+def genus_lineages(lineages: DataFrame, order: str = "subject") -> DataFrame:
+    """(genus, phylum, class, order, family): of each genus the first record that has a family, by that column."""
+    full = lineages.where((F.coalesce(F.col("genus"), F.lit("")) != "") & (F.coalesce(F.col("family"), F.lit("")) != ""))
+    return full.groupBy("genus").agg(F.min_by(F.struct(*RANKS[:4]), order).alias("up")).select("genus", "up.*")
+
+
+def placed(names: DataFrame, lineages: DataFrame, order: str = "subject") -> DataFrame:
+    """Rows (query, genus) with the ranks above their genus, null where no record has it."""
+    return names.join(genus_lineages(lineages, order), "genus", "left")
+
+
 def verdict(ani: str, borderline: float = 94.0, known: float = 96.0) -> Column:
     """known, borderline or novel by average nucleotide identity; null without one."""
     return F.when(F.col(ani) >= known, "known").when(F.col(ani) >= borderline, "borderline").when(F.col(ani).isNotNull(), "novel")

@@ -15,12 +15,15 @@ REAGENT_GENERA = [
 ]
 
 
-def feature_class(ranks: list[str], host: list[str] | None = None) -> Column:
-    """mitochondria, chloroplast, host or community, by the names at any rank. Names count wherever they contain the word."""
+def feature_class(ranks: list[str], host: list[str] | None = None, eukaryotes_apart: str | None = None) -> Column:
+    """mitochondria, chloroplast, host, eukaryote or community, by the names at any rank. Names count wherever they contain the word.
+
+    eukaryotes_apart: for markers of bacteria, the column that holds the domain; markers of eukaryotes have them in the community.
+    """
     names = F.array_compact(F.array(*ranks))
     holds = lambda word: F.exists(names, lambda x: F.lower(x).contains(word))
     own_host = F.exists(names, lambda x: x.isin(host)) if host else F.lit(False)
-    return F.when(holds("mitochondria"), "mitochondria").when(holds("chloroplast"), "chloroplast").when(own_host, "host").otherwise("community")
+    return F.when(holds("mitochondria"), "mitochondria").when(holds("chloroplast"), "chloroplast").when(own_host, "host").when(F.coalesce(F.col(eukaryotes_apart) == "Eukaryota", F.lit(False)) if eukaryotes_apart else F.lit(False), "eukaryote").otherwise("community")
 
 
 def split_reads(named: DataFrame, kind: Column) -> DataFrame:
@@ -62,6 +65,12 @@ def subset(features: DataFrame, samples: DataFrame, prefix: str = "SV") -> DataF
     return own.join(totals.select("feature_id", F.format_string(f"{prefix}%06d", "number").alias("name")), "feature_id").select("sample", "feature_id", "reads", "name")
 
 
+def subset_hits(hits: DataFrame, features: DataFrame, by: str = "agreement") -> DataFrame:
+    """(by, features, reads): hits of the features that a subset of samples still has, counted anew. hits: (feature_id, by); features: (feature_id, reads)."""
+    own = features.where("reads > 0").groupBy("feature_id").agg(F.sum("reads").alias("reads")).join(hits, "feature_id")
+    return own.groupBy(by).agg(F.count("*").alias("features"), F.sum("reads").alias("reads"))
+
+
 def usable_variables(metadata: DataFrame, columns: list[str]) -> DataFrame:
     """(variable, kind, levels, usable): numbers with over two levels; factors with two levels of two rows or more, and fewer levels than rows. One pass over the levels of all columns."""
     long = metadata.select(F.monotonically_increasing_id().alias("__r"), *(F.col(c).cast("string").alias(c) for c in columns)).unpivot(["__r"], columns, "variable", "level").where("level IS NOT NULL AND level <> ''")

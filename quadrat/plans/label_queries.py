@@ -103,3 +103,12 @@ def stratified_genera(s, d):
     n = F.col("p_size") % 4
     t = F.when(n == 0, F.concat(F.lit("g__"), "p_type", F.lit(".s__"), "p_brand")).when(n == 1, "unclassified").when(n == 3, F.col("p_brand"))
     return table(s, d, "part").select(F.col("p_partkey").alias("id"), classifiers.genus_of(t).alias("genus"))
+
+
+@query("placed_genera", """WITH l AS (SELECT p_partkey AS subject, p_brand AS genus, p_type AS phylum, 'c' || p_size AS class, 'o' || p_partkey AS "order", CASE WHEN p_size % 3 > 0 THEN 'f' || p_partkey END AS family FROM part), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY genus ORDER BY subject) AS r FROM l WHERE family IS NOT NULL) x WHERE r = 1)
+SELECT o_orderkey AS query, 'Brand#' || (o_orderkey % 30) AS genus, phylum, class, "order", family FROM orders LEFT JOIN u ON u.genus = 'Brand#' || (o_orderkey % 30)""")
+def placed_genera(s, d):
+    k = F.col("p_partkey").cast("string")
+    lin = table(s, d, "part").select(F.col("p_partkey").alias("subject"), F.col("p_brand").alias("genus"), F.col("p_type").alias("phylum"), F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("class"), F.concat(F.lit("o"), k).alias("order"), F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("f"), k)).alias("family"))
+    names = table(s, d, "orders").select(F.col("o_orderkey").alias("query"), F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 30).cast("string")).alias("genus"))
+    return naming.placed(names, lin)

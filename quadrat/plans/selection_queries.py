@@ -142,3 +142,16 @@ def otu_counts(s, d):
 def ternary_shares(s, d):
     v = site_counts(s, d).where(F.col("sample").isin("NATION_0", "NATION_1", "NATION_2"))
     return community.with_share(v, "taxon", "pct", "share").select("taxon", "sample", F.round(F.col("share") / 100, 6).alias("share"))
+
+
+@query("subset_hits", BASE + "SELECT l.a AS agreement, count(*) AS features, sum(reads) AS reads FROM (SELECT feature_id, sum(reads) AS reads FROM f JOIN m USING (sample) WHERE grp = 'ASIA' GROUP BY 1) x JOIN (SELECT p_partkey AS feature_id, p_type AS a FROM part WHERE p_size > 5) l USING (feature_id) GROUP BY 1")
+def subset_hits(s, d):
+    own = features(s, d).join(metadata(s, d).where("grp = 'ASIA'").select("sample"), "sample", "left_semi")
+    return selection.subset_hits(table(s, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("feature_id"), F.col("p_type").alias("agreement")), own)
+
+
+@query("feature_split_bacterial", BASE + """, k AS (SELECT sample, CASE WHEN genus = 'Brand#11' THEN 'host' WHEN phylum = 'ECONOMY' THEN 'eukaryote' ELSE 'community' END AS kind, reads FROM n)
+SELECT sample, kind, sum(reads) AS reads, round(100 * sum(reads) / sum(sum(reads)) OVER (PARTITION BY sample), 6) AS pct FROM k GROUP BY 1, 2""")
+def feature_split_bacterial(s, d):
+    named = community.with_taxonomy(features(s, d), taxonomy(s, d)).withColumn("domain", F.when(F.col("phylum") == "ECONOMY", "Eukaryota").otherwise("Bacteria"))
+    return selection.split_reads(named, selection.feature_class(["phylum", "genus", "species"], ["Brand#11"], "domain")).withColumn("pct", F.round("pct", 6))

@@ -131,17 +131,39 @@ def read_stratified(spark: SparkSession, path: str, suffixes: str = r"[_-](Abund
 
 
 def lineage_columns(header: str | object) -> dict:
-    """Ranks of reference headers of three shapes: prefixed (``k__Fungi;p__...``), and plain lists of seven or six names."""
-    text = F.element_at(F.split(F.col(header) if isinstance(header, str) else header, r"\|"), -1)
-    parts = F.transform(F.split(text, ";"), F.trim)
-    prefixed = F.exists(parts, lambda x: x.rlike("^[dkpcofgs]__"))
-    def marked(letter: str):
-        own = F.filter(parts, lambda x: x.startswith(f"{letter}__"))
-        return F.regexp_replace(F.get(own, F.lit(0)), "^[a-z]__", "")
+    """Ranks of reference headers, told apart by what their levels are.
 
+    Prefixed (``...|k__Fungi;p__...``); numbered (``Arthropoda_6656;...``, from the phylum on, or from the kingdom if there
+    are seven); nine levels with supergroup and subdivision; plain lists from the domain on, with or without a kingdom that
+    ends in ``ati`` behind it. kingdom is the first level, domain or kingdom.
+    """
+    c = F.col(header) if isinstance(header, str) else header
+    text = F.element_at(F.split(c, r"\|"), -1)
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text, "^>", ""), ";"), F.trim), lambda x: x != "")
+    n = F.size(parts)
+    prefixed = F.exists(parts, lambda x: x.rlike("^[dkpcofgs]__"))
+    with_number = F.size(F.filter(parts, lambda x: x.rlike(r"_\d+$")))
+    numbered = (n > 0) & (with_number >= F.greatest(F.lit(1), n - 1))
+    second = F.get(parts, F.lit(1))
+    lpsn = (n >= 3) & F.coalesce(second.endswith("ati"), F.lit(False))
+    at = lambda i: F.get(parts, F.lit(i))
+
+    def marked(letter: str, rank: str):
+        v = F.regexp_replace(F.get(F.filter(parts, lambda x: x.startswith(f"{letter}__")), F.lit(0)), "^[a-z]__", "")
+        known = F.when(~v.rlike("(?i)^(unidentified|.*_incertae_sedis|incertae_sedis)$") & ~F.lower(v).endswith("_sp"), v)
+        return F.translate(known, "_", " ") if rank == "species" else known
+
+    def named(i: int):
+        v = F.when(n == 7, at(i)).otherwise(at(i - 1) if i else F.lit(None).cast("string"))
+        v = F.regexp_replace(v, r"_\d+$", "")
+        return F.when(~v.rlike("^(kingdom|phylum|class|order|family|genus|species)_"), v)
+
+    nine = [0, 2, 4, 5, 6, 7, 8]
     out = {}
     for i, (letter, rank) in enumerate(zip("kpcofgs", ["kingdom", "phylum", "class", "order", "family", "genus", "species"], strict=True)):
-        out[rank] = missing_to_null(F.when(prefixed, marked(letter)).otherwise(F.get(parts, F.lit(i))))
+        long = F.translate(at(nine[i]), "_", " ") if rank == "species" else at(nine[i])
+        plain = F.when(lpsn, at(i + 1 if i else 0)).otherwise(at(i))
+        out[rank] = missing_to_null(F.when(prefixed, marked(letter, rank)).when(numbered, named(i)).when(n >= 9, long).otherwise(plain))
     return out
 
 

@@ -362,3 +362,21 @@ def test_read_pairs_and_nested_results(spark):
     features = spark.createDataFrame([("s", "ACGT", 5.0), ("t", "GG", 9.0), ("s", "TT", 0.0)], "sample string, feature_id string, reads double")
     own, lines = summaries.numbered_sequences(features)
     assert rows(own) == [("s", "ASV2", 5.0), ("t", "ASV1", 9.0)] and rows(lines) == [(">ASV1\nGG",), (">ASV2\nACGT",)]
+
+
+def test_headers_of_all_shapes(spark):
+    heads = {
+        "Bacteria;Firmicutes;Bacilli;O;F;Bacillus": ("Bacteria", "Firmicutes", "Bacilli", "O", "F", "Bacillus", None),
+        "Bacteria;Bacillati;Bacillota;Bacilli;O;F;Bacillus;Bacillus subtilis;": ("Bacteria", "Bacillota", "Bacilli", "O", "F", "Bacillus", "Bacillus subtilis"),
+        "Eukaryota;TSAR;Alveolata;Dino;Dinophyceae;O;F;Genus;Genus_sp1": ("Eukaryota", "Alveolata", "Dinophyceae", "O", "F", "Genus", "Genus sp1"),
+        "Arthropoda_6656;Insecta_50557;order_X_1;Muscidae_7366;Musca_7369;Musca domestica_7370;": (None, "Arthropoda", "Insecta", None, "Muscidae", "Musca", "Musca domestica"),
+        "Metazoa_33208;Chordata_7711;Actinopteri_186623;O_1;F_2;Danio_3;Danio rerio_4": ("Metazoa", "Chordata", "Actinopteri", "O", "F", "Danio", "Danio rerio"),
+        "Name|AB1|SH1|reps|k__Fungi;p__Ascomycota;c__Eurotiomycetes;o__X_incertae_sedis;f__unidentified;g__Aspergillus;s__Aspergillus_niger": ("Fungi", "Ascomycota", "Eurotiomycetes", None, None, "Aspergillus", "Aspergillus niger"),
+        "Fungi_sp|X1|SH9|reps|k__Fungi;p__Ascomycota;c__unidentified;o__unidentified;f__unidentified;g__unidentified;s__Fungi_sp": ("Fungi", "Ascomycota", None, None, None, None, None),
+        "": (None,) * 7,
+    }
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, h string")
+    got = df.orderBy("i").select(*(c.alias(r) for r, c in tables.lineage_columns("h").items())).collect()
+    assert [tuple(r) for r in got] == list(heads.values())
+    m = spark.createDataFrame([("s1", "1", "x"), ("s2", "2", "x"), ("s3", "3", "y")], "sample string, run string, kind string")
+    assert controls.first_grouping(m) == "kind" and controls.first_grouping(m.select("sample", "run")) == "run"

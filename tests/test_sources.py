@@ -86,7 +86,7 @@ def test_hits_paf_and_functions(spark, tmp_path):
 def test_lineage_headers(spark):
     rows = [("SH1|refs|k__Fungi;p__Asco;c__C;o__O;f__F;g__G;s__G_x",), ("Bacteria;Bacillota;Bacilli;O;F;Bacillus",)]
     got = spark.createDataFrame(rows, "h string").select(*(c.alias(r) for r, c in tables.lineage_columns("h").items())).collect()
-    assert got[0]["kingdom"] == "Fungi" and got[0]["species"] == "G_x"
+    assert got[0]["kingdom"] == "Fungi" and got[0]["species"] == "G x"
     assert got[1]["kingdom"] == "Bacteria" and got[1]["genus"] == "Bacillus" and got[1]["species"] is None
 
 
