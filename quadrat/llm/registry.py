@@ -1,11 +1,11 @@
-"""One query for each of the ten operators, with production parameters, and the SQL twins of those that SQL can express."""
+"""One query for each of the thirteen operators, with production parameters, and the SQL twins of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import ann, decontaminate, line_dedup, near_dup, packing, shard_store, toxicity, url_reputation, warc
+from quadrat.llm import ann, decontaminate, line_dedup, near_dup, packing, periodic, prefix_trie, repetition, shard_store, toxicity, url_reputation, warc
 from quadrat.llm.common import fresh_path
 from quadrat.session import ship
 
@@ -61,5 +61,17 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(pages, url_reputation.page_outcomes(pages, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_size_tiered_compaction, op3_dart_minhash, op4_line_windows, op5_warc_revisits, op6_nb_toxicity, op7_best_fit_matrix, op8_simhash_leaks, op9_slack_packing, op10_host_reputation)}
-ORACLES = {"op2_size_tiered_compaction": shard_store.COMPACTED_SQL, "op4_line_windows": line_dedup.REPORT_SQL, "op5_warc_revisits": warc.ARCHIVE_SQL, "op10_host_reputation": url_reputation.JUDGE_SQL}
+def op11_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.find_runs(periodic.looped(_table(spark, sf_dir, "documents"))))
+
+
+def op12_repeat_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_size_tiered_compaction, op3_dart_minhash, op4_line_windows, op5_warc_revisits, op6_nb_toxicity, op7_best_fit_matrix, op8_simhash_leaks, op9_slack_packing, op10_host_reputation, op11_harmonic_runs, op12_repeat_rules, op13_prefix_trie)}
+ORACLES = {"op2_size_tiered_compaction": shard_store.COMPACTED_SQL, "op4_line_windows": line_dedup.REPORT_SQL, "op5_warc_revisits": warc.ARCHIVE_SQL, "op10_host_reputation": url_reputation.JUDGE_SQL, "op12_repeat_rules": repetition.REPORT_SQL, "op13_prefix_trie": prefix_trie.TRIE_SQL}
