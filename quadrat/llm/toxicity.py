@@ -3,15 +3,18 @@
 A text's features are its different character n-grams (of the bytes of the
 lower-cased text, everything but letters and digits being a blank), hashed to
 ``2**BITS`` buckets. A feature's scale is the log ratio of its smoothed
-document counts in the two classes; a logistic regression is fitted on the
-scaled features and its intercept set to the classes' shares among all
-training labels. Features whose class counts differ by at least ``DEVIATIONS``
-standard deviations from the classes' shares take part, all of them.
+document counts in the two classes, shrunk by z² / (z² + ``NOISE``²) where z is
+by how many standard deviations the counts differ from the classes' shares: a
+ratio that chance may have made counts little, and none is left out. A logistic
+regression with a ridge is fitted on the scaled features, and its intercept set
+to the classes' shares among all training labels.
 
 Labels are learned from at most ``POSITIVES`` and ``NEGATIVES`` labelled rows,
 those of the smallest hash of doc_id (documented bound; whole texts are used).
-So what comes to the driver is bounded too: the features of at most that many
-texts, and 2**BITS counts.
+The fit goes over the sample's features where they lie, in ``PARTS`` tasks that
+give their part of the gradient. So what comes to the driver at once is
+2**BITS counts, or that many numbers from each of those tasks, whatever the
+lengths of the texts.
 Every document is scored over its whole text. Labels, lang, source and doc_id
 are never inputs of a score.
 
@@ -26,7 +29,7 @@ null doc_ids stay; further columns are ignored by ``score`` and kept by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +43,8 @@ from quadrat.llm.shingles import pieces
 
 SIZES, BITS = (4, 5, 6), 20
 POSITIVES, NEGATIVES = 4000, 8000
-DEVIATIONS = 6.0
+NOISE, RIDGE = 6.0, 0.1
+PARTS, ROUNDS, TOLERANCE = 8, 60, 1e-6
 THRESHOLD = 0.7
 
 _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -104,41 +108,85 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(total[0][feature].astype(np.int64)), pa.array(total[1][feature].astype(np.int64))], ["feature", "negative", "positive"])
 
 
-def _sparse(batches: Iterator[pa.RecordBatch], ids: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
-    """Each text's features as places in ids, numbers of that kind."""
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[ids] = True
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's features."""
     for batch in batches:
-        for part in pieces(batch):
-            key = ngrams(part.column("text"), wanted)
+        for part in pieces(batch, most_bytes=1 << 18):
+            key = ngrams(part.column("text"))
             first = np.searchsorted(key, np.arange(part.num_rows + 1) << BITS).astype(np.int32)
-            features = pa.ListArray.from_arrays(pa.array(first), pa.array(np.searchsorted(ids, key & (1 << BITS) - 1).astype(kind)))
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), features], ["toxic", "features"])
-
-
-def logistic(first: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on rows of scaled 0/1 features (row i has columns column[first[i]:first[i+1]]), by accelerated gradients."""
-    row = np.repeat(np.arange(len(y)), np.diff(first))
-    value = scale[column]
-    steepest = 0.25 * float(np.bincount(row, value**2, len(y)).max() + 1) * len(y)
-    w, b = np.zeros(len(scale)), 0.0
-    ahead, lead, t = w, b, 1.0
-    step = 40.0 / steepest
-    last = np.inf
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.ListArray.from_arrays(pa.array(first), pa.array((key & (1 << BITS) - 1).astype(np.int32)))], ["toxic", "features"])
+
+
+def scales(negative: np.ndarray, positive: np.ndarray, texts: tuple[int, int], noise: float = NOISE) -> np.ndarray:
+    """The shrunk log-count ratio of each feature, of the numbers of negative and positive texts that have it."""
+    ratio = np.log((positive + 1.0) / (texts[1] + 2.0)) - np.log((negative + 1.0) / (texts[0] + 2.0))
+    n, df, rate = sum(texts), negative + positive, texts[1] / sum(texts)
+    squared = (positive - df * rate) ** 2 / np.maximum(df * rate * (1 - rate) * np.maximum(1 - df / n, 0.02), 1e-12)
+    return np.where(df > 0, ratio * squared / (squared + noise**2), 0.0)
+
+
+def _slopes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, intercept: float) -> Iterator[pa.RecordBatch]:
+    """One row: the loss of this part's texts, its slope by the intercept, and by each feature's weight (32-bit numbers)."""
+    loss, shift, slope = 0.0, 0.0, np.zeros(1 << BITS)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            lists, y = part.column("features"), part.column("toxic").to_numpy().astype(float)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            column, first = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(size)))
+            total = np.concatenate(([0.0], np.cumsum(weights[column])))
+            z = intercept + total[first[1:]] - total[first[:-1]]
+            off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+            loss += float(np.logaddexp(0, z).sum() - y @ z)
+            shift += float(off.sum())
+            slope += np.bincount(column, np.repeat(off, size), 1 << BITS)
+    yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([shift]), pa.array([slope.astype("<f4").tobytes()], pa.binary())], ["loss", "shift", "slope"])
+
+
+def least(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE, memory: int = 5) -> np.ndarray:
+    """Where a smooth convex function is least, by limited-memory quasi-Newton steps; loss gives its value and gradient."""
+    at, (value, slope), steps = start, loss(start), []
     for _ in range(rounds):
-        z = lead + np.bincount(row, value * ahead[column], len(y))
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        loss = float(np.logaddexp(0, z).sum() - (y * z).sum() + penalty / 2 * (ahead**2).sum())
-        if loss > last:  # too long a step: start again from the last point, more carefully
-            step, t, ahead, lead, last = step / 2, 1.0, w, b, np.inf
-            continue
-        last = loss
-        grad = np.bincount(column, value * (p - y)[row], len(scale)) + penalty * ahead
-        new, shift = ahead - step * grad, lead - step * float((p - y).sum())
-        further = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, lead = new + (t - 1) / further * (new - w), shift + (t - 1) / further * (shift - b)
-        w, b, t = new, shift, further
-    return w, b
+        ahead, along = -slope, []
+        for step, turn in reversed(steps):
+            along.append(step @ ahead / (step @ turn))
+            ahead = ahead - along[-1] * turn
+        ahead = ahead * (steps[-1][0] @ steps[-1][1] / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1e-12, np.sqrt(slope @ slope)))
+        for (step, turn), much in zip(steps, reversed(along), strict=True):
+            ahead = ahead + step * (much - turn @ ahead / (step @ turn))
+        downhill, length = slope @ ahead, 1.0
+        if downhill >= 0:
+            break
+        while (found := loss(at + length * ahead))[0] > value + 1e-4 * length * downhill and length > 1e-6:
+            length /= 4
+        if found[0] >= value:
+            break
+        step, turn = length * ahead, found[1] - slope
+        if step @ turn > 0:
+            steps = [*steps[1 - memory :], (step, turn)]
+        gain, at, (value, slope) = value - found[0], at + step, found
+        if gain < tolerance * max(1.0, value):
+            break
+    return at
+
+
+def logistic(rows: DataFrame, scale: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic regression of toxic on the scaled features of rows (toxic, features)."""
+    context = rows.sparkSession.sparkContext
+
+    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = context.broadcast(at[:-1] * scale)  # of fixed size, 2**BITS numbers
+        intercept, out, slope = float(at[-1]), ridge / 2 * float(at[:-1] @ at[:-1]), ridge * at
+        slope[-1] = 0.0
+        for part in rows.mapInArrow(lambda it: _slopes(it, shared.value, intercept), "loss double, shift double, slope binary").toLocalIterator():
+            out += part["loss"]
+            slope[-1] += part["shift"]
+            slope[:-1] += scale * np.frombuffer(part["slope"], "<f4")
+        shared.destroy()
+        return out, slope
+
+    fitted = least(loss, np.zeros(len(scale) + 1))
+    return fitted[:-1], float(fitted[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
@@ -161,29 +209,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     if len(size) < 2:
         drop_path(spark, path)
         return Model(np.zeros(1 << BITS), 700.0 if size.get(1) else -700.0)
-    n, rate = size[0] + size[1], size[1] / (size[0] + size[1])
-    df = F.col("negative") + F.col("positive")
-    counted = rows.mapInArrow(_counted, "feature long, negative long, positive long").groupBy("feature").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
-    strength = F.abs(F.col("positive") - df * rate) / F.sqrt(df * rate * (1 - rate) * F.greatest(F.lit(1.0) - df / n, F.lit(0.02)))
-    picked = counted.withColumn("strength", strength).where(f"strength >= {DEVIATIONS}").toPandas()
-    prior = float(np.log(share[1] / share[0]))
-    weights = np.zeros(1 << BITS)
-    if not len(picked):
-        drop_path(spark, path)
-        return Model(weights, prior)
-    ids = np.sort(picked["feature"].to_numpy())
-    counts = picked.set_index("feature").loc[ids]
-    scale = np.log((counts["positive"].to_numpy() + 1.0) / (size[1] + 2.0)) - np.log((counts["negative"].to_numpy() + 1.0) / (size[0] + 2.0))
-    kind, sql = ("int16", "smallint") if len(ids) < 1 << 15 else ("int32", "int")
-    sparse = rows.mapInArrow(lambda it: _sparse(it, ids, kind), f"toxic int, features array<{sql}>").toArrow()
-    lists = sparse.column("features").combine_chunks()
-    first = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
-    column = lists.flatten().to_numpy().astype(np.int64)
-    y = sparse.column("toxic").to_numpy().astype(float)
-    fitted, intercept = logistic(first, column, scale, y)
-    weights[ids] = fitted * scale
+    counted = rows.mapInArrow(_counted, "feature long, negative long, positive long").groupBy("feature").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive")).toPandas()
+    counts = np.zeros((2, 1 << BITS))
+    for c, name in enumerate(("negative", "positive")):
+        counts[c][counted["feature"]] = counted[name]
+    scale = scales(counts[0], counts[1], (size[0], size[1]))
+    sparse, sparse_path = settled(rows.mapInArrow(_sparse, "toxic int, features array<int>"), "toxicity-features")
+    fitted, intercept = logistic(sparse.coalesce(PARTS), scale)
     drop_path(spark, path)
-    return Model(weights, intercept + prior - float(np.log(size[1] / size[0])))
+    drop_path(spark, sparse_path)
+    return Model(fitted * scale, intercept + float(np.log(share[1] / share[0])) - float(np.log(size[1] / size[0])))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, column: str) -> Iterator[pa.RecordBatch]:
