@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_open: list[list[str]] = []
+#: The scratch lists that are open in this thread; another thread has its own.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=())
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,7 +33,7 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_root(spark)}/quadrat/{name}-{uuid.uuid4().hex}"
-    for paths in _open:
+    for paths in _open.get():
         paths.append(path)
     return path
 
@@ -45,17 +47,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Drops on leaving whatever ``fresh_path`` names inside. Take a path out of the list to keep it."""
+    """Drops on leaving whatever ``fresh_path`` names inside, in this thread. Take a path out of the list to keep it."""
     paths: list[str] = []
-    _open.append(paths)
+    before = _open.get()
+    _open.set((*before, paths))
     try:
         yield paths
     finally:
-        _open[:] = [own for own in _open if own is not paths]
+        _open.set(before)
         for path in paths:
             drop_path(spark, path)
 
 
+def finished(spark: SparkSession, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """What made gives, written to the shared folder, without the tables that were written on the way."""
+    with scratch(spark) as paths:
+        out, path = settled(made(), name)
+        paths.remove(path)
+    return out
+
+
 def settled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The frame written to the shared folder and read again: a cut of the lineage that outlives any executor.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm import ann, decontaminate, line_dedup, near_dup, packing, periodic, prefix_trie, repetition, shard_store, toxicity, url_reputation, warc
-from quadrat.llm.common import fresh_path
+from quadrat.llm.common import finished, fresh_path
 from quadrat.session import ship
 
 
@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = ann.usable(_table(spark, sf_dir, "embeddings"))
-    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+    return finished(spark, "nearest", lambda: ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5))
 
 
 def op2_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,13 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return finished(spark, "line-report", lambda: line_dedup.report(docs))
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    pages, path = _table(spark, sf_dir, "pages"), fresh_path(spark, "warc")  # the archives stay
+    return finished(spark, "warc-report", lambda: warc.archive(pages, path))
 
 
 def op6_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +50,9 @@ def op7_best_fit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", (F.col("n_leaks") > 0).alias("contaminated"), "n_leaks", F.col("leaks.item_id").alias("item_ids"))
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    leaks = [(F.col("n_leaks") > 0).alias("contaminated"), "n_leaks", F.col("leaks.item_id").alias("item_ids")]
+    return finished(spark, "leak-report", lambda: decontaminate.find_leaks(docs, items).select("doc_id", *leaks))
 
 
 def op9_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +60,8 @@ def op9_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    return url_reputation.judge(pages, url_reputation.page_outcomes(pages, _table(spark, sf_dir, "labels")))
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
+    return finished(spark, "judged", lambda: url_reputation.judge(pages, url_reputation.page_outcomes(pages, labels)))
 
 
 def op11_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
