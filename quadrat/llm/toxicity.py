@@ -136,7 +136,7 @@ def _slopes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, intercept: f
     """One row: the loss of this part's texts, its slope by the intercept, and by each feature's weight (32-bit numbers)."""
     loss, shift, slope = 0.0, 0.0, np.zeros(1 << BITS)
     for batch in batches:
-        for part in pieces(batch, ("features",), 4 << 20):
+        for part in pieces(batch, ("features",), 2 << 20):
             features, y = part.column("features"), part.column("toxic").to_numpy().astype(float)
             first = np.frombuffer(features.buffers()[1], np.int32)[features.offset : features.offset + len(features) + 1] // 4
             column = np.frombuffer(features.buffers()[2] or b"", "<i4")[first[0] : first[-1]]
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch):
+        for part in pieces(batch, most_bytes=1 << 18):
             yield part.set_column(part.schema.get_field_index(column), column, pa.array(model.score(part.column("text"))))
 
 
