@@ -12,8 +12,9 @@ without any structure needs a large part of all vectors for that, data with
 clusters little. Queries and vectors meet by leaf and are ranked by exact cosine
 similarity in double precision.
 
-A task gets leaves, or parts of large leaves, of about ``GROUP`` vectors and at
-most one block of about ``ASKED`` queries, so its size is bounded however large
+A task gets leaves, or parts of large leaves, of about ``GROUP`` vectors and the
+queries that take them; only where these are over ``ASKED`` are they dealt in
+blocks, to which that group alone is copied. So its size is bounded however large
 the table, a leaf or the number of queries is. Beyond SAMPLE / leaf size leaves
 a tree can't be fitted finer, so leaves then grow with the table and are dealt
 in more parts; raise ``sample`` with it (10 million vectors of 64 numbers are
@@ -28,7 +29,8 @@ the table has them, is held against all vectors.
 
 Results in odd cases: vectors that are null, empty, zero, of another length
 than most, or with null or non-finite numbers take no part, neither as queries
-nor as candidates; ties go to the smaller id; rows that repeat an id and vector
+nor as candidates; of an id with several vectors the smallest counts, number by
+number; ties go to the smaller id; rows that repeat an id and vector
 count once; rows with a null id take no part; fewer candidates than k give fewer
 rows; further columns are ignored; an empty table gives an empty result.
 """
@@ -283,14 +285,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
     vectors, queries: (vec_id, v) as ``usable`` gives them; queries are rows of vectors, which are never their own answer.
     """
     spark, ids = vectors.sparkSession, Window.partitionBy("v").orderBy("vec_id")
-    few = vectors.distinct().withColumn("n", F.row_number().over(ids)).where(F.col("n") <= k + 1)
+    few = vectors.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("n", F.row_number().over(ids)).where(F.col("n") <= k + 1)
     entries = few.groupBy("v").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids")).select("id", "ids", "v")
     entries, _ = settled(entries, "ann-entries")
     result = "query_id long, rank int, vec_id long, score double"
     count = entries.count()
     if not count:
         return spark.createDataFrame([], result)
-    rows = entries.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    # the smallest hashes: a threshold first, so that no task sorts much more than the sample
+    share = min(1.0, 1.2 * sample / count + 1e-3)
+    few = entries if share == 1.0 else entries.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = few.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
     fitted = _unit(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
     width, scale = fitted.shape[1], count / len(fitted)
     grown = Forest(fitted, trees, max(2, int(leaf / scale)), scale)
@@ -300,12 +305,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
 
     asked = queries.select(F.col("vec_id").alias("query_id"), "v").join(entries.select("id", "v"), "v").select("query_id", F.col("id").alias("q"), "v")
     searches, _ = settled(asked.groupBy("q").agg(F.first("v").alias("v")).select(F.col("q").alias("id"), F.expr("cast(array() as array<long>)").alias("ids"), "v"), "ann-searches")
-    blocks = -(-searches.count() // ASKED) or 1
     packed = "id long, ids array<long>, v binary"
     index = entries.mapInArrow(_packed, packed).mapInArrow(lambda it: _placed(it, forest.value, width, groups), "g long, tree int, leaf int, id long, ids array<long>, v binary")
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     probes = searches.mapInArrow(_packed, packed).mapInArrow(lambda it: _probed(it, forest.value, width, groups, search), "g long, q long, v binary, at array<long>")
-    probes = probes.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    probes, _ = settled(probes, "ann-probes")
+    asked_of, _ = settled(probes.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks")), "ann-groups")
+    index = index.join(asked_of, "g").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    probes = probes.join(asked_of, "g").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")).drop("blocks")
     met = index.groupBy("g", "block").cogroup(probes.groupBy("g", "block")).applyInArrow(lambda left, right: _ranked(left, right, width, k + 1), "q long, id long, ids array<long>, score double")
 
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")

@@ -6,10 +6,14 @@ size (each tier ``FANOUT`` times the one below) and merges a tier with at least
 the target are left alone. Merging reads neighbouring shards in one task and
 writes them again: nothing is shuffled.
 
-A manifest lists a version's shards. It is written beside its place and renamed
-into it, which fails if the version exists; the writer then takes the newer
-version and tries again. So readers see a whole version or none, and a job that
-dies leaves only files that no manifest names. ``vacuum`` removes those when they
+A version is a folder with a manifest that lists its shards. The folder is
+written beside its place and renamed into it. A folder with content is never
+replaced by a rename, on local disks or HDFS: what comes second fails, or ends
+up inside the first. So the writer reads the version back; if another's name is
+in it, that one was first, and the writer tries again on top of it. Readers see
+a whole version or none, and a job that dies leaves only files that no manifest
+names. Object stores whose rename copies file by file give no such guarantee:
+there, one writer at a time, or a committer that puts a folder in place at once. ``vacuum`` removes those when they
 are older than an age in which every writer commits, and the shards of versions
 that were replaced longer ago than that, so neither a writer that has not yet
 committed nor a reader of an older version loses files.
@@ -56,22 +60,22 @@ class ShardStore:
 
     def versions(self) -> list[int]:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path("_manifests"))]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
 
     def manifest(self, version: int | None = None) -> dict:
-        """{version, schema, shards: [{path, bytes}]}; version 0 is empty."""
+        """{version, writer, schema, shards: [{path, bytes}]}; version 0 is empty."""
         known = self.versions()
         if version is None:
             version = known[-1] if known else 0
         if not version:
             return {"version": 0, "schema": None, "shards": []}
-        stream = self._fs.open(self._path(f"_manifests/v{version:08d}.json"))
+        stream = self._fs.open(self._path(f"_manifests/v{version:08d}/manifest.json"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _commit(self, schema: str, added: list[dict], removed: set[str], tries: int = 20) -> dict:
+    def _commit(self, schema: str, added: list[dict], removed: set[str], tries: int = 100) -> dict:
         for _ in range(tries):
             old = self.manifest()
             names = {s["path"] for s in old["shards"]}
@@ -79,21 +83,22 @@ class ShardStore:
                 raise Conflict(sorted(removed - names))
             if old["schema"] not in (None, schema):
                 raise ValueError(f"the table's columns are {old['schema']}, not {schema}")
-            new = {"version": old["version"] + 1, "schema": schema, "shards": [s for s in old["shards"] if s["path"] not in removed] + added}
-            draft = self._path(f"_manifests/draft-{uuid.uuid4().hex}")
-            out = self._fs.create(draft, False)
+            name = uuid.uuid4().hex
+            new = {"version": old["version"] + 1, "writer": name, "schema": schema, "shards": [s for s in old["shards"] if s["path"] not in removed] + added}
+            draft, place = f"_manifests/draft-{name}", f"_manifests/v{new['version']:08d}"
+            out = self._fs.create(self._path(f"{draft}/manifest.json"), False)
             out.write(bytearray(json.dumps(new).encode()))
             out.close()
-            files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-            options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-            options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
             try:
-                files.rename(draft, self._path(f"_manifests/v{new['version']:08d}.json"), options)
-                return new
-            except Exception as e:
-                self._fs.delete(draft, False)
-                if "FileAlreadyExists" not in str(e):
+                moved = not self._fs.exists(self._path(place)) and self._fs.rename(self._path(draft), self._path(place))
+            except Exception:
+                if not self._fs.exists(self._path(place)):
                     raise
+                moved = False
+            if moved and self.manifest(new["version"]).get("writer") == name:
+                return new
+            for left in (draft, f"{place}/draft-{name}"):
+                self._fs.delete(self._path(left), True)
         raise Conflict(f"no version could be committed in {tries} tries")
 
     def _write(self, df: DataFrame, rows: int = 0) -> list[dict]:
@@ -145,7 +150,7 @@ class ShardStore:
         """Delete files older than safe_age seconds that belong to no version read within that time; how many."""
         oldest = time.time() - safe_age
         known = self.versions()
-        ended = {v: self._fs.getFileStatus(self._path(f"_manifests/v{after:08d}.json")).getModificationTime() / 1000 for v, after in zip(known, known[1:], strict=False)}
+        ended = {v: self._fs.getFileStatus(self._path(f"_manifests/v{after:08d}/manifest.json")).getModificationTime() / 1000 for v, after in zip(known, known[1:], strict=False)}
         kept = {s["path"] for v in known if v == known[-1] or ended[v] > oldest for s in self.manifest(v)["shards"]}
         gone = 0
         if not self._fs.exists(self._path("data")):
