@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.rounds import Rounds
+
 OTHER, UNCLASSIFIED = "Other", "Unclassified"
 
 
@@ -190,13 +192,17 @@ def looks_like_ppm(features: DataFrame, off: float = 1e4) -> DataFrame:
 
 
 def numbered(rows: DataFrame, value: str, tie: str, name: str = "number") -> DataFrame:
-    """Adds each row's place from the largest value, ties by another column.
+    """Adds each row's place from the largest value, ties by another column; rows without a value are left out.
 
-    Rows of equal value are numbered in their own partition, after as many rows as have a larger one.
+    Rows are dealt by ranges of both columns and counted range by range, so no value is too common: only the sizes of the
+    ranges meet in one place.
     """
-    before = running_counts(rows, value, []).select(value, (F.col("__all") - F.col("__run")).alias("__before"))
-    place = F.col("__before") + F.row_number().over(Window.partitionBy(value).orderBy(tie))
-    return rows.join(before, value).withColumn(name, place).drop("__before")
+    keep, order = Rounds(rows.sparkSession, "numbered"), [F.desc(value), F.asc(tie)]
+    dealt = rows.where(F.col(value).isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = keep(dealt.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("long")).alias("__before"))
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")  # a row for each range
 
 
 def positional_ids(features: DataFrame, prefix: str = "SV", digits: int = 3) -> DataFrame:

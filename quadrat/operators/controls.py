@@ -6,11 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions import kernels
-from quadrat.operators.community import UNCLASSIFIED
+from quadrat.operators.community import UNCLASSIFIED, numbered
 
 # Words of a metadata cell that mark a negative control, and a mock community.
 NEGATIVE = ["negative", "neg", "blank", "ntc", "extraction blank", "pcr blank", "kit blank", "negative control", "nc", "water"]
@@ -143,4 +143,7 @@ def first_filled(names: list[str], columns: list[str]) -> Column:
 def ordered_levels(totals: DataFrame, other: str = "Other") -> DataFrame:
     """(place, taxon): from the largest total, the rest last. totals: (taxon, value)."""
     s = totals.groupBy("taxon").agg(F.sum("value").alias("value"))
-    return s.select(F.row_number().over(Window.orderBy(F.col("taxon") == other, F.desc("value"), "taxon")).alias("place"), "taxon")
+    rest = F.coalesce(F.col("taxon") == other, F.lit(False))
+    named = numbered(s.where(~rest), "value", "taxon", "place").select(F.col("place").cast("int").alias("place"), "taxon")
+    last = named.agg((F.coalesce(F.max("place"), F.lit(0)) + 1).alias("place"))  # one row
+    return named.unionByName(s.where(rest).select("taxon").crossJoin(F.broadcast(last)).select("place", "taxon"))

@@ -261,11 +261,22 @@ def newick(edges: DataFrame) -> DataFrame:
             below.setdefault(p, []).append((n, x))
         root = next(iter(set(rows["parent"]) - set(rows["node"])))
 
-        def text(node: str) -> str:
-            own = "" if node.startswith("#") else "'" + node.replace("'", "''") + "'" if set(node) & set("(),:;' ") else node
-            return (f"({','.join(f'{text(n)}:{x:.6g}' for n, x in below[node])})" if node in below else "") + own
-
-        return pd.DataFrame({"matrix": [rows["matrix"].iloc[0]], "tree": [text(root) + ";"]})
+        def label(node: str) -> str:
+            return "" if node.startswith("#") else "'" + node.replace("'", "''") + "'" if set(node) & set("(),:;' ") else node
+
+        out, ahead = [], [(root, "")]  # nodes still to write with what follows them, and texts; a deep tree needs no deep stack
+        while ahead:
+            node, after = ahead.pop()
+            if node is None:
+                out.append(after)
+            elif node in below:
+                ahead.append((None, ")" + label(node) + after))
+                own = [(n, f":{x:.6g}" + ("" if i == len(below[node]) - 1 else ",")) for i, (n, x) in enumerate(below[node])]
+                ahead += reversed(own)
+                out.append("(")
+            else:
+                out.append(label(node) + after)
+        return pd.DataFrame({"matrix": [rows["matrix"].iloc[0]], "tree": ["".join(out) + ";"]})
 
     return edges.groupBy("matrix").applyInPandas(run, "matrix string, tree string")
 
