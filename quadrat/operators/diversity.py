@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import kernels
+from quadrat.operators.blocks import pair_sums
 
 
 def alpha(features: DataFrame, classic_chao: bool = False) -> DataFrame:
@@ -114,11 +115,10 @@ def plateau(features: DataFrame) -> DataFrame:
     return features.select("sample", "reads").groupBy("sample").applyInPandas(gain, f"sample {kind}, gained_pct double")
 
 
-def _pairs(features: DataFrame, value: Column, shared: Column) -> DataFrame:
-    """(i, j, shared): a sum over the features that two samples have in common. Only those meet: a join by feature, never of wide vectors."""
-    v = features.where("reads > 0").select("sample", "feature_id", value.alias("v"))
-    a, b = v.select(F.col("sample").alias("i"), "feature_id", F.col("v").alias("a")), v.select(F.col("sample").alias("j"), "feature_id", F.col("v").alias("b"))
-    return a.join(b, "feature_id").where("i < j").groupBy("i", "j").agg(F.sum(shared).alias("shared"))
+def _pairs(features: DataFrame, value: Column, shared: str) -> DataFrame:
+    """(i, j, shared): a sum over the features that two samples have in common, by blocks of samples and features."""
+    v = features.where("reads > 0").select(F.col("sample").alias("item"), F.col("feature_id").alias("feature"), value.alias("v"), F.lit(1.0).alias("w"))
+    return pair_sums(v, [shared]).withColumnRenamed(shared, "shared")
 
 
 def sample_pairs(samples: DataFrame) -> DataFrame:
@@ -131,11 +131,11 @@ def bray_curtis(features: DataFrame, on_counts: bool = False) -> DataFrame:
     """(i, j, d) of proportions, or of raw counts. Pairs without a common feature have distance 1; two empty samples 0."""
     own = Window.partitionBy("sample")
     if on_counts:
-        near = _pairs(features, F.col("reads"), F.least("a", "b"))
+        near = _pairs(features, F.col("reads"), "least")
         totals = features.groupBy("sample").agg(F.sum("reads").alias("t"))
         grid = sample_pairs(features).join(totals.select(F.col("sample").alias("i"), F.col("t").alias("ti")), "i").join(totals.select(F.col("sample").alias("j"), F.col("t").alias("tj")), "j")
         return grid.join(near, ["i", "j"], "left").select("i", "j", F.coalesce(1 - F.try_divide(2 * F.coalesce("shared", F.lit(0.0)), F.col("ti") + F.col("tj")), F.lit(0.0)).alias("d"))
-    near = _pairs(features.withColumn("p", F.try_divide("reads", F.sum("reads").over(own))), F.col("p"), F.least("a", "b"))
+    near = _pairs(features.withColumn("p", F.try_divide("reads", F.sum("reads").over(own))), F.col("p"), "least")
     empty = features.groupBy("sample").agg((F.sum("reads") == 0).alias("e"))
     grid = sample_pairs(features).join(empty.select(F.col("sample").alias("i"), F.col("e").alias("ei")), "i").join(empty.select(F.col("sample").alias("j"), F.col("e").alias("ej")), "j")
     return grid.join(near, ["i", "j"], "left").select("i", "j", F.when(F.col("ei") & F.col("ej"), 0.0).otherwise(1 - F.coalesce("shared", F.lit(0.0))).alias("d"))
@@ -143,7 +143,7 @@ def bray_curtis(features: DataFrame, on_counts: bool = False) -> DataFrame:
 
 def jaccard(features: DataFrame) -> DataFrame:
     """(i, j, d) of presence and absence."""
-    near = _pairs(features, F.lit(1), F.lit(1))
+    near = _pairs(features, F.lit(1), "both")
     sizes = features.where("reads > 0").groupBy("sample").agg(F.count("*").alias("n"))
     grid = sample_pairs(features).join(sizes.select(F.col("sample").alias("i"), F.col("n").alias("ni")), "i", "left").join(sizes.select(F.col("sample").alias("j"), F.col("n").alias("nj")), "j", "left")
     shared = F.coalesce("shared", F.lit(0))
@@ -159,8 +159,7 @@ def unifrac(features: DataFrame, ancestry: DataFrame, weighted: bool = False) ->
     own = Window.partitionBy("sample")
     p = features.where("reads > 0").withColumn("p", F.col("reads") / F.sum("reads").over(own))
     on = p.join(ancestry, "feature_id").groupBy("sample", "node").agg(F.sum("p").alias("p"), F.first("length").alias("length"))
-    a, b = on.select(F.col("sample").alias("i"), "node", F.col("p").alias("a"), "length"), on.select(F.col("sample").alias("j"), "node", F.col("p").alias("b"))
-    near = a.join(b, "node").where("i < j").groupBy("i", "j").agg(F.sum("length").alias("both"), F.sum(F.col("length") * F.least("a", "b")).alias("least"))
+    near = pair_sums(on.select(F.col("sample").alias("item"), F.col("node").alias("feature"), F.col("p").alias("v"), F.col("length").alias("w")), ["both", "least"])
     reach = on.groupBy("sample").agg(F.sum("length").alias("u"), F.sum(F.col("length") * F.col("p")).alias("w"))
     grid = sample_pairs(features).join(reach.select(F.col("sample").alias("i"), F.col("u").alias("ui"), F.col("w").alias("wi")), "i").join(reach.select(F.col("sample").alias("j"), F.col("u").alias("uj"), F.col("w").alias("wj")), "j")
     both, least = F.coalesce("both", F.lit(0.0)), F.coalesce("least", F.lit(0.0))

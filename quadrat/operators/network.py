@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.operators.blocks import pair_sums
 from quadrat.operators.stats import mid_rank, t_p
 
 
@@ -15,7 +16,7 @@ def correlations(counts: DataFrame, least: float = 0.6, most_p: float | None = N
     """(a, b, both, rho, p): Spearman correlation of taxa over all samples, absent ones counting as 0, with |rho| of at least ``least`` and p of at most ``most_p``, if given.
 
     Zeros of absent samples tie at the lowest rank of a taxon, so the sums over the dense grid follow from the rows that
-    exist: pairs meet by sample. For two taxa that never meet the sums reduce to -v v', with one number for each taxon;
+    exist, as sums over blocks of taxa and samples. For two taxa that never meet the sums reduce to -v v', with one number for each taxon;
     those pairs meet by classes of that number which can reach the limit.
     """
     n = counts.agg(F.count_distinct("sample")).first()[0] or 1
@@ -26,9 +27,11 @@ def correlations(counts: DataFrame, least: float = 0.6, most_p: float | None = N
     r = present.withColumn("c", mid_rank("value", ["taxon"]) + z - (n + 1) / 2).withColumn("z", z)
     r = r.withColumn("low", (F.col("z") + 1) / 2 - (n + 1) / 2)
     r = r.withColumn("ss", F.sum(F.col("c") * F.col("c")).over(own) + F.col("z") * F.col("low") * F.col("low")).withColumn("sum_c", F.sum("c").over(own))
-    side = lambda x: r.select("sample", *(F.col(c).alias(f"{c}_{x}") for c in ("taxon", "c", "low", "ss", "sum_c", "z")))
-    met = side("a").join(side("b"), "sample").where("taxon_a < taxon_b")
-    s = met.groupBy(F.col("taxon_a").alias("a"), F.col("taxon_b").alias("b")).agg(F.count("*").alias("both"), F.sum(F.col("c_a") * F.col("c_b")).alias("cc"), F.sum("c_a").alias("ca"), F.sum("c_b").alias("cb"), *(F.first(c).alias(c) for c in ("low_a", "low_b", "ss_a", "ss_b", "sum_c_a", "sum_c_b", "z_a", "z_b")))
+    rows = r.select(F.col("taxon").alias("item"), F.col("sample").alias("feature"), F.col("c").alias("v"), F.lit(1.0).alias("w"))
+    each = r.groupBy("taxon").agg(*[F.first(c).alias(c) for c in ("low", "ss", "sum_c", "z")])
+    side = lambda x: each.select(*(F.col(c).alias(x if c == "taxon" else f"{c}_{x}") for c in ("taxon", "low", "ss", "sum_c", "z")))
+    met = pair_sums(rows, ["both", "product", "first", "second"]).select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("both").cast("long").alias("both"), F.col("product").alias("cc"), F.col("first").alias("ca"), F.col("second").alias("cb"))
+    s = met.join(side("a"), "a").join(side("b"), "b")
     only_a, only_b = (F.col("sum_c_a") - F.col("ca")) * F.col("low_b"), (F.col("sum_c_b") - F.col("cb")) * F.col("low_a")
     neither = (F.col("z_a") + F.col("z_b") - n + F.col("both")) * F.col("low_a") * F.col("low_b")
     rho = F.try_divide(F.col("cc") + only_a + only_b + neither, F.sqrt(F.col("ss_a") * F.col("ss_b")))
