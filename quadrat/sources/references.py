@@ -63,6 +63,12 @@ def header_levels(headers: DataFrame) -> DataFrame:
     return headers.select(F.filter(F.transform(F.split(F.regexp_replace("header", "^>", ""), ";"), F.trim), lambda x: x != "").alias("parts"))
 
 
+# What tells a record, a kingdom, a taxon number and a bare species epithet; which share of headers decides, how
+# many headers must be able to tell, and which share must end in a number.
+RECORD, KINGDOM, TAXON_NUMBER, EPITHET = r"^\S+\s+\S+\s+\S+", "ati$", r"_[0-9]+$", "^[a-z][a-z-]+$"
+MOSTLY, ENOUGH, NEARLY_ALL = 0.5, 20, 0.8
+
+
 def inspected(headers: DataFrame) -> DataFrame:
     """One row (n, depth, kind, has_species, has_kingdom, numbered): what a reference's headers hold.
 
@@ -74,18 +80,18 @@ def inspected(headers: DataFrame) -> DataFrame:
     depth = p.agg(F.count("*").alias("n"), F.max("d").alias("depth"), F.percentile("d", 0.5).alias("med"))
     last, before = F.element_at("parts", -1), F.try_element_at("parts", F.lit(-2))
     full = F.col("d") == F.col("depth")
-    species = (F.coalesce(before, F.lit("")) != "") & (last.startswith(F.concat(before, F.lit(" "))) | last.startswith(F.concat(before, F.lit("_"))) | last.rlike("^[a-z][a-z-]+$"))
+    species = (F.coalesce(before, F.lit("")) != "") & (last.startswith(F.concat(before, F.lit(" "))) | last.startswith(F.concat(before, F.lit("_"))) | last.rlike(EPITHET))
     share = lambda test, among: F.avg(F.when(among, F.coalesce(test, F.lit(False)).cast("int")))
     count = lambda among: F.count(F.when(among, 1))
     long = F.col("d") >= 3
     s = p.join(depth).agg(
-        F.first("n").alias("n"), F.first("depth").alias("depth"), F.first("med").alias("med"), share(F.get("parts", F.lit(0)).rlike(r"^\S+\s+\S+\s+\S+"), F.lit(True)).alias("b"),
-        share(species, full).alias("s"), count(full).alias("sn"), share(F.get("parts", F.lit(1)).rlike("ati$"), long).alias("k"), count(long).alias("kn"), share(last.rlike(r"_[0-9]+$"), full).alias("m"),
+        F.first("n").alias("n"), F.first("depth").alias("depth"), F.first("med").alias("med"), share(F.get("parts", F.lit(0)).rlike(RECORD), F.lit(True)).alias("b"),
+        share(species, full).alias("s"), count(full).alias("sn"), share(F.get("parts", F.lit(1)).rlike(KINGDOM), long).alias("k"), count(long).alias("kn"), share(last.rlike(TAXON_NUMBER), full).alias("m"),
     )
     short = F.col("med") <= 2
     return s.where("n > 0").select(
-        "n", "depth", F.when(short & (F.col("b") > 0.5), "species_assignment").when(short, "unknown").otherwise("trainset").alias("kind"), F.when(~short & (F.col("sn") >= 20), F.col("s") > 0.5).alias("has_species"),
-        F.when(~short & (F.col("kn") >= 20), F.col("k") > 0.5).alias("has_kingdom"), (~short & (F.col("sn") >= 20) & (F.col("m") > 0.8)).alias("numbered"),
+        "n", "depth", F.when(short & (F.col("b") > MOSTLY), "species_assignment").when(short, "unknown").otherwise("trainset").alias("kind"), F.when(~short & (F.col("sn") >= ENOUGH), F.col("s") > MOSTLY).alias("has_species"),
+        F.when(~short & (F.col("kn") >= ENOUGH), F.col("k") > MOSTLY).alias("has_kingdom"), (~short & (F.col("sn") >= ENOUGH) & (F.col("m") > NEARLY_ALL)).alias("numbered"),
     )
 
 
