@@ -5,14 +5,14 @@ lower-cased text, everything but letters and digits being a blank), hashed to
 ``2**BITS`` buckets. A feature's scale is the log ratio of its smoothed
 document counts in the two classes, shrunk by z² / (z² + ``NOISE``²) where z is
 by how many standard deviations the counts differ from the classes' shares: a
-ratio that chance may have made counts little, and none is left out. A logistic
-regression with a ridge is fitted on the scaled features, and its intercept set
-to the classes' shares among all training labels.
+ratio that chance may have made counts little. Every feature of at least two
+texts takes part. A logistic regression with a ridge is fitted on the scaled
+features, and its intercept set to the classes' shares among all training labels.
 
 Labels are learned from at most ``POSITIVES`` and ``NEGATIVES`` labelled rows,
 those of the smallest hash of doc_id (documented bound; whole texts are used).
 The fit goes over the sample's features where they lie, in ``PARTS`` tasks that
-give their part of the gradient. So what comes to the driver at once is
+give their part of the gradient. So what comes to the driver at once is at most
 2**BITS counts, or that many numbers from each of those tasks, whatever the
 lengths of the texts.
 Every document is scored over its whole text. Labels, lang, source and doc_id
@@ -44,7 +44,7 @@ from quadrat.llm.shingles import pieces
 SIZES, BITS = (4, 5, 6), 20
 POSITIVES, NEGATIVES = 4000, 8000
 NOISE, RIDGE = 6.0, 0.1
-PARTS, ROUNDS, TOLERANCE = 8, 60, 1e-3
+FEWEST_TEXTS, PARTS, ROUNDS, TOLERANCE = 2, 16, 60, 1e-3
 THRESHOLD = 0.7
 
 _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -114,13 +114,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(total[0][feature].astype(np.int64)), pa.array(total[1][feature].astype(np.int64))], ["feature", "negative", "positive"])
 
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's features as 32-bit numbers in a row of bytes, which Spark passes on without looking at them one by one."""
+def _sparse(batches: Iterator[pa.RecordBatch], place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each text's features, by the places that they have (-1: none), as 32-bit numbers in a row of bytes, which Spark passes on
+    without looking at them one by one."""
+    wanted = place >= 0
     for batch in batches:
         for part in pieces(batch, most_bytes=1 << 18):
-            key = ngrams(part.column("text"))
+            key = ngrams(part.column("text"), wanted)
             first = np.searchsorted(key, np.arange(part.num_rows + 1) << BITS)
-            data = (key & (1 << BITS) - 1).astype("<i4")
+            data = place[key & (1 << BITS) - 1].astype("<i4")
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([data[lo:hi].tobytes() for lo, hi in zip(first, first[1:], strict=False)], pa.binary())], ["toxic", "features"])
 
 
@@ -134,7 +136,7 @@ def scales(negative: np.ndarray, positive: np.ndarray, texts: tuple[int, int], n
 
 def _slopes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, intercept: float) -> Iterator[pa.RecordBatch]:
     """One row: the loss of this part's texts, its slope by the intercept, and by each feature's weight (32-bit numbers)."""
-    loss, shift, slope = 0.0, 0.0, np.zeros(1 << BITS)
+    loss, shift, slope = 0.0, 0.0, np.zeros(len(weights))
     for batch in batches:
         for part in pieces(batch, ("features",), 2 << 20):
             features, y = part.column("features"), part.column("toxic").to_numpy().astype(float)
@@ -146,7 +148,7 @@ def _slopes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, intercept: f
             off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
             loss += float(np.logaddexp(0, z).sum() - y @ z)
             shift += float(off.sum())
-            slope += np.bincount(column, np.repeat(off, np.diff(first)), 1 << BITS)
+            slope += np.bincount(column, np.repeat(off, np.diff(first)), len(weights))
     yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([shift]), pa.array([slope.astype("<f4").tobytes()], pa.binary())], ["loss", "shift", "slope"])
 
 
@@ -182,7 +184,7 @@ def logistic(rows: DataFrame, scale: np.ndarray, ridge: float = RIDGE) -> tuple[
     context = rows.sparkSession.sparkContext
 
     def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = context.broadcast(at[:-1] * scale)  # of fixed size, 2**BITS numbers
+        shared = context.broadcast(at[:-1] * scale)  # at most 2**BITS numbers
         intercept, out, slope = float(at[-1]), ridge / 2 * float(at[:-1] @ at[:-1]), ridge * at
         slope[-1] = 0.0
         found = rows.mapInArrow(lambda it: _slopes(it, shared.value, intercept), "loss double, shift double, slope binary").toArrow()  # one row a task
@@ -217,16 +219,21 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     if len(size) < 2:
         drop_path(spark, path)
         return Model(np.zeros(1 << BITS), 700.0 if size.get(1) else -700.0)
-    counted = rows.mapInArrow(_counted, "feature long, negative long, positive long").groupBy("feature").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive")).toPandas()
-    counts = np.zeros((2, 1 << BITS))
-    for c, name in enumerate(("negative", "positive")):
-        counts[c][counted["feature"]] = counted[name]
-    scale = scales(counts[0], counts[1], (size[0], size[1]))
-    sparse, sparse_path = settled(rows.mapInArrow(_sparse, "toxic int, features binary"), "toxicity-features")
+    counted = rows.mapInArrow(_counted, "feature long, negative long, positive long").groupBy("feature").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
+    counted = counted.where(F.col("negative") + F.col("positive") >= FEWEST_TEXTS).toPandas().sort_values("feature")
+    ids = counted["feature"].to_numpy()
+    scale = scales(counted["negative"].to_numpy(float), counted["positive"].to_numpy(float), (size[0], size[1]))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[ids] = np.arange(len(ids))
+    shared = spark.sparkContext.broadcast(place)  # of fixed size, 2**BITS numbers
+    sparse, sparse_path = settled(rows.mapInArrow(lambda it: _sparse(it, shared.value), "toxic int, features binary"), "toxicity-features")
+    shared.destroy()
     fitted, intercept = logistic(sparse.coalesce(PARTS), scale)
     drop_path(spark, path)
     drop_path(spark, sparse_path)
-    return Model(fitted * scale, intercept + float(np.log(share[1] / share[0])) - float(np.log(size[1] / size[0])))
+    weights = np.zeros(1 << BITS)
+    weights[ids] = fitted * scale
+    return Model(weights, intercept + float(np.log(share[1] / share[0])) - float(np.log(size[1] / size[0])))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, column: str) -> Iterator[pa.RecordBatch]:

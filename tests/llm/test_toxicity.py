@@ -72,6 +72,8 @@ def by_hand(texts, marks, held, share):
     for f in sorted(set().union(*(sets[i] for i in train))):
         has = [sum(f in sets[i] for i in train if marks[i] == c) for c in (0, 1)]
         df = sum(has)
+        if df < 2:
+            continue
         z2 = (has[1] - df * rate) ** 2 / (df * rate * (1 - rate) * max(1 - df / total, 0.02))
         scale[f] = (np.log((has[1] + 1) / (n[1] + 2)) - np.log((has[0] + 1) / (n[0] + 2))) * z2 / (z2 + toxicity.NOISE**2)
     names = list(scale)
@@ -105,7 +107,7 @@ def test_scores_equal_the_plain_definition(spark, words):
     share = [sum(m == c for m, h in zip(marks, held, strict=True) if not h) for c in (0, 1)]
     want, features = by_hand(texts, marks, held, share)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
-    assert features > 1000  # every feature of the training texts
+    assert features > 1000  # every feature of two training texts
     assert np.allclose([got[i] for i in range(160)], want, atol=2e-3)
 
 
@@ -123,7 +125,7 @@ def test_small_tables_are_told_apart(spark, words):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(60)], "doc_id long, toxic int")
     rows = sorted(toxicity.score(docs, labels).collect(), key=lambda r: -r["score"])
-    assert len({r["score"] for r in rows}) == 60
+    assert len({r["score"] for r in rows}) >= 55  # a text whose features no other text has gets the intercept
     assert sum(r["doc_id"] % 6 == 0 for r in rows[:10]) >= 9
 
 
