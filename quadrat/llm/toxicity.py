@@ -114,16 +114,36 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(total[0][feature].astype(np.int64)), pa.array(total[1][feature].astype(np.int64))], ["feature", "negative", "positive"])
 
 
+def packed(text: np.ndarray, place: np.ndarray, texts: int) -> list[bytes]:
+    """Each text's rising places as one byte a step: a step of 255 or more is that many bytes of 255, and the rest."""
+    step = np.diff(place, prepend=0)
+    new = np.flatnonzero(np.diff(text, prepend=-1))
+    step[new] = place[new]
+    full = step // 255
+    end = np.cumsum(full + 1)
+    out = np.full(int(end[-1]) if len(end) else 0, 255, np.uint8)
+    out[end - 1] = step % 255
+    edge = np.concatenate(([0], end))[np.searchsorted(text, np.arange(texts + 1))]
+    return [out[lo:hi].tobytes() for lo, hi in zip(edge, edge[1:], strict=False)]
+
+
+def unpacked(features: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all texts, and where each text's begin (of length texts + 1)."""
+    first = np.frombuffer(features.buffers()[1], np.int32)[features.offset : features.offset + len(features) + 1].astype(np.int64)
+    step = np.frombuffer(features.buffers()[2] or b"", np.uint8)[first[0] : first[-1]]
+    first, whole = first - first[0], step != 255
+    total, count = np.concatenate(([0], np.cumsum(step, dtype=np.int64))), np.concatenate(([0], np.cumsum(whole)))[first]
+    return total[1:][whole] - np.repeat(total[first[:-1]], np.diff(count)), count
+
+
 def _sparse(batches: Iterator[pa.RecordBatch], place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each text's features, by the places that they have (-1: none), as 32-bit numbers in a row of bytes, which Spark passes on
-    without looking at them one by one."""
+    """Each text's features, by the places that they have (-1: none), packed in a row of bytes."""
     wanted = place >= 0
     for batch in batches:
         for part in pieces(batch, most_bytes=1 << 18):
             key = ngrams(part.column("text"), wanted)
-            first = np.searchsorted(key, np.arange(part.num_rows + 1) << BITS)
-            data = place[key & (1 << BITS) - 1].astype("<i4")
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([data[lo:hi].tobytes() for lo, hi in zip(first, first[1:], strict=False)], pa.binary())], ["toxic", "features"])
+            data = packed(key >> BITS, place[key & (1 << BITS) - 1].astype(np.int64), part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(data, pa.binary())], ["toxic", "features"])
 
 
 def scales(negative: np.ndarray, positive: np.ndarray, texts: tuple[int, int], noise: float = NOISE) -> np.ndarray:
@@ -138,11 +158,9 @@ def _slopes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, intercept: f
     """One row: the loss of this part's texts, its slope by the intercept, and by each feature's weight (32-bit numbers)."""
     loss, shift, slope = 0.0, 0.0, np.zeros(len(weights))
     for batch in batches:
-        for part in pieces(batch, ("features",), 2 << 20):
-            features, y = part.column("features"), part.column("toxic").to_numpy().astype(float)
-            first = np.frombuffer(features.buffers()[1], np.int32)[features.offset : features.offset + len(features) + 1] // 4
-            column = np.frombuffer(features.buffers()[2] or b"", "<i4")[first[0] : first[-1]]
-            first = first - first[0]
+        for part in pieces(batch, ("features",), 1 << 19):
+            y = part.column("toxic").to_numpy().astype(float)
+            column, first = unpacked(part.column("features"))
             total = np.concatenate(([0.0], np.cumsum(weights[column])))
             z = intercept + total[first[1:]] - total[first[:-1]]
             off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y

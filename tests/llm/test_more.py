@@ -315,7 +315,7 @@ def test_entry_has_a_query_for_each_operator():
 
     names = set(entry.queries())
     assert set(registry.QUERIES) | {"pipeline"} <= names and set(entry.oracle_sql()) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_by_hand(spark):

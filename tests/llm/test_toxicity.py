@@ -135,3 +135,14 @@ def test_least_finds_the_minimum():
     h, b = a.T @ a + 0.1 * np.eye(12), rng.normal(size=12)
     found = toxicity.least(lambda x: (float(x @ h @ x / 2 - b @ x), h @ x - b), np.zeros(12), rounds=200, tolerance=1e-14)
     assert np.allclose(found, np.linalg.solve(h, b), atol=1e-4)
+
+
+def test_packed_places_come_back():
+    rng = np.random.default_rng(8)
+    own = [np.sort(rng.choice(1 << 20, n, replace=False)) for n in (0, 1, 5, 4000, 0, 90_000)] + [np.array([0]), np.array([0, 255, 510, 511]), np.array([], np.int64)]
+    text = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    data = toxicity.packed(text, np.concatenate(own).astype(np.int64), len(own))
+    for rows in (pa.array(data, pa.binary()), pa.array([b"xyz", *data], pa.binary()).slice(1)):
+        places, first = toxicity.unpacked(rows)
+        assert [places[lo:hi].tolist() for lo, hi in zip(first, first[1:])] == [x.tolist() for x in own]
+    assert toxicity.packed(np.empty(0, np.int64), np.empty(0, np.int64), 2) == [b"", b""]
