@@ -276,3 +276,26 @@ def read_pairs(files: DataFrame) -> DataFrame:
     paired = (F.col("base") != "") & (F.col("mates") == 2)
     sample = F.when(paired, F.col("base")).otherwise(F.regexp_replace("name", r"(?i)\.(fastq|fq)(\.gz)?$", ""))
     return own.groupBy(sample.alias("sample")).agg(F.sort_array(F.collect_set("name")).alias("files"))
+
+
+def listed_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(sample, r1, r2): the files that a manifest gives each sample, several rows of a sample together.
+
+    manifest: (sample, file1, file2), files: (name), what is there. A row without a sample or whose first file isn't there is
+    left out; a second file that isn't there is as if not given. A file named twice counts once.
+    """
+    there = files.select("name").distinct()
+    own = manifest.where("sample <> ''").join(there.withColumnRenamed("name", "file1"), "file1").join(there.select(F.col("name").alias("file2"), F.lit(True).alias("__second")), "file2", "left")
+    each = own.select("sample", F.struct("file1", F.when(F.col("__second"), F.col("file2")).alias("file2")).alias("f"))
+    found = each.groupBy("sample").agg(F.sort_array(F.collect_set("f")).alias("f"))
+    return found.select("sample", F.array_distinct(F.col("f.file1")).alias("r1"), F.filter(F.array_distinct(F.col("f.file2")), lambda x: x.isNotNull()).alias("r2"))
+
+
+def sample_files(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """(sample, r1, r2): by the manifest if it names files that are there, else by the ends of the files' names."""
+    if manifest is not None:
+        listed = listed_files(manifest, files)
+        if not listed.isEmpty():
+            return listed
+    pair = F.size("files") > 1
+    return read_pairs(files).select("sample", F.slice("files", 1, 1).alias("r1"), F.when(pair, F.slice("files", 2, 1)).otherwise(F.array().cast("array<string>")).alias("r2"))

@@ -27,7 +27,7 @@ class Rounds:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/quadrat-{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # what an id stands for stays alive with it
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
@@ -36,6 +36,13 @@ class Rounds:
         self.paths[id(out)] = out, path
         return out
 
+    def files(self, df: DataFrame, form: str, **options: str) -> str:
+        """The folder of the frame's rows as files of another format, which ``keep`` drops."""
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.format(form).options(**options).save(path)
+        self.paths[id(path)] = df, path
+        return path
+
     def keep(self, *frames: DataFrame) -> None:
         jvm, kept = self.spark.sparkContext._jvm, {id(f) for f in frames}
         for key in [k for k in self.paths if k not in kept]:

@@ -1,6 +1,6 @@
-"""FASTA and FASTQ files, plain or gzipped.
+"""FASTA and FASTQ files, plain or gzipped; FASTA also zipped.
 
-FASTA splits anywhere between records. A FASTQ record is four lines, which a
+FASTA splits anywhere between records; a zip archive is one task, which streams its members. A FASTQ record is four lines, which a
 line split can't find again, so a file is one task; sequencers write many files.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,9 +16,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _unzipped(spark: SparkSession, path: str, most: int = 1 << 24) -> DataFrame:
+    """(value): the records of all members of zip archives, a header without its mark and the lines of its sequence."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("content"):
+                with zipfile.ZipFile(io.BytesIO(memoryview(data.as_buffer()))) as archive:
+                    rows, size, record = [], 0, []
+                    for member in archive.infolist():
+                        if member.is_dir() or member.filename.startswith("__MACOSX/"):
+                            continue
+                        for line in io.TextIOWrapper(archive.open(member), encoding="utf-8", errors="replace"):
+                            if line.startswith(">") and record:
+                                rows.append("".join(record))
+                                size, record = size + len(rows[-1]), []
+                            if size > most:
+                                yield pa.RecordBatch.from_arrays([pa.array(rows)], ["value"])
+                                rows, size = [], 0
+                            record.append(line)
+                        if record:
+                            rows.append("".join(record))
+                            record = []
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, description, seq): name is the first word of the header; sequences in upper case without line breaks."""
-    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
+    """(name, description, seq): name is the first word of the header; sequences in upper case without line breaks. A path that ends in .zip holds archives."""
+    lines = _unzipped(spark, path) if path.lower().endswith(".zip") else spark.read.option("lineSep", "\n>").text(path)
+    rows = lines.select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
     head, body = F.split("value", "\r?\n", 2)[0], F.get(F.split("value", "\r?\n", 2), F.lit(1))
     return rows.select(F.split(F.trim(head), r"\s+")[0].alias("name"), F.trim(head).alias("description"), F.upper(F.regexp_replace(F.coalesce(body, F.lit("")), r"\s", "")).alias("seq"))
 

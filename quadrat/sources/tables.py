@@ -31,11 +31,37 @@ def read_tool_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("value NOT LIKE '#%' AND trim(value) <> ''").select(*(F.get(v, F.lit(i)).alias(n.strip()) for i, n in enumerate(names)))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = ",", header: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text, byte order mark and ragged rows tolerated. Without a separator, the one that the first line tells."""
-    sep = sep or found_separator(spark, path)
-    df = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
-    return df.toDF(*(c.lstrip("﻿") for c in df.columns))
+def found_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line is, else the Thai code page cp874 if every byte stands for a letter there, else ISO-8859-1."""
+    lines = spark.read.text(path)  # the bytes as they are
+    free = "|".join(f"{b:02X}" for b in range(256) if not bytes([b]).decode("cp874", "ignore"))
+    row = lines.agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_and(~F.hex(F.col("value").cast("binary")).rlike(f"^(..)*?({free})")).alias("thai")).first()
+    return "UTF-8" if row["utf8"] in (True, None) else "cp874" if row["thai"] else "ISO-8859-1"
+
+
+def _from_thai(value):
+    """Text that was read as ISO-8859-1, by cp874: each byte above 127 has one letter."""
+    pairs = [(chr(b), bytes([b]).decode("cp874", "ignore")) for b in range(128, 256)]
+    pairs = [(x, y) for x, y in pairs if y and x != y]
+    if isinstance(value, str):
+        return value.translate(str.maketrans(dict(pairs)))
+    return F.translate(value, "".join(x for x, _ in pairs), "".join(y for _, y in pairs))
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = ",", header: bool = True, encoding: str | None = "UTF-8") -> DataFrame:
+    """All columns as text, byte order mark and ragged rows tolerated. Without a separator, the one that the first line tells; without an encoding, the first of UTF-8, cp874 and ISO-8859-1 that fits."""
+    sep, encoding = sep or found_separator(spark, path), encoding or found_encoding(spark, path)
+    thai = encoding.lower() == "cp874"  # unknown to Spark
+    df = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').option("encoding", "ISO-8859-1" if thai else encoding).csv(path)
+    if thai:
+        df = df.select([_from_thai(F.col(f"`{c}`")).alias(_from_thai(c)) for c in df.columns])
+    return df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, file1, file2) of a JSON list of samples and their files; separators of paths in a sample's name become _."""
+    name = F.regexp_replace(F.trim("sample"), r"[\\/]+", "_")
+    return spark.read.option("multiLine", True).schema("sample string, file1 string, file2 string").json(path).select(name.alias("sample"), F.trim("file1").alias("file1"), F.trim("file2").alias("file2"))
 
 
 def features_from_wide(wide: DataFrame, truncate: bool = False, drop_empty: bool = True) -> DataFrame:

@@ -114,3 +114,40 @@ def test_streaming_histogram_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(x) for x in spark.table("qc").collect()} == {tuple(x) for x in reads.histogram(reads.read_table(r), ["file"], "mean_q", 1.0).collect()}
+
+
+def test_zipped_fasta(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("a.fasta", ">x one\nacg\nt\n>y\nAC\n")
+        z.writestr("__MACOSX/a.fasta", ">no\nA\n")
+        z.writestr("sub/b.fa", ">z two words\r\nGG\r\nTT")
+        z.writestr("empty.fa", "")
+    got = {r["name"]: (r["description"], r["seq"]) for r in fastx.read_fasta(spark, str(tmp_path / "two.zip")).collect()}
+    assert got == {"x": ("x one", "ACGT"), "y": ("y", "AC"), "z": ("z two words", "GGTT")}
+
+
+@pytest.mark.parametrize("code, text", [("UTF-8", "sample,กลุ่ม\ns1,น้ำ\n"), ("cp874", "sample,กลุ่ม\ns1,น้ำ €\n"), ("ISO-8859-1", "sample,größe\ns1,üþÿ\n"), ("UTF-8", "sample,plain\ns1,x\n")])
+def test_encodings_are_told_apart(spark, tmp_path, code, text):
+    p = tmp_path / "m.csv"
+    p.write_bytes(text.encode(code))
+    assert tables.found_encoding(spark, str(p)) == code
+    df = tables.read_csv(spark, str(p), encoding=None)
+    head, row = (line.split(",") for line in text.splitlines())
+    assert df.columns == head and [list(r) for r in df.collect()] == [row]
+
+
+def test_manifest_before_names(spark, tmp_path):
+    import json
+
+    from quadrat.operators import summaries
+
+    files = spark.createDataFrame([(n,) for n in ("a_R1.fastq.gz", "a_R2.fastq.gz", "b.fastq", "c1.fq", "c2.fq")], "name string")
+    rows = [{"sample": "one/x ", "file1": "a_R1.fastq.gz", "file2": "a_R2.fastq.gz"}, {"sample": "two", "file1": "c2.fq", "file2": "lost.fq"}, {"sample": "two", "file1": "c1.fq"}, {"sample": "two", "file1": "c1.fq"}, {"sample": "", "file1": "b.fastq"}, {"sample": "gone", "file1": "no.fq"}, {"sample": "bare"}]
+    manifest = tables.read_manifest(spark, write(tmp_path, "m.json", json.dumps(rows)))
+    got = {r["sample"]: (r["r1"], r["r2"]) for r in summaries.sample_files(files, manifest).collect()}
+    assert got == {"one_x": (["a_R1.fastq.gz"], ["a_R2.fastq.gz"]), "two": (["c1.fq", "c2.fq"], [])}
+    by_name = {"a": (["a_R1.fastq.gz"], ["a_R2.fastq.gz"]), "b": (["b.fastq"], []), "c1": (["c1.fq"], []), "c2": (["c2.fq"], [])}
+    for m in (None, manifest.where("sample = 'gone'")):
+        assert {r["sample"]: (r["r1"], r["r2"]) for r in summaries.sample_files(files, m).collect()} == by_name
