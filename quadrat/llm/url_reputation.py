@@ -15,7 +15,11 @@ each level comes to the driver.
 
 The registered domain is the last two labels of a host, or the last three where
 those are a two-letter country and one of ``SECOND``; the suffix is what follows
-its first label.
+its first label. A table of suffix rules takes the place of that list if one is
+given: plain rules (``co.uk``), wildcards (``*.ck``) and exceptions
+(``!www.ck``), in lower case. A host's last labels meet the rules by an
+equi-join, as many of them as the longest rule has; an exception wins, else the
+longest suffix; a host that no rule fits ends in its last label.
 
 Results in odd cases: a null url, or one without ``://``, has an empty host and
 path; empty hosts form one group like any other; pages without a label count in
@@ -61,6 +65,28 @@ def with_levels(df: DataFrame) -> DataFrame:
     return df.select("*", domain.alias("domain"), suffix.alias("suffix"))
 
 
+def _suffix_labels(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, labels): how many labels of each different host are its suffix by the rules. rules: (rule)."""
+    text = F.lower(F.trim("rule"))
+    known = rules.where(F.trim("rule") != "").select(F.regexp_replace(text, r"^(!|\*\.|\.)", "").alias("tail"), F.when(text.startswith("!"), -1).when(text.startswith("*."), 1).otherwise(0).alias("more")).distinct()
+    deep = known.agg(F.max(F.size(F.split("tail", r"\."))).alias("deep")).first()["deep"] or 0
+    hosts = df.where("host IS NOT NULL").select("host").distinct()
+    n, parts = F.size(F.split("host", r"\.")), F.split("host", r"\.")
+    tails = hosts.select("host", n.alias("n"), F.explode(F.sequence(F.lit(0), F.least(n, F.lit(deep)))).alias("k"), parts.alias("parts")).where("k > 0")
+    tails = tails.select("host", "n", "k", F.array_join(F.slice("parts", F.col("n") - F.col("k") + 1, F.col("k")), ".").alias("tail"))
+    fits = tails.join(known, "tail").withColumn("labels", F.col("k") + F.col("more")).where("labels BETWEEN 1 AND n")
+    best = fits.groupBy("host").agg(F.max(F.struct((F.col("more") < 0).alias("exception"), "labels")).alias("best"))
+    return hosts.join(best, "host", "left").select("host", F.coalesce("best.labels", F.lit(1)).alias("labels"))
+
+
+def with_ruled_levels(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds domain and suffix to rows with a host, by a table of suffix rules. A host that is a suffix is its own domain."""
+    labels = _suffix_labels(df, rules).withColumnRenamed("host", "__host").withColumnRenamed("labels", "__labels")
+    parts = F.split("host", r"\.")
+    last = lambda k: F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - k + 1), F.size(parts)), ".")
+    return df.join(labels, F.col("host") == F.col("__host"), "left").select(*[F.col(f"`{c}`") for c in df.columns], last(F.col("__labels") + 1).alias("domain"), last(F.col("__labels")).alias("suffix"))
+
+
 def _strength(groups: DataFrame) -> float:
     """Strength of the beta priors of a level's groups (n, bad, prior), by the moments of the beta-binomial around each group's prior mean."""
     spare = F.col("prior") * (1 - F.col("prior"))
@@ -70,11 +96,12 @@ def _strength(groups: DataFrame) -> float:
     return (1 - rho) / rho
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z, lift: float = LIFT, limit: float = LIMIT) -> DataFrame:
-    """(host, bad_share, bound, bad_host): posterior mean and lower bound of each host's bad share, and whether the bound is over the limit. outcomes: (page_id, bad), 0 or 1 for labelled pages."""
+def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z, lift: float = LIFT, limit: float = LIMIT, suffixes: DataFrame | None = None) -> DataFrame:
+    """(host, bad_share, bound, bad_host): posterior mean and lower bound of each host's bad share, and whether the bound is over the limit. outcomes: (page_id, bad), 0 or 1 for labelled pages; suffixes: (rule)."""
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"))
     known = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    hosts, _ = settled(with_levels(seen.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).cast("long").alias("bad"))), "hosts")
+    own = seen.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).cast("long").alias("bad"))
+    hosts, _ = settled(with_levels(own) if suffixes is None else with_ruled_levels(own, suffixes), "hosts")
     counts = {"host": hosts}
     for level, below in (("domain", "host"), ("suffix", "domain")):
         counts[level] = counts[below].groupBy(level, *(["suffix"] if level == "domain" else [])).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -99,12 +126,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, lift: float = LIFT, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, lift: float = LIFT, limit: float = LIMIT, suffixes: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_share, bound) of each row of pages."""
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, action = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_host"), "block").otherwise("allow")
-    return seen.join(reputation(pages, outcomes, z, lift, limit), "host", "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(action, own).alias("verdict"), F.round("bad_share", 9).alias("bad_share"), F.round("bound", 9).alias("bound"))
+    return seen.join(reputation(pages, outcomes, z, lift, limit, suffixes), "host", "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(action, own).alias("verdict"), F.round("bad_share", 9).alias("bad_share"), F.round("bound", 9).alias("bound"))
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
