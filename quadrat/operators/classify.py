@@ -21,9 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.rounds import Rounds
+
 LETTERS = "CTGA"
 WINDOW, WORD = 35, 31
 BAYES_WORD, TRIALS, PART = 8, 100, 8
+BLOCK_WORDS, MOST_GAINS = 400_000, 4_000_000  # words of a block of reads, gains of a part of the genera
 _CODE = np.full(256, 4, np.int64)
 for _i, _letter in enumerate(LETTERS):
     _CODE[[ord(_letter), ord(_letter.lower())]] = _i
@@ -143,8 +146,9 @@ def classified_reads(reads: DataFrame, index: DataFrame, k: int = WINDOW, size:
     return missing.select("read", "lineage", *[F.coalesce(c, zero).alias(c) for c in ("score", "hits", "windows")])
 
 
-def _worded(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _worded(batches: Iterator[pa.RecordBatch], size: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        rows, words, held = [], [], 0
         for i, text in enumerate(_texts(batch)):
             if len(text) >= size:
                 base = _CODE[text]
@@ -153,7 +157,12 @@ def _worded(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                 for j in range(size):
                     code = code * 4 + base[j : j + n]
                 word = np.unique(code[unknown[size:] == unknown[:-size]])
-                yield pa.RecordBatch.from_arrays([batch.column("own").take(pa.array(np.full(len(word), i))), pa.array(word)], ["own", "word"])
+                rows.append(np.full(len(word), i))
+                words.append(word)
+                held += len(word)
+            if held and (held > most or i == batch.num_rows - 1):  # many short texts leave as one batch
+                yield pa.RecordBatch.from_arrays([batch.column("own").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(words))], ["own", "word"])
+                rows, words, held = [], [], 0
 
 
 def different_words(sequences: DataFrame, size: int = BAYES_WORD) -> DataFrame:
@@ -176,17 +185,111 @@ def bayes_model(training: DataFrame, size: int = BAYES_WORD) -> tuple[DataFrame,
     return counts.join(priors, "word").select("word", "genus", F.log((F.col("m") + F.col("prior")) / F.col("prior")).alias("gain")), priors, genera
 
 
+def _slices(first: np.ndarray, cost: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(lo, hi) of groups whose rows begin at first; each slice costs at most that much, or is one group."""
+    total, lo = np.cumsum(cost), 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of each of the places start, start + 1, ... of so many for each row."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
+def _block(words: pa.Table, model: pa.Table, by: list[str], trials: int, best: bool) -> Iterator[pa.Table]:
+    """Scores of a block's groups for the genera of one part of the model; with best, each group's best of them by trial."""
+    own, part = words.combine_chunks(), model.sort_by("word").combine_chunks()
+    known, prior = part.column("word").to_numpy(), np.log(part.column("prior").to_numpy())
+    lists = pa.concat_arrays([pc.fill_null(c, pa.scalar([], c.type)) for c in part.column("gains").chunks]) if part.num_rows else None
+    if not own.num_rows or lists is None:
+        return
+    held = np.diff(lists.offsets.to_numpy())
+    begin, flat = np.cumsum(held) - held, lists.flatten()
+    names, gain, sequences = flat.field("genus"), flat.field("gain").to_numpy(), flat.field("sequences").to_numpy()
+    different = sorted(pc.unique(names).to_pylist())
+    genus = pc.index_in(names, pa.array(different, names.type)).to_numpy(zero_copy_only=False).astype(np.int64)
+    weight = np.zeros(len(different))
+    weight[genus] = np.log(sequences + 1.0)
+    code = np.zeros(own.num_rows, np.int64)
+    for c in by:
+        column = own.column(c).combine_chunks().dictionary_encode()
+        one = pc.fill_null(column.indices, len(column.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.unique(code * (len(column.dictionary) + 1) + one, return_inverse=True)[1]
+    word = own.column("word").to_numpy()
+    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+    rows = np.lexsort((at, code))
+    rows = rows[known[at[rows]] == word[rows]]
+    fresh = np.ones(len(rows), bool)  # a word counts once a group
+    fresh[1:] = (code[rows[1:]] != code[rows[:-1]]) | (at[rows[1:]] != at[rows[:-1]])
+    rows = rows[fresh]
+    if not len(rows):
+        return
+    drawn = own.column("drawn").combine_chunks() if trials else None
+    if drawn is not None:
+        ends, drawn = drawn.offsets.to_numpy(), drawn.values.to_numpy().astype(np.int64)
+    code, at = code[rows], at[rows]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    last = np.r_[first[1:], len(rows)]
+    # what a group costs: its table of genera and trials, and the gains that its words add
+    adds = np.add.reduceat(held[at] * (1 + (np.diff(ends)[rows] if trials else 0)), first)
+    for lo, hi in _slices(first, adds + len(different) * (trials + 1), 1 << 22):
+        a, b = first[lo], last[hi - 1]
+        group, place = np.repeat(np.arange(hi - lo), last[lo:hi] - first[lo:hi]) * (trials + 1), at[a:b]
+        if trials:  # trial 0 has every word
+            row, which = _spread(ends[rows[a:b]], np.diff(ends)[rows[a:b]])
+            group, place = np.r_[group, group[row] + drawn[which]], np.r_[place, place[row]]
+        size = (hi - lo) * (trials + 1)
+        base, number = np.bincount(group, prior[place], size), np.bincount(group, minlength=size)
+        row, which = _spread(begin[place], held[place])
+        cell = group[row] * len(different) + genus[which]
+        total = np.bincount(cell, gain[which], size * len(different))
+        met = np.flatnonzero(np.bincount(cell, minlength=size * len(different)))
+        group, name = met // len(different), met % len(different)
+        score = base[group] + total[met] - number[group] * weight[name]
+        if best:
+            order = np.lexsort((name, -score, group))
+            order = order[np.r_[True, group[order[1:]] != group[order[:-1]]]] if len(order) else order
+            group, name, score = group[order], name[order], score[order]
+        source = pa.array(rows[first[lo + group // (trials + 1)]])
+        yield pa.table({**{c: own.column(c).take(source) for c in by}, "trial": pa.array(group % (trials + 1), pa.int32()), "genus": pa.array(different, pa.string()).take(pa.array(name)), "score": pa.array(score)})
+
+
+def _blocked(words: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame], by: list[str], trials: int = 0, best: bool = False) -> DataFrame:
+    """(by..., trial, genus, score) by blocks of groups and parts of the genera.
+
+    A task has the words of a block of groups and what the model knows of a part of the genera, so a word is sent once for
+    each part, and each score leaves a task as one row, summed. The model is sent once for each block.
+    """
+    gains, priors, genera = model
+    keep = Rounds(words.sparkSession, "bayes")
+    gains, priors = keep(gains.join(genera, "genus")), keep(priors)
+    parts = max(1, -(-gains.count() // MOST_GAINS))
+    blocks = max(1, -(-words.count() // BLOCK_WORDS))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    lists = gains.groupBy("word", F.pmod(F.xxhash64("genus"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(F.struct("genus", "gain", "sequences")).alias("gains"))
+    known = priors.select("*", numbers).join(lists, ["word", "part"], "left")
+    known = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = words.select("*", F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int").alias("block"), numbers)
+    schema = ", ".join(f"{c} {words.schema[c].dataType.simpleString()}" for c in by) + ", trial int, genus string, score double"
+
+    def run(own: pa.Table, other: pa.Table) -> pa.Table:
+        found = list(_block(own, other, by, trials, best))
+        empty = pa.table({**{c: own.column(c).slice(0, 0) for c in by}, "trial": pa.array([], pa.int32()), "genus": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        return pa.concat_tables(found) if found else empty
+
+    return dealt.groupBy("block", "part").cogroup(known.groupBy("block", "part")).applyInArrow(run, schema)
+
+
 def bayes_scores(words: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame], by: list[str]) -> DataFrame:
-    """(by..., genus, score): log-probabilities of the words of each group (by..., word).
+    """(by..., genus, score): log-probabilities of the words of each group (by..., word); a word counts once a group.
 
     Every genus that has one of the words is a row. Words without a prior are in no training sequence; they say nothing.
     """
-    gains, priors, genera = model
-    known = words.join(priors, "word")
-    base = known.groupBy(*by).agg(F.sum(F.log("prior")).alias("base"), F.count(F.lit(1)).alias("words"))
-    sums = words.join(gains, "word").groupBy(*by, "genus").agg(F.sum("gain").alias("gain"))
-    out = sums.join(base, by).join(genera, "genus")
-    return out.select(*by, "genus", (F.col("base") + F.col("gain") - F.col("words") * F.log(F.col("sequences") + 1.0)).alias("score"))
+    return _blocked(words.select(*by, "word"), model, by).drop("trial")
 
 
 def _best(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -201,10 +304,9 @@ def bayes_genera(reads: DataFrame, training: DataFrame, size: int = BAYES_WORD,
     A read without a word that training knows has no row. In a trial a word takes part if its hash with the read and the
     trial's number says so, one in ``part``; trials without any word support nothing.
     """
-    model = bayes_model(training, size)
-    words = different_words(reads.select("read", "seq"), size).distinct()
-    best = _best(bayes_scores(words, model, ["read"]), ["read"])
+    words = different_words(reads.select("read", "seq"), size)
     drawn = F.filter(F.sequence(F.lit(1), F.lit(trials)), lambda t: F.pmod(F.xxhash64("read", "word", t), F.lit(part)) == 0)
-    again = _best(bayes_scores(words.select("read", "word", F.explode(drawn).alias("trial")), model, ["read", "trial"]), ["read", "trial"])
-    support = again.groupBy("read", "genus").agg((F.count(F.lit(1)) / trials).alias("support"))
-    return best.join(support, ["read", "genus"], "left").select("read", "genus", "score", F.coalesce("support", F.lit(0.0)).alias("support"))
+    scores = _blocked(words.select("read", "word", F.transform(drawn, lambda t: t.cast("short")).alias("drawn")), bayes_model(training, size), ["read"], trials, True)
+    best = _best(scores, ["read", "trial"])  # of the best of each part of the genera
+    again = best.groupBy("read", "genus").agg(F.max(F.when(F.col("trial") == 0, F.col("score"))).alias("score"), (F.sum((F.col("trial") > 0).cast("int")) / trials).alias("support"))
+    return again.where("score IS NOT NULL")

@@ -64,7 +64,7 @@ s AS (SELECT q.id, k.g, sum(gain) AS gain FROM q JOIN k ON k.w = q.w GROUP BY 1,
 SELECT s.id AS read, s.g AS genus, round(base + gain - words * ln(m + 1.0), 4) AS score FROM s JOIN b ON b.id = s.id JOIN c ON c.g = s.g""")
 def bayes_scores(s, d):
     training = table(s, d, "documents").select(F.concat_ws("/", "lang", "source").alias("genus"), _letters("text").alias("seq"))
-    words = classify.different_words(_reads(s, d)).distinct()
+    words = classify.different_words(_reads(s, d))
     return classify.bayes_scores(words, classify.bayes_model(training), ["read"]).select("read", "genus", F.round("score", 4).alias("score"))
 
 

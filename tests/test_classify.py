@@ -245,3 +245,19 @@ def test_curation_equals_the_plain_rule(spark):
 def test_roots_of_a_long_chain(spark):
     chain = spark.range(1, 300).select(F.col("id").alias("otu"), (F.col("id") - 1).alias("parent"))
     assert {r["root"] for r in denoise.roots(chain).collect()} == {0}
+
+
+def test_bayes_by_blocks_and_parts(spark, monkeypatch):
+    """Blocks of reads and parts of the genera change no score, and no row of words, trials and genera leaves a task."""
+    rng = random.Random(8)
+    train = spark.createDataFrame([(f"g{k % 5}", "".join(rng.choice("ACGT") for _ in range(60))) for k in range(15)], "genus string, seq string")
+    reads = spark.createDataFrame([(f"r{k % 20}", "".join(rng.choice("ACGT") for _ in range(300))) for k in range(25)] + [(None, "ACGTACGTACGT")], "read string, seq string")
+    found = []
+    for words, gains in ((10**6, 10**6), (400, 150)):
+        monkeypatch.setattr(classify, "BLOCK_WORDS", words)
+        monkeypatch.setattr(classify, "MOST_GAINS", gains)
+        scores = classify.bayes_scores(classify.different_words(reads), classify.bayes_model(train), ["read"])
+        assert "Join" not in scores._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+        named = classify.bayes_genera(reads, train)
+        found.append(({(r["read"], r["genus"]): round(r["score"], 6) for r in scores.collect()}, {r["read"]: (r["genus"], round(r["score"], 6), r["support"]) for r in named.collect()}))
+    assert found[0] == found[1] and len(found[0][0]) > 20 and any(v[2] > 0 for v in found[0][1].values())
