@@ -129,11 +129,15 @@ def exact_species(sequences: DataFrame, reference: DataFrame, most: int = 1) ->
     genus, nor do parts of a split genus: one name may begin the other, up to a blank, dash, bar or underscore.
     """
     clean = lambda c: F.regexp_replace(c, r"(?i)--+(other|unclassified|uncultured|unknown)$", "")
-    j = sequences.select("feature_id", F.upper("seq").alias("seq"), clean("genus").alias("genus")).join(reference.select(F.upper("seq").alias("seq"), F.col("genus").alias("ref"), "species"), "seq")
+    own = sequences.select("feature_id", F.upper("seq").alias("seq"), clean("genus").alias("genus"))
+    # equal features and equal references meet once, however many there are
+    known = reference.select(F.upper("seq").alias("seq"), F.col("genus").alias("ref"), "species").distinct()
+    j = own.select("seq", "genus").distinct().join(known, "seq")
     head = lambda c: F.split(c, r"[ \-_/(]")[0]
     same = (F.col("genus") == F.col("ref")) | (head(F.col("genus")) == F.col("ref")) | (F.col("genus") == head(F.col("ref")))
-    found = j.where(F.coalesce(same, F.lit(False))).groupBy("feature_id").agg(F.sort_array(F.collect_set("species")).alias("s"))
-    return sequences.select("feature_id").distinct().join(found, "feature_id", "left").select("feature_id", F.when(F.size("s") <= most, F.array_join("s", "/")).alias("species"))
+    found = j.where(F.coalesce(same, F.lit(False))).groupBy("seq", "genus").agg(F.collect_set("species").alias("s"))
+    each = own.join(found, ["seq", "genus"], "left").groupBy("feature_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    return each.select("feature_id", F.when((F.size("s") > 0) & (F.size("s") <= most), F.array_join("s", "/")).alias("species"))
 
 
 def grouped_files(files: DataFrame) -> DataFrame:

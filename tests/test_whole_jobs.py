@@ -145,3 +145,15 @@ def test_queries_over_whole_jobs(spark, monkeypatch):
     monkeypatch.setattr(selection, "accumulation", lambda features, orders=100, seed=1: asked.append(orders) or real(features, orders, seed))
     catalogue.QUERIES["accumulation"](spark, sf)
     assert asked == [100]
+
+
+def test_equal_sequences_and_references_meet_once(spark):
+    from quadrat.sources import references
+
+    own = spark.createDataFrame([(i, "acgt" if i % 2 else "ccgg", "Aa--other" if i % 3 else "Bb") for i in range(60)] + [(60, None, "Aa"), (61, "acgt", None)], "feature_id long, seq string, genus string")
+    known = spark.createDataFrame([("ACGT", "Aa", "Aa x")] * 50 + [("ccgg", "Bb", "Bb y"), ("CCGG", "Bb", "Bb z")] * 50, "seq string, genus string, species string")
+    out = references.exact_species(own, known)
+    assert {r["feature_id"]: r["species"] for r in out.collect()} == {i: "Aa x" if i % 2 and i % 3 and i < 60 else None for i in range(62)}
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+    at = next(i for i, line in enumerate(joins) if "Join Inner" in line)
+    assert sum("Aggregate" in line for line in joins[at:]) >= 2  # both sides are different rows
