@@ -122,9 +122,12 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", by: list[str] | None = No
 
 
 def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """(by..., n, rho): correlation of mid-ranks; null for fewer than three rows or a constant side."""
-    r = pairs.withColumn("rx", mid_rank(x, by)).withColumn("ry", mid_rank(y, by))
-    s = r.groupBy(*by).agg(F.count("*").alias("n"), F.avg("rx").alias("mx"), F.avg("ry").alias("my"), F.avg(F.col("rx") * F.col("ry")).alias("xy"), F.avg(F.col("rx") * F.col("rx")).alias("xx"), F.avg(F.col("ry") * F.col("ry")).alias("yy"))
+    """(by..., n, rho): correlation of mid-ranks; null for fewer than three rows or a constant side. Ranks are those of different values, in parts by quantile."""
+    rank = lambda v, name: running_counts(pairs, v, by).select(*by, v, (F.col("__run") - (F.col("__n") - 1) / 2).alias(name))
+    r = joined(joined(pairs.groupBy(*by, x, y).agg(F.count("*").alias("m")), rank(x, "rx"), [*by, x]), rank(y, "ry"), [*by, y])
+    mean = lambda c: F.sum(F.col("m") * c) / F.sum("m")
+    rx, ry = F.col("rx"), F.col("ry")
+    s = r.groupBy(*by).agg(F.sum("m").alias("n"), mean(rx).alias("mx"), mean(ry).alias("my"), mean(rx * ry).alias("xy"), mean(rx * rx).alias("xx"), mean(ry * ry).alias("yy"))
     rho = F.try_divide(F.col("xy") - F.col("mx") * F.col("my"), F.sqrt(F.greatest(F.col("xx") - F.col("mx") * F.col("mx"), F.lit(0.0)) * F.greatest(F.col("yy") - F.col("my") * F.col("my"), F.lit(0.0))))
     return s.select(*by, "n", F.when(F.col("n") >= 3, rho).alias("rho"))
 

@@ -157,3 +157,18 @@ def test_equal_sequences_and_references_meet_once(spark):
     joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n")]
     at = next(i for i, line in enumerate(joins) if "Join Inner" in line)
     assert sum("Aggregate" in line for line in joins[at:]) >= 2  # both sides are different rows
+
+
+def test_ranks_are_those_of_different_values(spark):
+    rng = random.Random(5)
+    rows = [(f"g{i % 2}", float(rng.randrange(6)), float(rng.randrange(4))) for i in range(400)] + [("one", 1.0, 2.0)] * 5
+    out = stats.spearman(spark.createDataFrame(rows, "grp string, x double, y double"), ["grp"])
+    assert "rank(" not in out._jdf.queryExecution().optimizedPlan().toString()  # no window over the rows of a group
+    got = {r["grp"]: (r["n"], r["rho"]) for r in out.collect()}
+    for g in ("g0", "g1"):
+        own = [r for r in rows if r[0] == g]
+        r = [[sum(o[k] < v[k] for o in own) + (sum(o[k] == v[k] for o in own) + 1) / 2 for v in own] for k in (1, 2)]
+        mx, my = (sum(v) / len(own) for v in r)
+        want = sum((a - mx) * (b - my) for a, b in zip(*r)) / (sum((a - mx) ** 2 for a in r[0]) * sum((b - my) ** 2 for b in r[1])) ** 0.5
+        assert got[g][0] == len(own) and got[g][1] == pytest.approx(want, abs=1e-12)
+    assert got["one"] == (5, None)
