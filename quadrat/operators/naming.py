@@ -82,10 +82,10 @@ def assign(hits: DataFrame, lineages: DataFrame, limit: str = "all", limits: dic
     return named.withColumn("rank_reached", deepest_rank(ranks))
 
 
-def first_hit(hits: DataFrame, lineages: DataFrame, order: str, limits: dict[str, float] | None = None, ranks: list[str] = RANKS) -> DataFrame:
-    """Name of the first hit in file order, cut by identity."""
+def first_hit(hits: DataFrame, lineages: DataFrame, order: str | list[str], limits: dict[str, float] | None = None, ranks: list[str] = RANKS) -> DataFrame:
+    """Name of the first hit in file order, cut by identity. order: a column, or several where one leaves ties."""
     limits = LIMITS if limits is None else limits
-    first = hits.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy(order))).where("__r = 1").join(lineages, "subject", "left")
+    first = hits.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy(*([order] if isinstance(order, str) else order)))).where("__r = 1").join(lineages, "subject", "left")
     return first.select("query", "subject", "pident", *(F.when(F.col("pident") >= limits.get(r, 0.0), _name(r)).alias(r) for r in ranks))
 
 

@@ -11,8 +11,8 @@ _H = """WITH l AS (SELECT s_suppkey AS subject, r_name AS class, CASE WHEN s_sup
 h AS (SELECT l_orderkey AS query, l_suppkey AS subject, l_linenumber AS line, round(100 * (1 - l_discount::DOUBLE), 2) AS pident, l_extendedprice::DOUBLE AS bitscore FROM lineitem) """
 
 
-def _hits(s, d):
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_suppkey").alias("subject"), F.col("l_linenumber").alias("line"), F.round(100 * (1 - F.col("l_discount").cast("double")), 2).alias("pident"), F.col("l_extendedprice").cast("double").alias("bitscore"), F.lit(100.0).alias("qcov"))
+def _hits(s, d, *more):
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_suppkey").alias("subject"), F.col("l_linenumber").alias("line"), F.round(100 * (1 - F.col("l_discount").cast("double")), 2).alias("pident"), F.col("l_extendedprice").cast("double").alias("bitscore"), F.lit(100.0).alias("qcov"), *more)
 
 
 def _lineages(s, d):
@@ -40,7 +40,9 @@ def tie_names(s, d):
 
 @query("first_hit_names", _H + ", r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY line) AS r FROM h) SELECT query, subject, pident, class, CASE WHEN pident >= 94 THEN genus END AS genus, CASE WHEN pident >= 97 THEN species END AS species FROM r LEFT JOIN l USING (subject) WHERE r = 1")
 def first_hit_names(s, d):
-    return naming.first_hit(_hits(s, d), _lineages(s, d), "line", LIMITS, RANKS)
+    # an order's lines may have equal numbers: their place in the file decides
+    hits = _hits(s, d, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return naming.first_hit(hits, _lineages(s, d), ["line", "file", "row"], LIMITS, RANKS)
 
 
 def _pick(rank):

@@ -172,3 +172,24 @@ def test_ranks_are_those_of_different_values(spark):
         want = sum((a - mx) * (b - my) for a, b in zip(*r)) / (sum((a - mx) ** 2 for a in r[0]) * sum((b - my) ** 2 for b in r[1])) ** 0.5
         assert got[g][0] == len(own) and got[g][1] == pytest.approx(want, abs=1e-12)
     assert got["one"] == (5, None)
+
+
+def test_the_first_hit_of_equal_lines_is_the_first_in_the_file(spark, tmp_path):
+    import os
+
+    for t in ("supplier", "nation", "region"):
+        os.symlink(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    n = spark.read.parquet(str(tmp_path / "supplier.parquet")).count()
+    rows = [(k % 500, (k * 7) % n, 1, 0.0, 1.0) for k in range(40_000)]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_discount double, l_extendedprice double")
+    table.coalesce(1).write.option("parquet.block.size", "65536").parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        got = {r["query"]: r["subject"] for r in catalogue.QUERIES["first_hit_names"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    held = table.coalesce(1).collect()
+    want = {}
+    for r in held:
+        want.setdefault(r["l_orderkey"], r["l_suppkey"])
+    assert got == want
