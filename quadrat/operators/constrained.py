@@ -5,19 +5,24 @@ all sums over the dense table follow from the rows that exist, the samples' mean
 gives one product with each variable; what comes to the driver are the sums of those products over all taxa, a table of
 variables by variables, whose eigenvectors are the axes. No task holds samples by taxa.
 
-Permutations are rows, (permutation, sample, variables of another sample): they meet the counts by sample, and each gives its
-own table of sums.
+Permutations are rows, (permutation, sample, place), made by a cross join, whose size Spark knows, so none is ever broadcast.
+They get the variables of their place and meet the counts by blocks of samples; a block gives the sums of each permutation and
+taxon over its samples, and those of all blocks each permutation's own table of sums.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.operators.community import numbered
 from quadrat.rounds import Rounds
 
 PERMUTATIONS = 999
+CELLS = 1 << 21  # numbers of a task's permuted variables, and of its sums
 MOST_VARIABLES = 50
 
 
@@ -41,6 +46,29 @@ def _products(p: int, name: str, column: str) -> list:
     return [F.sum(F.col(f"{column}{k}") * F.col(f"{column}{m}")).alias(f"{name}{k}_{m}") for k in range(p) for m in range(k, p)]
 
 
+def _block_sums(p: int, permutations: int):
+    """Task: (r, taxon, b0, b1, ...), sums over a block's samples of permuted variables times logarithms."""
+
+    def run(drawn: pa.Table, logs: pa.Table) -> pa.Table:
+        names, taxa = (logs.column(c).combine_chunks().dictionary_encode() for c in ("sample", "taxon"))
+        at = pc.index_in(drawn.column("sample"), names.dictionary)
+        known = at.is_valid()  # samples with rows in this part of the taxa
+        drawn, at = drawn.filter(known), at.filter(known).to_numpy()
+        r = drawn.column("r").to_numpy() - 1
+        dense = np.zeros((len(names.dictionary), len(taxa.dictionary)))
+        dense[names.indices.to_numpy(), taxa.indices.to_numpy()] = logs.column("l").to_numpy()
+        sums = []
+        for k in range(p):
+            x = np.zeros((permutations, len(dense)))
+            x[r, at] = drawn.column(f"x{k}").to_numpy()
+            sums.append(pa.array((x @ dense).ravel()))
+        width = dense.shape[1]
+        number = pa.array(np.repeat(np.arange(1, permutations + 1, dtype=np.int32), width))
+        return pa.table([number, taxa.dictionary.take(pa.array(np.tile(np.arange(width), permutations))), *sums], names=["r", "taxon", *(f"b{k}" for k in range(p))])
+
+    return run
+
+
 class Constrained:
     """The sums behind an ordination of counts by variables: n samples, taxa, inner (variables by variables), total variation."""
 
@@ -48,7 +76,7 @@ class Constrained:
         if len(variables) > MOST_VARIABLES:
             raise ValueError(f"at most {MOST_VARIABLES} variables, not {len(variables)}")
         self.keep, self.variables = Rounds(counts.sparkSession, "constrained"), variables
-        logs = counts.where("reads > 0").groupBy("sample", "taxon").agg(F.log1p(F.sum("reads").cast("double")).alias("l"))
+        logs = self.keep(counts.where("reads > 0").groupBy("sample", "taxon").agg(F.log1p(F.sum("reads").cast("double")).alias("l")))
         x = _centred(metadata, logs, variables)
         varied = x.agg(*[F.max(F.abs(f"x{k}")).alias(f"x{k}") for k in range(len(variables))]).first()
         self.used = [k for k in range(len(variables)) if (varied[f"x{k}"] or 0.0) > 1e-12]
@@ -71,6 +99,27 @@ class Constrained:
         own = own.withColumns({f"b{k}": F.col(f"b{k}") - F.col(f"c{k}") for k in range(self.p)})
         return (own.groupBy(*by) if by else own).agg(*_products(self.p, "o", "b"))
 
+    def permuted(self, permutations: int, seed: int) -> DataFrame:
+        """(r, o0_0, o0_1, ...): ``outer`` of each permutation. It orders the samples by a hash of its number; the sample at a place gets the variables of that place."""
+        spark, columns = self.x.sparkSession, [f"x{k}" for k in range(self.p)]
+        number = spark.range(1, permutations + 1).select(F.col("id").cast("int").alias("r"))
+        order = Window.partitionBy("r").orderBy(F.xxhash64("r", F.lit(seed), "sample"), "sample")
+        tasks = max(1, -(-self.n * permutations // CELLS))
+        drawn = self.x.select("sample").repartition(tasks, "sample").crossJoin(number).withColumn("place", F.row_number().over(order))
+        placed = numbered(self.x.withColumn("all", F.lit(0)), "all", "sample", "place").select(F.col("place").cast("int").alias("place"), *columns)
+        blocks, parts = max(1, -(-self.n * permutations * self.p // CELLS)), max(1, -(-self.taxa * permutations * self.p // CELLS))
+        block = F.pmod(F.xxhash64("sample", F.lit(seed)), F.lit(blocks)).cast("int").alias("block")
+        part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
+        left = drawn.join(placed, "place").select(block, part.alias("part"), "r", "sample", *columns)
+        right = self.logs.select(block, F.pmod(F.xxhash64("taxon"), F.lit(parts)).cast("int").alias("part"), "sample", "taxon", "l")
+        # a block without rows in a part of the taxa has no sums there
+        kind = f"r int, taxon {self.logs.schema['taxon'].dataType.simpleString()}, " + ", ".join(f"b{k} double" for k in range(self.p))
+        sums = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_block_sums(self.p, permutations), kind)
+        sums = sums.groupBy("r", "taxon").agg(*[F.sum(f"b{k}").alias(f"b{k}") for k in range(self.p)])
+        # a mean over the taxa is what the samples' mean logarithms give
+        less = [(F.sum(F.col(f"b{k}") * F.col(f"b{m}")) - F.sum(f"b{k}") * F.sum(f"b{m}") / self.taxa).alias(f"o{k}_{m}") for k in range(self.p) for m in range(k, self.p)]
+        return sums.groupBy("r").agg(*less)
+
     def explained(self, inverse: np.ndarray):
         """The part of the variation that the variables explain, as an expression of the sums of ``outer``."""
         return sum(((1 if k == m else 2) * float(inverse[k, m]) * F.col(f"o{k}_{m}") for k in range(self.p) for m in range(k, self.p)), F.lit(0.0))
@@ -115,12 +164,7 @@ def constrained_test(counts: DataFrame, metadata: DataFrame, variables: list[str
     own = c.keep(c.outer(c.x, []).select(c.explained(inverse).alias("explained")))
     p = F.lit(None).cast("double")
     if permutations:
-        # each permutation orders the samples by a hash of its number; the sample at a place gets the variables of that place
-        order = Window.partitionBy("r").orderBy(F.xxhash64("r", F.lit(seed), "sample"), "sample")
-        drawn = c.x.select("sample").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("place", F.row_number().over(order))
-        fixed = Window.partitionBy("r").orderBy("sample")
-        placed = c.x.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("place", F.row_number().over(fixed)).drop("sample")
-        again = c.outer(drawn.join(placed, ["r", "place"]).drop("place"), ["r"]).select(c.explained(inverse).alias("again"))
+        again = c.permuted(permutations, seed).select(c.explained(inverse).alias("again"))
         at_least = again.crossJoin(F.broadcast(own)).agg((F.sum((F.col("again") >= F.col("explained") * (1 - 1e-12)).cast("int")) + 1).alias("m"))
         own = own.crossJoin(at_least)
         p = F.col("m") / (permutations + 1.0)

@@ -68,3 +68,33 @@ def test_nothing_to_explain(drawn):
     assert constrained.constrained_axes(counts.where("false"), metadata, ["a"]).count() == 0
     with pytest.raises(ValueError, match="variables"):
         constrained.constrained_axes(counts, metadata, ["a"] * 51)
+
+
+def test_permutations_are_no_broadcast_and_give_dense_sums(drawn, monkeypatch):
+    y, env, counts, metadata = drawn
+    clr, x, _, _, _ = dense(y, env)
+    monkeypatch.setattr(constrained, "CELLS", 400)  # blocks of samples, parts of the taxa
+    c = constrained.Constrained(counts, metadata, ["a", "b", "c"])
+    out = c.permuted(9, 1)
+    samples = c.x.sparkSession.range(20).selectExpr("format_string('s%02d', id) AS sample")
+    keys = {(r["r"], r["sample"]): r["h"] for r in samples.selectExpr("sample", "explode(sequence(1, 9)) AS r").selectExpr("r", "sample", "xxhash64(r, 1, sample) AS h").collect()}
+    found = out.collect()
+    assert len(found) == 9
+    for r in found:
+        order = sorted(range(20), key=lambda i: (keys[r["r"], f"s{i:02}"], i))
+        moved = np.empty_like(x)
+        moved[order] = x
+        b = moved.T @ clr
+        assert np.allclose([r["o0_0"], r["o0_1"], r["o1_2"]], [b[0] @ b[0], b[0] @ b[1], b[1] @ b[2]], atol=1e-8)
+    # each broadcast is a short list (places, or numbers): none holds a row for each sample and permutation
+    plan = c.permuted(999, 1)._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert any("Window" in line for line in plan)
+    for k, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            below = []
+            for other in plan[k + 1 :]:
+                if len(other) - len(other.lstrip(" :+-")) <= depth:
+                    break
+                below.append(other)
+            assert not any("CartesianProduct" in z or "BroadcastNestedLoopJoin" in z or "Generate" in z for z in below)
