@@ -66,8 +66,22 @@ for _i, _pair in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
     _CODE[list(_pair)] = _i
 
 
-def _counted(batches: Iterator[pa.RecordBatch], k: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+MOST = 1 << 18  # letters taken at once
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of at most so many letters together, one row at least."""
     for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _counted(batches: Iterator[pa.RecordBatch], k: int, most: int = MOST) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches, most):
         col = pc.binary_join_element_wise(pc.fill_null(batch.column(0), ""), "N", "").cast(pa.large_string())
         ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
         data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(col) else np.empty(0, np.uint8)

@@ -214,3 +214,26 @@ def test_parents_by_groups_are_those_of_the_pairs(spark):
     for most in (1, 1000, 1 << 22):
         found = denoise._first_parents(table, 84.0, 0.3, 0.7, most).to_pylist()
         assert {r["otu"]: r["other"] for r in found} == {o: p for o, p in want.items() if o % 3 == 1}
+
+
+def test_letters_are_taken_in_small_slices():
+    """Also of a batch of many long rows, of one row longer than a slice, and of nulls."""
+    import pyarrow as pa
+
+    from quadrat.operators import reads
+
+    texts = ["ACGTN" * 40_000, None, "ACG", ""] + ["acgt" * 30_000] * 40 + [None]
+    batch = pa.record_batch([pa.array(texts)], names=["seq"])
+    sizes = [(p.num_rows, sum(len(x or "") for x in p.column(0).to_pylist())) for p in reads._slices(iter([batch]), reads.MOST)]
+    assert sum(n for n, _ in sizes) == len(texts) and all(n == 1 or letters <= reads.MOST for n, letters in sizes)
+    found = {}
+    for part in reads._counted(iter([batch]), 2, 1000):
+        for code, n in zip(part.column("code").to_pylist(), part.column("n").to_pylist()):
+            found[code] = found.get(code, 0) + n
+    want = {}
+    for x in texts:
+        x = (x or "").upper()
+        for a, b in ((0, 1), (1, 2), (2, 3), (3, 0)):
+            two = "ACGT"[a] + "ACGT"[b]
+            want[a * 4 + b] = want.get(a * 4 + b, 0) + x.count(two)
+    assert found == {k: n for k, n in want.items() if n}
