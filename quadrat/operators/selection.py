@@ -156,11 +156,13 @@ def accumulation(features: DataFrame, orders: int = 100, seed: int = 1) -> DataF
     that the same samples have are one row from the start, so an order is gone through once for each such set.
     """
     own = features.where("reads > 0").select("sample", "feature_id").distinct()
-    sets = own.groupBy("feature_id").agg(F.sort_array(F.collect_list("sample")).alias("in")).groupBy("in").agg(F.count("*").alias("features"))
+    sets = own.groupBy("feature_id").agg(F.sort_array(F.collect_list("sample")).alias("in")).groupBy("in").agg(F.count("*").alias("features"), F.min("feature_id").alias("id"))
     names = own.select("sample").distinct().withColumn("o", F.explode(F.sequence(F.lit(1), F.lit(orders))))
     key = F.md5(F.concat_ws("-", F.col("sample").cast("string"), F.col("o").cast("string"), F.lit(str(seed))))
     place = names.withColumn("k", F.row_number().over(Window.partitionBy("o").orderBy(key, "sample")))
-    first = sets.select("in", "features", F.explode("in").alias("sample")).join(place, "sample").groupBy("o", "in").agg(F.min("k").alias("k"), F.first("features").alias("features"))
-    new = first.groupBy("o", "k").agg(F.sum("features").alias("new"))
+    # a set is known by its smallest feature; its first places in all orders are one row, and its samples lie side by side
+    places = place.groupBy("sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "k"))), lambda x: x["k"]).alias("ks"))
+    first = sets.select("id", "features", F.explode("in").alias("sample")).join(places, "sample").groupBy("id").agg(F.first("features").alias("features"), *[F.min(F.get("ks", F.lit(o))).alias(f"k{o}") for o in range(orders)])
+    new = first.select("features", F.posexplode(F.array(*[f"k{o}" for o in range(orders)])).alias("o", "k")).groupBy((F.col("o") + 1).alias("o"), "k").agg(F.sum("features").alias("new"))
     run = place.select("o", "k").join(new, ["o", "k"], "left").withColumn("seen", F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy("o").orderBy("k")))
     return run.groupBy(F.col("k").alias("samples")).agg(F.avg("seen").alias("mean"), F.coalesce(F.stddev_samp("seen"), F.lit(0.0)).alias("sd"))

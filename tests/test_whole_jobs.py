@@ -237,3 +237,22 @@ def test_letters_are_taken_in_small_slices():
             two = "ACGT"[a] + "ACGT"[b]
             want[a * 4 + b] = want.get(a * 4 + b, 0) + x.count(two)
     assert found == {k: n for k, n in want.items() if n}
+
+
+def test_first_places_of_a_set_are_one_row(spark):
+    from quadrat.operators import selection
+
+    rng = random.Random(4)
+    rows = [(f"s{s}", f, float(rng.randrange(3))) for s in range(7) for f in range(60)]
+    out = selection.accumulation(spark.createDataFrame(rows, "sample string, feature_id long, reads double"), orders=6)
+    sets = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in line and "in#" in line.split("]")[0]]
+    assert len(sets) == 1  # the sets are keys once, not again for each order
+    import hashlib
+
+    seen = [[] for _ in range(7)]
+    for o in range(1, 7):
+        order = sorted((f"s{s}" for s in range(7)), key=lambda s: hashlib.md5(f"{s}-{o}-1".encode()).hexdigest())
+        for k in range(7):
+            seen[k].append(len({f for s, f, n in rows if n > 0 and s in order[: k + 1]}))
+    got = {r["samples"]: r["mean"] for r in out.collect()}
+    assert got == {k + 1: pytest.approx(sum(v) / 6) for k, v in enumerate(seen)}
