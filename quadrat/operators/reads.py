@@ -45,7 +45,28 @@ def histogram(table: DataFrame, by: list[str], value: str, width: float) -> Data
 def position_quality(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., pos, q, n): how often each quality stands at each position."""
     by = by or ["file"]
-    return reads.select(*by, F.posexplode(quality_scores("qual")).alias("pos", "q")).groupBy(*by, "pos", "q").agg(F.count("*").alias("n"))
+    kind = ", ".join(f"`{c}` {reads.schema[c].dataType.simpleString()}" for c in by) + ", pos int, q int, n long"
+    return reads.select("qual", *by).mapInArrow(lambda it: _placed(it, by), kind).groupBy(*by, "pos", "q").agg(F.sum("n").alias("n"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch], by: list[str], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Task: (by..., pos, q, n), counted slice by slice before the shuffle."""
+    for batch in _slices(batches, most):
+        texts = pc.fill_null(batch.column(0), "")
+        length = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        q = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+        if not len(q):
+            continue
+        group = np.zeros(len(length), np.int64)
+        for k in range(len(by)):
+            codes = batch.column(k + 1).dictionary_encode(null_encoding="encode")
+            group = np.unique(group * (len(codes.dictionary) + 1) + codes.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        rows = np.unique(group, return_index=True)[1]
+        pos = np.arange(len(q)) - np.repeat(np.cumsum(length) - length, length)
+        wide, high = int(length.max()), int(q.max()) + 1
+        key, n = np.unique((np.repeat(group, length) * wide + pos) * high + q, return_counts=True)
+        own = batch.select(range(1, len(by) + 1)).take(pa.array(rows[key // (wide * high)]))
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array((key // high % wide).astype(np.int32)), pa.array((key % high - 33).astype(np.int32)), pa.array(n.astype(np.int64))], [*by, "pos", "q", "n"])
 
 
 def position_quantiles(counts: DataFrame, by: list[str] | None = None, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:

@@ -239,6 +239,29 @@ def test_letters_are_taken_in_small_slices():
     assert found == {k: n for k, n in want.items() if n}
 
 
+def test_places_of_a_quality_are_counted_before_the_shuffle(spark):
+    """Also with null and empty texts and keys, letters beyond ASCII, and slices of a few letters."""
+    from quadrat.functions.sequences import quality_scores
+    from quadrat.operators import reads
+    from quadrat.session import ship
+
+    ship(spark)
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(2), rng.choice([None, "", "!I~", "é😀I", "".join(rng.choice("!5I") for _ in range(rng.randrange(60)))])) for _ in range(200)]
+    table = spark.createDataFrame(rows, "file string, lane int, qual string")
+    for by in (["file"], ["file", "lane"]):
+        out = reads.position_quality(table, by)
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row for each letter
+        want = table.select(*by, F.posexplode(quality_scores("qual")).alias("pos", "q")).groupBy(*by, "pos", "q").agg(F.count("*").alias("n"))
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect())) and out.schema.names == want.schema.names
+    found = {}
+    for part in reads._placed(iter(table.select("qual", "file").toArrow().to_batches()), ["file"], 5):
+        for r in part.to_pylist():
+            key = r["file"], r["pos"], r["q"]
+            found[key] = found.get(key, 0) + r["n"]
+    assert found == {(r["file"], r["pos"], r["q"]): r["n"] for r in reads.position_quality(table).collect()}
+
+
 def test_first_places_of_a_set_are_one_row(spark):
     from quadrat.operators import selection
 
