@@ -20,15 +20,17 @@ def gene_families(paf: DataFrame, catalogue: DataFrame, total_reads: float, plat
     paf: alignments of reads (qname, qlen, qs, qe, tname, tlen, ts, te, nmatch, alen, de). catalogue: (tname, allele, symbol,
     length, type, class). Alleles within 5 % of the representative's length share its coordinates.
     """
-    h = paf.where("alen > 0").join(catalogue, "tname").withColumn("identity", F.coalesce(1 - F.col("de"), F.col("nmatch") / F.col("alen")))
+    # a row for each allele: never broadcast
+    h = paf.where("alen > 0").join(catalogue.hint("merge"), "tname").withColumn("identity", F.coalesce(1 - F.col("de"), F.col("nmatch") / F.col("alen")))
     span, at_end = F.col("te") - F.col("ts"), (F.col("ts") <= 10) | (F.col("te") >= F.col("tlen") - 10)
     enough = (span >= 50) & ((F.col("qe") - F.col("qs") >= 0.8 * F.col("qlen")) | at_end) if platform == "illumina" else span >= F.least(F.lit(200.0), 0.5 * F.col("tlen"))
     h = h.where((F.col("identity") >= least_identity) & enough).withColumn("read", F.regexp_replace("qname", r"/[12]$", ""))
     per = h.groupBy("symbol", "tname").agg(F.count("*").alias("n"))
     first = per.withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("n"), "tname"))).where("r = 1").select("symbol", F.col("tname").alias("rep"))
-    reps = first.join(catalogue.select(F.col("tname").alias("rep"), "allele", "type", "class", F.greatest("length", F.lit(1)).alias("rlen")), "rep")
-    h = h.join(reps.select("symbol", "rlen"), "symbol")
-    same = h.where(F.abs(F.col("length") - F.col("rlen")) <= 0.05 * F.col("rlen")).select("symbol", F.least("ts", "rlen").alias("start"), F.least("te", "rlen").alias("end"))
+    reps = first.join(catalogue.select(F.col("tname").alias("rep"), "allele", "type", "class", F.greatest("length", F.lit(1)).alias("rlen")).hint("merge"), "rep")
+    # a family meets its representative, and its window, with each different span once, not with each alignment
+    spans = h.select("symbol", "length", "ts", "te").distinct().join(reps.select("symbol", "rlen"), "symbol")
+    same = spans.where(F.abs(F.col("length") - F.col("rlen")) <= 0.05 * F.col("rlen")).select("symbol", F.least("ts", "rlen").alias("start"), F.least("te", "rlen").alias("end"))
     sums = h.groupBy("symbol").agg(F.count_distinct("read").alias("reads"), F.sum(span).alias("bases"), F.avg("identity").alias("identity"))
     out = reps.join(sums, "symbol").join(union_length(same, ["symbol"]), "symbol", "left").withColumn("breadth", 100 * F.coalesce("covered", F.lit(0)) / F.col("rlen"))
     return out.where(F.col("breadth") >= least_breadth).select(
@@ -88,14 +90,13 @@ def bin_species(contigs: DataFrame, least: float = 0.5) -> DataFrame:
 
 def split_bins(contigs: DataFrame, least_length: int = 300_000, least_share: float = 0.15, orphans: str = "largest") -> DataFrame:
     """(bin, contig, part): contigs of bins in which two or more genera are large. Contigs of other genera join the largest, or are left out (drop)."""
-    own = Window.partitionBy("bin")
-    c = contigs.withColumn("total", F.sum("length").over(own))
-    genus = c.where("genus IS NOT NULL").groupBy("bin", "genus").agg(F.sum("length").alias("g"), F.first("total").alias("t")).where((F.col("g") >= least_length) & (F.col("g") / F.col("t") >= least_share))
-    big = genus.withColumn("n", F.count("*").over(own)).where("n > 1").withColumn("r", F.row_number().over(own.orderBy(F.desc("g"), "genus")))
-    parts = big.select("bin", "genus", F.col("genus").alias("part"))
-    first = big.where("r = 1").select("bin", F.col("genus").alias("largest"))
-    out = c.join(first, "bin").join(parts, ["bin", "genus"], "left")
-    return out.select("bin", "contig", (F.coalesce("part", "largest") if orphans == "largest" else F.col("part")).alias("part")).where("part IS NOT NULL")
+    genus = contigs.groupBy("bin", "genus").agg(F.sum("length").alias("g")).withColumn("t", F.sum("g").over(Window.partitionBy("bin")))
+    large = genus.where(F.col("genus").isNotNull() & (F.col("g") >= least_length) & (F.col("g") / F.col("t") >= least_share))
+    parts = large.groupBy("bin").agg(F.sort_array(F.collect_list(F.struct((-F.col("g")).alias("less"), "genus"))).alias("own")).where(F.size("own") > 1)
+    # contigs meet one row for their bin; its large genera are few
+    out = contigs.join(parts.select("bin", F.col("own.genus").alias("own")).hint("merge"), "bin")
+    part = F.when(F.array_contains("own", F.col("genus")), F.col("genus"))
+    return out.select("bin", "contig", (F.coalesce(part, F.get("own", F.lit(0))) if orphans == "largest" else part).alias("part")).where("part IS NOT NULL")
 
 
 def assembly_summary(contigs: DataFrame, by: list[str]) -> DataFrame:
