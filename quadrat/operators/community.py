@@ -16,8 +16,11 @@ OTHER, UNCLASSIFIED = "Other", "Unclassified"
 
 
 def with_taxonomy(features: DataFrame, taxonomy: DataFrame, keep_unnamed: bool = True) -> DataFrame:
-    """Features with their lineage; those without one stay unless keep_unnamed is off."""
-    return features.join(taxonomy, "feature_id", "left" if keep_unnamed else "inner")
+    """Features with their lineage; those without one stay unless keep_unnamed is off.
+
+    A taxonomy has a row for each feature and packs well, so by the size of its files Spark would send it to every task whole.
+    """
+    return features.join(taxonomy.hint("merge"), "feature_id", "left" if keep_unnamed else "inner")
 
 
 def rank_counts(named: DataFrame, label: str | Column) -> DataFrame:
