@@ -28,3 +28,13 @@ def test_gene_families_meet_their_spans_once(spark):
     assert re.search(r"HashAggregate\(keys=\[symbol#\d+, length#\d+L, ts#\d+L, te#\d+L\], functions=\[\]", plan(out))
     row = out.first()
     assert (row["reads"], row["breadth"], row["depth"], row["allele"]) == (30, 90.0, 9.0, "a1")
+
+
+def test_bins_are_split_by_one_join(spark):
+    rows = [("x", 1, 60, "A"), ("x", 2, 30, "B"), ("x", 3, 5, "C"), ("x", 4, 5, None), ("y", 5, 90, "A"), ("y", 6, 10, "B"), ("z", 7, 50, "B"), ("z", 8, 50, "A")]
+    contigs = spark.createDataFrame(rows, "bin string, contig long, length long, genus string")
+    out = genomes.split_bins(contigs, least_length=20, least_share=0.2)
+    assert plan(out).count("Join") == 1
+    assert {(r["contig"], r["part"]) for r in out.collect()} == {(1, "A"), (2, "B"), (3, "A"), (4, "A"), (7, "B"), (8, "A")}
+    dropped = genomes.split_bins(contigs, least_length=20, least_share=0.2, orphans="drop")
+    assert {r["contig"] for r in dropped.collect()} == {1, 2, 7, 8}
