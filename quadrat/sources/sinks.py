@@ -36,7 +36,7 @@ def union_columns(tables: list[DataFrame]) -> DataFrame:
 
 def krona(features: DataFrame, taxonomy: DataFrame, ranks: list[str]) -> DataFrame:
     """(sample, line): reads and the names of the lineage that are known, tab by tab."""
-    per = features.join(taxonomy, "feature_id", "left").groupBy("sample", *ranks).agg(F.sum("reads").alias("reads"))
+    per = features.join(taxonomy.hint("merge"), "feature_id", "left").groupBy("sample", *ranks).agg(F.sum("reads").alias("reads"))
     return per.select("sample", F.concat_ws("\t", F.col("reads").cast("long").cast("string"), *ranks).alias("line"))
 
 
