@@ -33,7 +33,7 @@ copies AS (SELECT copy, round(identity, 2) AS identity, genus, coalesce(main, al
 
 
 def _copies(s, d):
-    li = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = table(s, d, "lineitem").join(table(s, d, "part").hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
     n = F.col("p_size")
     name = F.when(n % 13 == 0, F.concat(F.lit("["), "p_name", F.lit("]"))).otherwise(F.col("p_name"))
     return rrna.named_copies(li.select(F.col("l_orderkey").alias("copy"), F.col("l_partkey").alias("target"), (90 + F.floor("l_quantity") / 10).alias("pident"), F.when(n % 9 > 0, name).alias("species"), F.col("p_brand").alias("genus")), tie=1.0)

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from quadrat.operators import genomes
+from quadrat.operators import genomes, rrna
 from quadrat.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -14,7 +14,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["gene_families", "faith_pd", "detected_lineages", "krona_lines"])
+@pytest.mark.parametrize("name", ["gene_families", "faith_pd", "detected_lineages", "krona_lines", "named_copies"])
 def test_rows_of_features_are_not_broadcast(spark, name):
     assert not re.search(r"BroadcastHashJoin \[(feature_id|l_partkey|tname|rep)#", plan(catalogue.QUERIES[name](spark, SMALL)))
 
@@ -38,3 +38,17 @@ def test_bins_are_split_by_one_join(spark):
     assert {(r["contig"], r["part"]) for r in out.collect()} == {(1, "A"), (2, "B"), (3, "A"), (4, "A"), (7, "B"), (8, "A")}
     dropped = genomes.split_bins(contigs, least_length=20, least_share=0.2, orphans="drop")
     assert {r["contig"] for r in dropped.collect()} == {1, 2, 7, 8}
+
+
+def test_hits_of_a_copy_meet_once(spark):
+    hits = [
+        (1, 10, 99.0, "Aa x", "Aa"), (1, 11, 98.9, "Bb y", "Bb"), (1, 12, 98.8, "Bb z", "Bb"), (1, 13, 90.0, "Cc q", "Cc"), (1, 14, 98.85, "Bb y", "Bb"),
+        (2, 20, 97.0, "[Dd] w", "Dd"), (2, 21, 97.0, "Ee v", "Ee"), (2, 22, 97.0, "Ff u", "Ff"), (3, 30, 95.0, None, "Gg"), (3, 31, None, "Hh t", "Hh"), (None, 40, 95.0, "Ii s", "Ii"),
+    ]
+    out = rrna.named_copies(spark.createDataFrame(hits, "copy long, target long, pident double, species string, genus string"))
+    assert plan(out).count("Exchange hashpartitioning") == 1 and "Join" not in plan(out)
+    got = {r["copy"]: (r["identity"], r["genus"], r["species"], r["tied"], r["n_tied"], r["off_genus"]) for r in out.collect()}
+    assert got == {
+        1: (99.0, "Bb", "Bb y", ["Bb y", "Bb z"], 2, ["Aa x"]), 2: (97.0, "Ff", "Ff u", ["Ff u"], 1, ["Ee v"]),
+        3: (95.0, "Gg", None, [], 0, []), None: (95.0, None, None, [], 0, []),
+    }
