@@ -14,7 +14,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["gene_families", "faith_pd", "detected_lineages", "krona_lines", "named_copies"])
+@pytest.mark.parametrize("name", ["gene_families", "faith_pd", "detected_lineages", "krona_lines", "named_copies", "unifrac"])
 def test_rows_of_features_are_not_broadcast(spark, name):
     assert not re.search(r"BroadcastHashJoin \[(feature_id|l_partkey|tname|rep)#", plan(catalogue.QUERIES[name](spark, SMALL)))
 
