@@ -13,6 +13,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quadrat.operators.intervals import union_length
 
+ROWS = 500_000  # contigs of one task
+
 
 def gene_families(paf: DataFrame, catalogue: DataFrame, total_reads: float, platform: str = "illumina", least_identity: float = 0.9, least_breadth: float = 60.0) -> DataFrame:
     """One row per gene family: representative allele, reads, breadth, depth, RPKM and identity.
@@ -90,6 +92,9 @@ def bin_species(contigs: DataFrame, least: float = 0.5) -> DataFrame:
 
 def split_bins(contigs: DataFrame, least_length: int = 300_000, least_share: float = 0.15, orphans: str = "largest") -> DataFrame:
     """(bin, contig, part): contigs of bins in which two or more genera are large. Contigs of other genera join the largest, or are left out (drop)."""
+    # dealt once by bin, so many rows to a task as its sorts hold: contigs pack too well to tell that by the size of a partition
+    tasks = max(contigs.sparkSession.sparkContext.defaultParallelism, -(-contigs.count() // ROWS))
+    contigs = contigs.repartition(tasks, "bin")
     genus = contigs.groupBy("bin", "genus").agg(F.sum("length").alias("g")).withColumn("t", F.sum("g").over(Window.partitionBy("bin")))
     large = genus.where(F.col("genus").isNotNull() & (F.col("g") >= least_length) & (F.col("g") / F.col("t") >= least_share))
     parts = large.groupBy("bin").agg(F.sort_array(F.collect_list(F.struct((-F.col("g")).alias("less"), "genus"))).alias("own")).where(F.size("own") > 1)

@@ -40,6 +40,15 @@ def test_bins_are_split_by_one_join(spark):
     assert {r["contig"] for r in dropped.collect()} == {1, 2, 7, 8}
 
 
+def test_bins_are_dealt_by_their_rows(spark, monkeypatch):
+    """As many tasks as the contigs ask for, whatever a partition packs to; the window and the join take them as dealt."""
+    monkeypatch.setattr(genomes, "ROWS", 100)
+    contigs = spark.range(4000).selectExpr("id div 4 AS bin", "id AS contig", "10 + id % 4 AS length", "concat('G', id % 2) AS genus")
+    out = genomes.split_bins(contigs, least_length=20, least_share=0.2)
+    assert set(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(out))) and all(x.endswith(", 40") for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(out)))
+    assert out.count() == 4000 and out.rdd.getNumPartitions() == 40
+
+
 def test_hits_of_a_copy_meet_once(spark):
     hits = [
         (1, 10, 99.0, "Aa x", "Aa"), (1, 11, 98.9, "Bb y", "Bb"), (1, 12, 98.8, "Bb z", "Bb"), (1, 13, 90.0, "Cc q", "Cc"), (1, 14, 98.85, "Bb y", "Bb"),
