@@ -170,6 +170,7 @@ def faith_pd(features: DataFrame, ancestry: DataFrame) -> DataFrame:
 
 def within_between(distances: DataFrame, groups: DataFrame) -> DataFrame:
     """(kind, grp_i, grp_j, n, mean_d): distances within groups and between each pair of them."""
+    groups = Rounds(groups.sparkSession, "groups")(groups.select("sample", "grp"))  # their size is known then, so that many distances are not shuffled to meet few groups
     gi, gj = groups.select(F.col("sample").alias("i"), F.col("grp").alias("a")), groups.select(F.col("sample").alias("j"), F.col("grp").alias("b"))
     d = distances.join(gi, "i").join(gj, "j").select(F.least("a", "b").alias("grp_i"), F.greatest("a", "b").alias("grp_j"), "d")
     return d.groupBy("grp_i", "grp_j").agg(F.count("*").alias("n"), F.avg("d").alias("mean_d")).withColumn("kind", F.when(F.col("grp_i") == F.col("grp_j"), "within").otherwise("between"))

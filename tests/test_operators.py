@@ -192,3 +192,13 @@ def test_network_equals_dense_correlation(spark):
         for b in range(a + 1, 5):
             if (f"t{a}", f"t{b}") in got:
                 assert got[f"t{a}", f"t{b}"] == pytest.approx(np.corrcoef(mid(grid[:, a]), mid(grid[:, b]))[0, 1])
+
+
+def test_distances_are_not_shuffled_to_meet_their_groups(spark):
+    """Groups made by joins have no known size; they are written once, so that the distances, which are many more, stay where they are."""
+    names = spark.range(6).selectExpr("id AS sample", "id % 2 AS k").join(spark.range(2).selectExpr("id AS k", "concat('g', id) AS grp"), "k")
+    d = spark.range(6).selectExpr("id AS i").join(spark.range(6).selectExpr("id AS j"), F.col("i") < F.col("j")).withColumn("d", F.lit(0.5))
+    out = diversity.within_between(d, names)
+    assert {(r["kind"], r["n"]) for r in out.collect()} == {("within", 3), ("between", 9)}
+    joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join [" in line]
+    assert len(joins) == 2 and all("BroadcastHashJoin" in j for j in joins)
